@@ -11,12 +11,12 @@ has a vantage-point tree of its own over the Hamming distance within that part,
 * a node holds a vantage point and a radius m; a fingerprint at distance s lives inside if s <= m, else outside;
 * with search radius t, the inside can hold a partner only if s - t <= m, and the outside only if s + t > m; the other
   branch is pruned. A fingerprint near a boundary also visits the shard on the other side;
-* the top of each tree, grown on a bounded sample (``sample`` distinct fingerprints, used for nothing else), cuts all
-  fingerprints into shards. Every fingerprint lives in one shard of each tree and visits those that its ball overlaps.
+* the top of each tree, grown on a bounded sample (at most ``sample`` distinct fingerprints, used for nothing else), cuts
+  all fingerprints into shards. Every fingerprint lives in one shard of each tree and visits those that its ball overlaps.
   Inside a shard, the same kind of tree is grown over all that live there, down to leaves that are compared in full.
 
 Pairs are compared over all 64 bits, so links are exact and none is lost: the sample only decides where cuts lie. Shards
-with more than ``shard`` fingerprints (a large group of near copies) are dealt over several tasks by a salt; those that
+with more than four times ``shard`` fingerprints (a large group of near copies) are dealt over several tasks by a salt; those that
 visit go to each. No pairs leave a shard: it returns a spanning forest of its links, at most one row for each
 fingerprint in it. Components come from these by repeated star contraction in DataFrames.
 
@@ -205,12 +205,16 @@ _VISIT = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("sh
 _EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def links(points: DataFrame, radius: int = 4, windows: int = 3, sample: int = 4096, shard: int = 8192) -> DataFrame:
-    """(a, b): a spanning forest, in parts, of the links between the distinct fingerprints in column ``point``."""
+def links(points: DataFrame, radius: int = 4, windows: int = 3, sample: int = 65536, shard: int = 8192) -> DataFrame:
+    """(a, b): a spanning forest, in parts, of the links between the distinct fingerprints in column ``point``.
+
+    The tops of the trees grow on an eighth of the fingerprints, ``sample`` at most, so that there are as many shards as
+    the input needs; a shard in which over four times ``shard`` live after all is dealt out by a salt.
+    """
     spark = points.sparkSession
     part, parts = radius // windows, masks(windows)
     n = points.count()
-    taken = [r[0] for r in points.orderBy(F.xxhash64("point"), "point").limit(sample).collect()]
+    taken = [r[0] for r in points.orderBy(F.xxhash64("point"), "point").limit(min(sample, -(-n // 8))).collect()]
     picked = np.array(taken, np.int64).astype(np.uint64)
     leaf = max(2, int(shard * len(picked) / max(n, 1)))
     trees = [grow(picked, m, part, leaf, [0]) for m in parts]
@@ -226,7 +230,7 @@ def links(points: DataFrame, radius: int = 4, windows: int = 3, sample: int = 40
 
     seen = points.select("point").mapInArrow(visits, _VISIT)
     size = seen.groupBy("tree", "shard").agg(F.sum(F.col("home").cast("long")).alias("lives"))
-    salts = size.select("tree", "shard", F.ceil(F.col("lives") / F.lit(shard)).cast("int").alias("salts")).where("salts > 1").collect()
+    salts = size.select("tree", "shard", F.ceil(F.col("lives") / F.lit(4 * shard)).cast("int").alias("salts")).where("salts > 1").collect()
     # One row for each crowded shard of trees whose size the sample bounds.
     crowded = spark.createDataFrame([tuple(r) for r in salts], "tree int, shard int, salts int")
     dealt = (
