@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import quality, simhash
+    from . import bpe, pii, quality, simhash
 
     return {
         "op3_simhash": simhash.op3_simhash,
+        "op4_pii": pii.op4_pii,
+        "op9_bpe": bpe.op9_bpe,
         "op10_quality": quality.op10_quality,
     }
 
