@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, pii, quality, simhash
+    from . import bpe, mix, pii, quality, simhash
 
     return {
         "op3_simhash": simhash.op3_simhash,
+        "op1_mix": mix.op1_mix,
         "op4_pii": pii.op4_pii,
         "op9_bpe": bpe.op9_bpe,
         "op10_quality": quality.op10_quality,
