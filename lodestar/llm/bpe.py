@@ -2,10 +2,11 @@
 
 A text is cut into words by the vocabulary's pattern, and each word into bytes. The leaves of a segment tree hold, for
 each symbol, the rank of its pair with the next one, together with its position; an inner node holds the least of its
-two. So the root names the leftmost of the lowest-ranked pairs. After a merge, the pairs on both sides of it get new
-leaves, each in logarithmic time, until the root holds no rank. A word of n bytes takes n log n steps, however long it is.
+``FAN`` children (``min`` of a slice, so the tree is wide and flat). So the root names the leftmost of the lowest-ranked
+pairs. After a merge, the pairs on both sides of it get new leaves and their ancestors new values, in logarithmic time,
+until the root holds no rank. A word of n bytes takes n log n steps, however long it is.
 
-Each task keeps the codes of words seen so far, at most ``CACHE`` of them, which changes no result. The vocabulary file
+Each worker keeps the codes of words seen so far, up to a fixed number (``CACHE``), which changes no result. The vocabulary file
 is read by the driver (its path is a parameter) and broadcast: about two megabytes, whatever the size of the input.
 
 The strings of special tokens become their ids wherever they stand in a text, as the vocabulary's own library does it.
@@ -15,6 +16,7 @@ A null text is empty and has no ids. Rows are encoded one by one: repeated rows
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +29,7 @@ from pyspark.sql import types as T
 from . import common
 
 CACHE = 400_000
+FAN = 16
 
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -66,67 +69,55 @@ class Codec:
         self.single = [0] * 256
         for char, b in byte_of.items():
             self.single[b] = vocab[char]
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # of a pair of ids, in the upper bits
+        self.made: list[int] = []  # by rank
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
+            self.ranks.setdefault(vocab[a] << 32 | vocab[b], rank << 32)
+            self.made.append(vocab[a + b])
+        self.byte_pairs = [self.ranks.get(a << 32 | b, _NONE) for a in self.single for b in self.single]
         self.special = sorted(added, key=len, reverse=True)
         self.special_ids = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if added else None
         self.words = regex.compile(PATTERN)
+        self.letters = regex.compile(r"\p{L}+").fullmatch
         self.odd_space = regex.compile(r"^[\s\x1c-\x1f]|[\s\x1c-\x1f]$| [\s\x1c-\x1f]|[\s\x1c-\x1f] ")
-        self.codes = _Memory(lambda word: np.array(self.merge(word.encode()), "<u4").tobytes())
-        self.chunks = _Memory(lambda chunk: self.pattern_words(" " + chunk))
+        self.codes = _Memory(lambda word: array("I", self.merge(word.encode())).tobytes(), 2 * CACHE)
+        self.chunks = _Memory(lambda chunk: self.codes[" " + chunk] if self.letters(chunk) else self.pattern_words(" " + chunk), CACHE)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
-        n = len(word)
         ids = [self.single[b] for b in word]
-        if n == 1:
-            return ids
-        merges, leaves = self.merges, 1
-        while leaves < n:
-            leaves *= 2
-        tree = [_NONE] * (2 * leaves)
-        for i in range(n - 1):
-            found = merges.get(ids[i] << 32 | ids[i + 1])
-            if found:
-                tree[leaves + i] = found[0] << 32 | i
-        for at in range(leaves - 1, 0, -1):
-            a, b = tree[2 * at], tree[2 * at + 1]
-            tree[at] = a if a < b else b
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(i: int, value: int) -> None:
-            at = leaves + i
-            tree[at] = value
-            at >>= 1
-            while at:
-                a, b = tree[2 * at], tree[2 * at + 1]
-                least = a if a < b else b
-                if tree[at] == least:
-                    break
-                tree[at] = least
-                at >>= 1
-
-        def rank(i: int) -> int:
+        n, pairs, ranks, made = len(word), self.byte_pairs, self.ranks, self.made
+        levels = [[pairs[a << 8 | b] | i for i, (a, b) in enumerate(zip(word, word[1:]))]]
+        while len(levels[-1]) > FAN:
+            below = levels[-1]
+            levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+        leaves, top = levels[0], levels[-1]
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        while True:
+            least = min(top, default=_NONE)
+            if least >= _NONE:
+                return [i for i in ids if i >= 0]
+            i = least & 0xFFFFFFFF
             j = after[i]
-            found = merges.get(ids[i] << 32 | ids[j]) if j < n else None
-            return found[0] << 32 | i if found else _NONE
-
-        while tree[1] != _NONE:
-            i = tree[1] & 0xFFFFFFFF
-            j = after[i]
-            ids[i] = merges[ids[i] << 32 | ids[j]][1]
+            ids[i] = made[least >> 32]
             ids[j] = -1
             after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-            put(j, _NONE)
-            put(i, rank(i))
-            if before[i] >= 0:
-                put(before[i], rank(before[i]))
-        return [i for i in ids if i >= 0]
+            before[k] = i
+            if j < n - 1:
+                leaves[j] = _NONE
+            leaves[i] = ranks.get(ids[i] << 32 | ids[k], _NONE) | i if k < n else _NONE
+            h = before[i]
+            if h >= 0:
+                leaves[h] = ranks.get(ids[h] << 32 | ids[i], _NONE) | h
+            if top is not leaves:
+                touched = {i // FAN, j // FAN, max(h, 0) // FAN}
+                for below, above in zip(levels, levels[1:]):
+                    for at in touched:
+                        if at < len(above):
+                            above[at] = min(below[at * FAN : at * FAN + FAN])
+                    touched = {at // FAN for at in touched}
 
     def pattern_words(self, text: str) -> bytes:
         return b"".join(map(self.codes.__getitem__, self.words.findall(text)))
@@ -153,13 +144,13 @@ class Codec:
 
 
 class _Memory(dict):
-    """Values made on first use; when there are ``CACHE`` of them, it starts anew."""
+    """Values made on first use; when there are ``most`` of them, it starts anew."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most):
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.clear()
         value = self.make(key)
         if len(key) < 64:
