@@ -195,6 +195,37 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     return common.map_texts(df, id_col, text_col, T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids), start)
 
 
+def tokenise(df: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """``df`` without its text, with n_tokens, ids_sha256, decoded_sha256 and ids; columns of these names are replaced."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    new = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    kept = [f for f in df.schema.fields if f.name != text_col and f.name not in new.names]
+    rows = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(common.TEXT), *[F.col(f"`{f.name}`") for f in kept])
+    out = T.StructType([*kept, *new.fields])
+    arrow, source = to_arrow_schema(out), _broadcast(df.sparkSession, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
+        c = codec(source.value)
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary())
+            for where in common.slices(texts):
+                codes = [c.encode(t.decode("utf-8", "replace")) for t in texts.slice(*where).to_pylist()]
+                made = [
+                    pa.array([len(x) // 4 for x in codes], pa.int64()),
+                    pa.array([sha256(x).hexdigest() for x in codes]),
+                    pa.array([sha256(c.decode(np.frombuffer(x, "<u4").tolist()).encode()).hexdigest() for x in codes]),
+                    _array(codes),
+                ]
+                part = batch.slice(*where)
+                columns = [*part.columns[1:], *made]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow)], names=arrow.names)
+
+    return rows.mapInArrow(run, out)
+
+
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """(id, text) from ids; null ids give a null text, ids outside the vocabulary raise."""
     source = _broadcast(df.sparkSession, vocabulary)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     from . import bpe, mix, pii, quality, simhash
 
     return {

@@ -3,10 +3,10 @@
 Fingerprint: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, shingles of ``width`` words joined by spaces (fewer words: the
 whole sequence; no word or a null text: fingerprint 0). A bit is 1 if it is set in over half of the shingles' XXH64.
 
-Links: two fingerprints link at ``radius`` or fewer differing bits. Over all 64 bits, distances between unrelated
-fingerprints gather so closely round 32 that a tree over them hardly prunes. So the bits are cut into
-``windows`` parts: of two linked fingerprints, at least one part differs in ``radius // windows`` bits or fewer. Each part
-has a vantage-point tree of its own over the Hamming distance within that part, which obeys the triangle inequality:
+Links: two fingerprints link at ``radius`` or fewer differing bits. Over all bits, distances between unrelated
+fingerprints gather so closely round half of them that a tree over them hardly prunes. So each 64-bit word is cut into
+``windows`` parts, and each part has a vantage-point tree of its own over the Hamming distance within that part, which
+obeys the triangle inequality. Of two linked fingerprints, at least one part differs in ``radius // parts`` bits or fewer:
 
 * a node holds a vantage point and a radius m; a fingerprint at distance s lives inside if s <= m, else outside;
 * with search radius t, the inside can hold a partner only if s - t <= m, and the outside only if s + t > m; the other
@@ -15,7 +15,12 @@ has a vantage-point tree of its own over the Hamming distance within that part,
   all fingerprints into shards. Every fingerprint lives in one shard of each tree and visits those that its ball overlaps.
   Inside a shard, the same kind of tree is grown over all that live there, down to leaves that are compared in full.
 
-Pairs are compared over all 64 bits, so links are exact and none is lost: the sample only decides where cuts lie. Shards
+With one word, four bits and three windows (the default), t is 1 and no link is lost. Near copies with a shingle
+similarity of 0.8 differ in about 15% of the bits, which no tree over 64 bits can search. For these, ``similar``
+takes four words and 44 bits, and keeps t at 1 in twelve parts: with a similarity of 0.9 a pair agrees so far in some part
+with a probability of 0.99, with 0.8 of 0.86, and groups hang together by several pairs.
+
+Pairs are compared over all bits, so links are exact: the sample only decides where cuts lie. Shards
 with more than four times ``shard`` fingerprints (a large group of near copies) are dealt over several tasks by a salt; those that
 visit go to each. No pairs leave a shard: it returns a spanning forest of its links, at most one row for each
 fingerprint in it. Components come from these by repeated star contraction in DataFrames.
@@ -41,32 +46,55 @@ from .components import connected
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
-    """The 64-bit fingerprint of one UTF-8 text, as a signed integer."""
+def fingerprint(text: bytes, width: int = 4, words: int = 1, seed: int = 42) -> bytes:
+    """The fingerprint of one UTF-8 text: ``words`` times eight bytes, each word's highest bit first.
+
+    The first word is made of the shingles' XXH64, each further one of the same hashes mixed by another constant.
+    """
     import xxhash
 
-    words = text.lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    if len(words) <= width:
-        grams = [b" ".join(words)]
+    own = text.lower().split()  # bytes: A-Z and ASCII white space only
+    if not own:
+        return bytes(8 * words)
+    if len(own) <= width:
+        grams = [b" ".join(own)]
     else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(width))))
+        grams = map(b" ".join, zip(*(own[i:] for i in range(width))))
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(g, seed) for g in grams), np.uint64)
-    n, counts = len(hashes), np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        counts += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+    n, out = len(hashes), b""
+    for k in range(words):
+        mixed = _mixed(hashes, k) if k else hashes
+        counts = np.zeros(64, np.int64)
+        for at in range(0, n, 1 << 16):
+            counts += np.unpackbits(mixed[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out += np.packbits(2 * counts > n).tobytes()
+    return out
+
 
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    x = hashes + np.uint64(k) * _GOLDEN
+    x = (x ^ (x >> np.uint64(31))) * _GOLDEN
+    x = (x ^ (x >> np.uint64(29))) * _GOLDEN
+    return x ^ (x >> np.uint64(32))
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp long) for each row; one pass over the texts."""
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, words: int = 1) -> DataFrame:
+    """(id, fp binary) for each row; one pass over the texts."""
 
     def start():
-        return lambda texts: [[fingerprint(t, width) for t in texts]]
+        return lambda texts: [[fingerprint(t, width, words) for t in texts]]
+
+    return common.map_texts(df, id_col, text_col, T.StructType([T.StructField("fp", T.BinaryType())]), start)
+
 
-    return common.map_texts(df, id_col, text_col, T.StructType([T.StructField("fp", T.LongType())]), start)
+def _points(column: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
+    """Fingerprints as a matrix of unsigned words."""
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+
+
+def _binary(points: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in points.astype(">u8")], pa.binary())
 
 
 @dataclass(frozen=True)
@@ -80,51 +108,58 @@ class Node:
     shard: int = -1
 
 
-def masks(windows: int) -> list[int]:
-    """The bits of each part, as equal in number as can be."""
-    at = [64 * i // windows for i in range(windows + 1)]
-    return [((1 << b) - (1 << a)) & (2**64 - 1) for a, b in zip(at, at[1:])]
+@dataclass(frozen=True)
+class Part:
+    """Some bits of one word of the fingerprints, and how far a search in them goes."""
+
+    word: int
+    mask: int
+    reach: int
 
+    def distances(self, points: np.ndarray, vantage: int) -> np.ndarray:
+        return np.bitwise_count((points[:, self.word] ^ np.uint64(vantage)) & np.uint64(self.mask)).astype(np.int16)
 
-def distances(points: np.ndarray, vantage: int, mask: int) -> np.ndarray:
-    return np.bitwise_count((points ^ np.uint64(vantage)) & np.uint64(mask))
 
+def parts_of(words: int, windows: int, reach: int) -> list[Part]:
+    """The parts of all words, as equal in size as can be."""
+    at = [64 * i // windows for i in range(windows + 1)]
+    return [Part(k, ((1 << b) - (1 << a)) & (2**64 - 1), reach) for k in range(words) for a, b in zip(at, at[1:])]
 
-def choose(points: np.ndarray, mask: int, radius: int) -> tuple[int, int] | None:
+
+def choose(points: np.ndarray, part: Part) -> tuple[int, int] | None:
     """The vantage point and the cut of a node: of a few candidates, the one whose branches share the fewest points.
 
     None if no cut leaves points on both sides.
     """
     best = None
-    for at in sorted({0, len(points) // 3, 2 * len(points) // 3, len(points) - 1}):
-        d = distances(points, int(points[at]), mask)
-        counts = np.bincount(d, minlength=66)
-        below = np.cumsum(counts)
-        n = len(points)
+    n = len(points)
+    for at in sorted({0, n // 3, 2 * n // 3, n - 1}):
+        vantage = int(points[at, part.word])
+        below = np.cumsum(np.bincount(part.distances(points, vantage), minlength=66))
         for cut in range(65):
             inside = int(below[cut])
             if not 0 < inside < n:
                 continue
-            visits_in = int(below[min(65, cut + radius)])
-            visits_out = n - (int(below[cut - radius]) if cut >= radius else 0)
+            visits_in = int(below[min(65, cut + part.reach)])
+            visits_out = n - (int(below[cut - part.reach]) if cut >= part.reach else 0)
             cost = (visits_in * inside + visits_out * (n - inside)) / (n * n)
             if best is None or cost < best[0]:
-                best = (cost, int(points[at]), cut)
+                best = (cost, vantage, cut)
     return best and best[1:]
 
 
-def grow(sample: np.ndarray, mask: int, radius: int, leaf: int, next_shard: list[int]) -> Node:
+def grow(sample: np.ndarray, part: Part, leaf: int, next_shard: list[int]) -> Node:
     """The top of a tree, down to ``leaf`` sample points a shard."""
-    found = choose(sample, mask, radius) if len(sample) > leaf else None
+    found = choose(sample, part) if len(sample) > leaf else None
     if not found:
         next_shard[0] += 1
         return Node(shard=next_shard[0] - 1)
     vantage, cut = found
-    inside = distances(sample, vantage, mask) <= cut
-    return Node(vantage, cut, grow(sample[inside], mask, radius, leaf, next_shard), grow(sample[~inside], mask, radius, leaf, next_shard))
+    inside = part.distances(sample, vantage) <= cut
+    return Node(vantage, cut, grow(sample[inside], part, leaf, next_shard), grow(sample[~inside], part, leaf, next_shard))
 
 
-def route(node: Node, points: np.ndarray, at: np.ndarray, home: np.ndarray, mask: int, radius: int, out: list) -> None:
+def route(node: Node, points: np.ndarray, at: np.ndarray, home: np.ndarray, part: Part, out: list) -> None:
     """Adds (shard, positions, lives there) to ``out`` for every shard that the points' balls overlap.
 
     A pair whose homes part at a node is found once: there only the outer point visits, the inner stays in its branch.
@@ -135,12 +170,12 @@ def route(node: Node, points: np.ndarray, at: np.ndarray, home: np.ndarray, mask
     if node.shard >= 0:
         out.append((node.shard, at, home))
         return
-    d = distances(points[at], node.vantage, mask).astype(np.int16)
+    d = part.distances(points[at], node.vantage)
     lives_in = d <= node.cut
-    goes_in = d - radius <= node.cut
-    goes_out = lives_in.__invert__() | (~home & (d + radius > node.cut))
-    route(node.inside, points, at[goes_in], home[goes_in] & lives_in[goes_in], mask, radius, out)
-    route(node.outside, points, at[goes_out], home[goes_out], mask, radius, out)
+    goes_in = d - part.reach <= node.cut
+    goes_out = ~lives_in | (~home & (d + part.reach > node.cut))
+    route(node.inside, points, at[goes_in], home[goes_in] & lives_in[goes_in], part, out)
+    route(node.outside, points, at[goes_out], home[goes_out], part, out)
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:
@@ -164,69 +199,76 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         parent = _roots(parent)
 
 
-def _within(points, homes, seekers, mask, part, radius, parent, leaf=192, most=1 << 21):
-    """Joins all links between ``homes`` and ``seekers`` (positions in ``points``), by a tree over the homes."""
-    stack = [(homes, seekers)]
+def _compare(points, homes, seekers, part: Part, radius: int, parent, most: int = 1 << 21):
+    """Joins all links between two sets of positions. Homes of one tree are not compared with seekers of the same."""
+    step = max(1, most // max(1, len(seekers)))
+    while len(homes):
+        roots, of, counts = np.unique(parent[homes], return_inverse=True, return_counts=True)
+        top = int(counts.argmax())
+        chosen = np.flatnonzero(of == top)[:step] if counts[top] >= 32 else np.arange(min(step, len(homes)))
+        block, homes = homes[chosen], np.delete(homes, chosen)
+        others = seekers[parent[seekers] != roots[top]] if counts[top] >= 32 else seekers
+        near = np.bitwise_count((points[block, part.word][:, None] ^ points[others, part.word][None, :]) & np.uint64(part.mask)) <= part.reach
+        i, j = np.nonzero(near)
+        i, j = block[i], others[j]
+        apart = parent[i] != parent[j]
+        i, j = i[apart], j[apart]
+        linked = np.bitwise_count(points[i] ^ points[j]).sum(1, dtype=np.int32) <= radius
+        parent = _join(parent, i[linked], j[linked])
+    return parent
+
+
+def forest(points: np.ndarray, home: np.ndarray, part: Part, radius: int, leaf: int = 192) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between those that live in a shard and all that are in it, as positions."""
+    everyone = np.arange(len(points))
+    parent = everyone.copy()
+    stack = [(everyone[home], everyone)]
     while stack:
         homes, seekers = stack.pop()
         if not len(homes) or not len(seekers):
             continue
-        found = choose(points[homes[:: max(1, len(homes) // 512)]], mask, part) if len(homes) > leaf else None
+        found = choose(points[homes[:: max(1, len(homes) // 512)]], part) if len(homes) > leaf else None
         if found:
             vantage, cut = found
-            inside = distances(points[homes], vantage, mask) <= cut
-            if inside.any() and not inside.all():
-                d = distances(points[seekers], vantage, mask).astype(np.int16)
-                goes_in, goes_out = d - part <= cut, d + part > cut
-                work = inside.sum() * goes_in.sum() + (~inside).sum() * goes_out.sum()
-                if work < 0.9 * len(homes) * len(seekers):
-                    stack += [(homes[inside], seekers[goes_in]), (homes[~inside], seekers[goes_out])]
-                    continue
-        step = max(1, most // len(seekers))
-        for at in range(0, len(homes), step):
-            block = homes[at : at + step]
-            i, j = np.nonzero(np.bitwise_count(points[block][:, None] ^ points[seekers][None, :]) <= radius)
-            parent = _join(parent, block[i], seekers[j])
-    return parent
-
-
-def forest(points: np.ndarray, home: np.ndarray, mask: int, part: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between those that live in a shard and all that are in it, as pairs."""
-    points, first, back = np.unique(points, return_index=True, return_inverse=True)
-    lives = np.zeros(len(points), bool)
-    lives[back[home]] = True
-    everyone = np.arange(len(points))
-    parent = _within(points, everyone[lives], everyone, mask, part, radius, everyone.copy())
-    linked = parent != everyone
-    return points[everyone[linked]], points[parent[linked]]
+            inside = part.distances(points[homes], vantage) <= cut
+            d = part.distances(points[seekers], vantage)
+            goes_in, goes_out = d - part.reach <= cut, d + part.reach > cut
+            work = int(inside.sum()) * int(goes_in.sum()) + int((~inside).sum()) * int(goes_out.sum())
+            if inside.any() and not inside.all() and work < 0.9 * len(homes) * len(seekers):
+                stack += [(homes[inside], seekers[goes_in]), (homes[~inside], seekers[goes_out])]
+                continue
+        parent = _compare(points, homes, seekers, part, radius, parent)
+    linked = np.flatnonzero(parent != everyone)
+    return linked, parent[linked]
 
 
-_VISIT = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("home", T.BooleanType()), T.StructField("point", T.LongType())])
-_EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_VISIT = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("home", T.BooleanType()), T.StructField("point", T.BinaryType())])
+_EDGE = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
 
-def links(points: DataFrame, radius: int = 4, windows: int = 3, sample: int = 65536, shard: int = 8192) -> DataFrame:
+def links(points: DataFrame, radius: int = 4, words: int = 1, windows: int = 3, reach: int | None = None, sample: int = 65536, shard: int = 8192) -> DataFrame:
     """(a, b): a spanning forest, in parts, of the links between the distinct fingerprints in column ``point``.
 
-    The tops of the trees grow on an eighth of the fingerprints, ``sample`` at most, so that there are as many shards as
-    the input needs; a shard in which over four times ``shard`` live after all is dealt out by a salt.
+    ``reach`` is how many bits a search in a part goes; by default the least with which no link is lost. The tops of the
+    trees grow on an eighth of the fingerprints, ``sample`` at most, so that there are as many shards as the input needs; a
+    shard in which over four times ``shard`` live after all is dealt out by a salt.
     """
     spark = points.sparkSession
-    part, parts = radius // windows, masks(windows)
+    parts = parts_of(words, windows, radius // (words * windows) if reach is None else reach)
     n = points.count()
-    taken = [r[0] for r in points.orderBy(F.xxhash64("point"), "point").limit(min(sample, -(-n // 8))).collect()]
-    picked = np.array(taken, np.int64).astype(np.uint64)
+    taken = [bytes(r[0]) for r in points.orderBy(F.xxhash64("point"), "point").limit(min(sample, -(-n // 8))).collect()]
+    picked = _points(pa.array(taken, pa.binary()), words)
     leaf = max(2, int(shard * len(picked) / max(n, 1)))
-    trees = [grow(picked, m, part, leaf, [0]) for m in parts]
+    trees = [grow(picked, part, leaf, [0]) for part in parts]
 
     def visits(batches):
         for batch in batches:
-            own = batch.column(0).to_numpy().astype(np.uint64)
-            for k, (tree, mask) in enumerate(zip(trees, parts)):
+            own = _points(batch.column(0), words)
+            for k, (tree, part) in enumerate(zip(trees, parts)):
                 out: list = []
-                route(tree, own, np.arange(len(own)), np.ones(len(own), bool), mask, part, out)
+                route(tree, own, np.arange(len(own)), np.ones(len(own), bool), part, out)
                 for where, at, home in out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), where, np.int32)), pa.array(home), pa.array(own[at].astype(np.int64))], names=_VISIT.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), where, np.int32)), pa.array(home), batch.column(0).take(pa.array(at))], names=_VISIT.names)
 
     seen = points.select("point").mapInArrow(visits, _VISIT)
     size = seen.groupBy("tree", "shard").agg(F.sum(F.col("home").cast("long")).alias("lives"))
@@ -242,36 +284,39 @@ def links(points: DataFrame, radius: int = 4, windows: int = 3, sample: int = 65
     )
 
     def search(key, group):
-        own = group.column("point").to_numpy().astype(np.uint64)
-        a, b = forest(own, group.column("home").to_numpy().astype(bool), parts[key[0].as_py()], part, radius)
-        return pa.table([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+        column = group.column("point").combine_chunks()
+        a, b = forest(_points(column, words), group.column("home").to_numpy().astype(bool), parts[key[0].as_py()], radius)
+        return pa.table([column.take(pa.array(a)), column.take(pa.array(b))], names=["a", "b"])
 
     return dealt.groupBy("tree", "shard", "salt").applyInArrow(search, _EDGE)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, **how) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, words: int = 1, **how) -> DataFrame:
     """(id, fp, component): for each row, its fingerprint and the smallest id that links reach from it."""
-    fps = common.cut(fingerprints(df, id_col, text_col, width))
+    fps = common.cut(fingerprints(df, id_col, text_col, width, words))
     points = common.cut(fps.groupBy(F.col("fp").alias("point")).agg(F.min(id_col).alias("least")))
-    roots = connected(common.cut(links(points.select("point"), radius, **how)), "a", "b")
+    roots = connected(common.cut(links(points.select("point"), radius, words, **how)), "a", "b")
     joined = points.join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
     of = common.cut(joined.join(least, "root").select(F.col("point").alias("fp"), "component"))
     return fps.join(of, "fp").select(id_col, "fp", "component")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of ``df`` for each component: that with the smallest id (of equal ids, the first by text).
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_duplicates`` for five-word shingles and a similarity of about 0.8 or more."""
+    return near_duplicates(df, id_col, text_col, radius=44, width=5, words=4, reach=1)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``df`` for each component of ``similar``: that with the smallest id.
 
-    Rows with a null id stay only if nothing else is in their component (one row then).
+    Of rows with one id, one stays; rows with a null id stay only if nothing else is in their component (one row then).
     """
-    found = near_duplicates(df, id_col, text_col, **how)
-    chosen = found.groupBy("component").agg(F.min(id_col).alias("__keep")).select("__keep")
-    same = df.join(chosen, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    return same.dropDuplicates([id_col])
+    chosen = similar(df, id_col, text_col).groupBy("component").agg(F.min(id_col).alias("__keep")).select("__keep").distinct()
+    return df.join(chosen, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
