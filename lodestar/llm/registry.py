@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    from . import bpe, mix, pii, quality, simhash
+    from . import bpe, chat, licenses, media, mix, pii, quality, secrets, simhash, urls
 
     return {
-        "op3_simhash": simhash.op3_simhash,
         "op1_mix": mix.op1_mix,
+        "op2_secrets": secrets.op2_secrets,
+        "op3_simhash": simhash.op3_simhash,
         "op4_pii": pii.op4_pii,
+        "op5_urls": urls.op5_urls,
+        "op6_chat": chat.op6_chat,
+        "op7_licenses": licenses.op7_licenses,
+        "op8_media": media.op8_media,
         "op9_bpe": bpe.op9_bpe,
         "op10_quality": quality.op10_quality,
     }
