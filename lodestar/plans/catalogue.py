@@ -1,19 +1,376 @@
-"""The registered queries over the reference tables and the SQL that states the same results."""
+"""The registered queries over ``embeddings``, and the SQL that states the same results.
+
+Base: all rows; queries: every row whose id is divisible by 100, against all rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import distance
+from ..operators import evaluate, exact, sampling, sharded
+from ..operators import queries as query_sets
+from ..operators.ivf import index as ivf
+from ..operators.ivf import kmeans, pq_index
+from ..operators.quant import opq, pq, sq
+from ..session import table
+from . import oracle as o
+
+K, P = 10, 64
+LISTS = ivf.Params(lists=8, train_size=128, iters=2)
+CODES = pq.Params(parts=4, codes=8, train_size=128, iters=1)
+PROBES = 4
+WIDTH = 16
+EPSILON = 1.4
+
+
+def _base(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return query_sets.vector_table(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", *more)
+
+
+def _pair(spark: SparkSession, sf_dir: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    base = _base(spark, sf_dir, *more)
+    return base, query_sets.of_table(base)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """(qid, rank, id, dist, recall): exact neighbours, with each query's recall against the same search."""
+    base, q = _pair(spark, sf_dir)
+    found = exact.knn(base, q, K)
+    return found.join(evaluate.recall_by_query(found, found, q, K), "qid")
+
+
+def _flat(metric: str = "ip", **how):
+    return lambda spark, d: exact.knn(*_pair(spark, d), K, metric, **how)
+
+
+def _normal(spark, d):
+    return _base(spark, d).select("id", F.transform(distance.normalised(F.col("vec")), lambda x: F.round(x, 6)).alias("vec"))
+
+
+def _l2_codes(spark, d):
+    base, q = _pair(spark, d)
+    model = sq.train(base)
+    codes = sq.encode(base, model).select("id", F.col("code").alias("vec"))
+    return exact.knn(codes, query_sets.of_table(codes), K, "l2").withColumn("dist", F.col("dist").cast("long"))
+
+
+def _filtered(where):
+    return lambda spark, d: exact.knn(*_pair(spark, d, "label"), K, where=where)
+
+
+def _docs(spark, d):
+    base, q = _pair(spark, d)
+    return exact.nearest_documents(base.withColumn("doc_id", F.col("id") % 50), q, 5)
+
+
+def _tombstones(spark, d):
+    base, q = _pair(spark, d)
+    return exact.knn(exact.without(base, base.where("id % 7 = 0")), q, K)
+
+
+def _undeleted(spark, d):
+    base, q = _pair(spark, d)
+    back = base.where("id % 7 = 0").join(base.where("id % 14 = 0").select("id"), "id", "left_anti")
+    return exact.knn(exact.without(base, back), q, K)
+
+
+def _upserted(spark, d):
+    base, q = _pair(spark, d)
+    changed = base.where("id % 5 = 0").withColumn("vec", F.reverse("vec"))
+    return exact.knn(exact.upsert(base, changed), q, K)
+
+
+def _items(spark, d):
+    base = _base(spark, d)
+    return exact.items(base, base.where("id % 100 = 3").select("id"))
+
+
+def _sq_parts(spark, d):
+    base, q = _pair(spark, d)
+    model = sq.train(base)
+    return base, q, model
+
+
+def _sq_top(spark, d):
+    base, q, model = _sq_parts(spark, d)
+    return sq.approximate(sq.encode(base, model), sq._query_codes(q, model, sq.encode), model, P)
+
+
+def _train_sample(spark, d):
+    return sampling.training_ids(_base(spark, d), LISTS.train_size)
+
+
+def _ivf(spark, d):
+    base, q = _pair(spark, d)
+    return ivf.build(base, LISTS), q
+
+
+def _centroids(spark, d):
+    index, _ = _ivf(spark, d)
+    rows = kmeans.centroid_table(spark, index.centroids)
+    return rows.select("list_id", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+
+
+def _probe(spark, d):
+    index, q = _ivf(spark, d)
+    return ivf.probes_table(q, index.centroids, PROBES)
+
+
+def _ivf_search(probes, given=False):
+    def run(spark, d):
+        index, q = _ivf(spark, d)
+        if given:
+            lists = q.select("qid", F.explode(F.array(F.lit(0), F.lit(3))).alias("list_id"))
+            return ivf.search(index, q, K, given=lists)
+        return ivf.search(index, q, K, probes)
+
+    return run
+
+
+def _pq(spark, d):
+    base, q = _pair(spark, d)
+    return pq.build(base, CODES), q
+
+
+def _bytes(code):
+    """A binary code as an array of whole numbers."""
+    hexed = F.hex(code)
+    return F.transform(F.sequence(F.lit(0), F.lit(CODES.parts - 1)), lambda m: F.conv(F.substring(hexed, 2 * m + 1, F.lit(2)), 16, 10).cast("int"))
+
+
+def _pq_codes(spark, d):
+    index, _ = _pq(spark, d)
+    return index.rows.select("id", _bytes(F.col("code")).alias("code"))
+
+
+def _lut(whole: bool):
+    def run(spark, d):
+        index, q = _pq(spark, d)
+        out = []
+        for b in query_sets.blocks(q):
+            t = pq.tables(b.vecs, index.codebooks)
+            if whole:
+                t = pq.whole_numbers(t)[0]
+            n, m, c = t.shape
+            import numpy as np
+
+            grid = np.indices((n, m, c)).reshape(3, -1)
+            value = t.reshape(-1)
+            out.append(pa.table({"qid": b.qids[grid[0]], "m": grid[1].astype("int32"), "c": grid[2].astype("int32"), "value": value.astype("int64") if whole else np.round(value, 6) + 0.0}))
+        return spark.createDataFrame(pa.concat_tables(out))
+
+    return run
+
+
+def _pq_run(what):
+    return lambda spark, d: what(*_pq(spark, d))
+
+
+def _ivfpq(local: bool = False, rounds: int = 0):
+    def run(spark, d):
+        base, q = _pair(spark, d)
+        return (pq_index.build_local if local else pq_index.build_global)(base, LISTS, CODES, rounds), q
+
+    return run
+
+
+def _ivfpq_search(local=False, rounds=0):
+    return lambda spark, d: (lambda index, q: pq_index.search(index, q, K, PROBES, P))(*_ivfpq(local, rounds)(spark, d))
+
+
+def _rotation(spark, d):
+    base = _base(spark, d)
+    sample = sampling.training(base, 512)
+    rotation, errors = opq.train(sample, CODES, 3)
+    first, last = errors[0], errors[-1]
+    return spark.createDataFrame([(len(rotation), opq.error(rotation) < opq.WORST, last <= first * 1.02)], "dimension int, orthogonal boolean, not_worse boolean")
+
+
+def _owners(how):
+    return lambda spark, d: spark.range(100).select(F.col("id").cast("int").alias("list_id")).withColumn("shard", sharded.owner(F.col("list_id"), 100, 8, how))
+
+
+def _sharded_ivfpq(spark, d):
+    index, q = _ivfpq()(spark, d)
+    return pq_index.search_shards(index, q, K, PROBES, P, 50, sharded.owner(F.col("list_id"), 8, 4, sharded.CYCLIC))
+
+
+def _recall_sq(spark, d):
+    base, q = _pair(spark, d)
+    return evaluate.recall_by_query(sq.search(base, q, K, K), exact.knn(base, q, K), q, K)
+
+
+def _recall_probes(spark, d):
+    index, q = _ivf(spark, d)
+    truth = exact.knn(index.rows.select("id", "vec"), q, K)
+    return evaluate.sweep((1, 2, 4, 8), lambda n: ivf.search(index, q, K, n), truth, q, K, "nprobe")
+
+
+def _truth(spark, d):
+    return evaluate.ground_truth(*_pair(spark, d), K)
+
+
+def _layout_bytes(spark, d):
+    rows = _base(spark, d)
+    return rows.select("id", distance.element_sum(F.transform("vec", lambda x: F.round(x * 1000).cast("bigint"))).alias("total"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    from . import graph_queries
+
+    return {
+        "flat_ip": _flat(),
+        "flat_l2": _flat("l2"),
+        "flat_cosine": _flat("cosine"),
+        "flat_exclude_self": _flat(exclude_self=True),
+        "flat_l2_uint8": _l2_codes,
+        "normalise": _normal,
+        "element_sum": _layout_bytes,
+        "flat_local_topp_merge": lambda s, d: exact.knn_local(*_pair(s, d), K, F.col("id") % 4, 10),
+        "flat_local_p_lossy": lambda s, d: exact.knn_local(*_pair(s, d), K, F.col("id") % 4, 2),
+        "knn_filtered_label": _filtered(F.col("label") == 3),
+        "knn_filter_none": _filtered(F.lit(False)),
+        "knn_filter_even": _filtered(F.col("id") % 2 == 0),
+        "epsilon_search": lambda s, d: exact.within(*_pair(s, d), EPSILON),
+        "epsilon_max_candidates": lambda s, d: exact.within(*_pair(s, d), EPSILON, most=5, least=2),
+        "multivector_docs": _docs,
+        "knn_with_tombstones": _tombstones,
+        "knn_after_undelete": _undeleted,
+        "knn_after_upsert": _upserted,
+        "get_items_by_label": _items,
+        "sq8_params": lambda s, d: sq.train(_base(s, d)).select(*[F.round(c, 9).alias(c) for c in ("low", "high", "step")]),
+        "sq8_codes": lambda s, d: (lambda b: sq.encode(b, sq.train(b)).select("id", F.col("code").cast("array<int>").alias("code"), "code_sum"))(_base(s, d)),
+        "sq8_topp": _sq_top,
+        "sq8_search": lambda s, d: sq.search(*_pair(s, d), K, P),
+        "sq_int8_params": lambda s, d: sq.train_signed(_base(s, d)).select(*[F.round(c, 9).alias(c) for c in ("max_abs", "step")]),
+        "sq_int8_codes": lambda s, d: (lambda b: sq.encode_signed(b, sq.train_signed(b)).select("id", F.col("code").cast("array<int>").alias("code")))(_base(s, d)),
+        "sq_int8_search": lambda s, d: sq.search_signed(*_pair(s, d), K, P),
+        "train_sample_ids": _train_sample,
+        "kmeans_centroids": _centroids,
+        "ivf_assign": lambda s, d: _ivf(s, d)[0].rows.select("id", "list_id"),
+        "ivf_list_stats": lambda s, d: kmeans.list_stats(_ivf(s, d)[0].rows, LISTS.lists),
+        "ivf_probe": _probe,
+        "ivf_search": _ivf_search(PROBES),
+        "ivf_given_probes": _ivf_search(0, True),
+        "ivf_full_probe_equals_flat": _ivf_search(LISTS.lists),
+        "pq_encode_uniform": _pq_codes,
+        "pq_lut": _lut(False),
+        "pq_lut_i16": _lut(True),
+        "pq_topp": _pq_run(lambda i, q: pq.approximate(i, q, P).withColumn("dist", F.col("dist").cast("long"))),
+        "pq_search": _pq_run(lambda i, q: pq.search(i, q, K, P)),
+        "pq_local_p": _pq_run(lambda i, q: pq.search_local(i, q, K, P, 8, 4)),
+        "pq_phase_counts": _pq_run(lambda i, q: pq.phase_counts(i, q, K, P)),
+        "ivfpq_candidates": lambda s, d: (lambda i, q: pq_index.candidates(i, q, PROBES, P))(*_ivfpq()(s, d)),
+        "ivfpq_global_search": _ivfpq_search(),
+        "ivfpq_local_search": _ivfpq_search(True),
+        "opq_rotation_error": _rotation,
+        "ivfpq_global_opq_search": _ivfpq_search(False, 2),
+        "ivfpq_local_opq_search": _ivfpq_search(True, 2),
+        "shard_block": _owners(sharded.BLOCK),
+        "shard_cyclic": _owners(sharded.CYCLIC),
+        "mpi_ivfpq_search": _sharded_ivfpq,
+        "sharded_kmeans_flat_route": lambda s, d: sharded.routed_flat(*_pair(s, d), K, 4, 2, 128, 2),
+        "recall_at_k": _recall_sq,
+        "recall_by_nprobe": _recall_probes,
+        "ground_truth": _truth,
+    } | graph_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    ivf_parts = [o.sample(128), o.lloyd(8, 2), o.assigned("c2")]
+    pq_parts = [o.sample(128, 4, WIDTH), o.lloyd(8, 1, WIDTH), o.pq_codes("c1", 4, WIDTH), o.pq_lut("c1", WIDTH)]
+    pq_scored = f"approx AS ({o.topk('SELECT l.qid, k.id, CAST(-sum(l.x) AS BIGINT) AS dist FROM codes k JOIN lut16 l ON l.m = k.m AND l.c = k.c GROUP BY l.qid, k.id', P)})"
+    # Two sets of centroids in one statement: those of the lists under other names.
+    both = [
+        o.sample(128, 4, WIDTH),
+        o.lloyd(8, 1, WIDTH),
+        o.pq_codes("c1", 4, WIDTH),
+        o.pq_lut("c1", WIDTH),
+        o.sample(128, s="g"),
+        o.lloyd(8, 2, name="g", s="g"),
+        o.assigned("g2"),
+        o.probes("g2", PROBES),
+        f"cand AS ({o.topk('SELECT p.qid, k.id, round(1 - sum(l.x), 6) AS dist FROM probes p JOIN listed b ON b.list_id = p.list_id JOIN codes k ON k.id = b.id JOIN lut l ON l.qid = p.qid AND l.m = k.m AND l.c = k.c GROUP BY p.qid, k.id', P)})",
+    ]
+    sq8 = [
+        "lim AS (SELECT min(list_min(v)) AS low, max(list_max(v)) AS high FROM base)",
+        "model AS (SELECT low, high, CASE WHEN high > low THEN (high - low) / 255 ELSE 1.0 END AS step, CASE WHEN high > low THEN 255 / (high - low) ELSE 1.0 END AS inv FROM lim)",
+        "coded AS (SELECT id, list_transform(v, lambda x: greatest(0.0, least(255.0, sign((x - low) * inv) * floor(abs((x - low) * inv) + 0.5)))) AS code FROM base, model)",
+    ]
+    int8 = [
+        "model AS (SELECT max_abs, CASE WHEN max_abs > 0 THEN max_abs / 127 ELSE 1.0 END AS step FROM (SELECT max(list_max(list_transform(v, lambda x: abs(x)))) AS max_abs FROM base))",
+        "coded AS (SELECT id, list_transform(v, lambda x: greatest(-127.0, least(127.0, sign(x / step) * floor(abs(x / step) + 0.5)))) AS code FROM base, model)",
+    ]
+    sq_top = f"approx AS ({o.topk('SELECT qc.id AS qid, c.id, round(-(step * step * list_dot_product(qc.code, c.code) + step * low * (list_sum(qc.code) + list_sum(c.code)) + len(c.code) * low * low), 6) AS dist FROM coded qc, coded c, model WHERE qc.id % 100 = 0', P)})"
+    sq_top_k = sq_top.replace(f"rank <= {P}", f"rank <= {K}")
+    int8_top = f"approx AS ({o.topk('SELECT qc.id AS qid, c.id, -list_dot_product(qc.code, c.code) AS dist FROM coded qc, coded c WHERE qc.id % 100 = 0', P)})"
+    local = lambda p: o.with_(f"part AS ({o.topk(f'SELECT qid, id % 4 AS shard, id, {o.ip()} AS dist FROM q, base', p, 'qid, shard', 'qid, id, dist')})") + o.topk("SELECT * FROM part", K)
+    eps = f"SELECT qid, id, {o.l2()} AS dist FROM q, base"
+    listed = "SELECT p.qid, b.id, {} AS dist FROM {} p JOIN q USING (qid) JOIN listed b ON b.list_id = p.list_id".format(o.ip("q.qv", "b.v"), "{}")
+    sweep = " UNION ALL ".join(
+        f"SELECT {n} AS nprobe, count(*) AS queries, round(avg(round(coalesce(hits, 0) / 10, 6)), 6) AS recall FROM q LEFT JOIN (SELECT f.qid, count(*) AS hits FROM ({o.topk(listed.format(f'(SELECT * FROM probes WHERE rank <= {n})'), K)}) f JOIN truth t ON t.qid = f.qid AND t.id = f.id GROUP BY f.qid) USING (qid)"
+        for n in (1, 2, 4, 8)
+    )
+    deleted = lambda cond: o.with_() + o.flat(K, where=f"NOT ({cond})")
+    return {
+        "flat_ip": o.with_() + o.flat(K),
+        "flat_l2": o.with_() + o.flat(K, o.l2()),
+        "flat_cosine": o.with_() + o.flat(K, o.ip(o.unit("qv"), o.unit("v"))),
+        "flat_exclude_self": o.with_() + o.flat(K, where="id <> qid"),
+        "flat_l2_uint8": o.with_(*sq8) + o.topk(f"SELECT qc.id AS qid, c.id, CAST({o.l2_raw('qc.code', 'c.code')} AS BIGINT) AS dist FROM coded qc, coded c WHERE qc.id % 100 = 0", K),
+        "normalise": o.with_() + f"SELECT id, list_transform({o.unit('v')}, lambda z: round(z, 6)) AS vec FROM base",
+        "element_sum": o.with_() + "SELECT id, CAST(list_sum(list_transform(v, lambda x: CAST(round(x * 1000) AS BIGINT))) AS BIGINT) AS total FROM base",
+        "flat_local_topp_merge": local(10),
+        "flat_local_p_lossy": local(2),
+        "knn_filtered_label": o.with_() + o.flat(K, where="label = 3"),
+        "knn_filter_none": o.with_() + o.flat(K, where="false"),
+        "knn_filter_even": o.with_() + o.flat(K, where="id % 2 = 0"),
+        "epsilon_search": o.with_() + o.topk(f"SELECT * FROM ({eps}) WHERE dist <= {EPSILON}", 1 << 30),
+        "epsilon_max_candidates": o.with_() + f"SELECT * FROM ({o.topk(eps, 5)}) WHERE dist <= {EPSILON} OR rank <= 2",
+        "multivector_docs": o.with_()
+        + f"SELECT qid, rank, id, doc_id, dist FROM (SELECT *, sum(CASE WHEN fresh = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY dist, id ROWS UNBOUNDED PRECEDING) AS docs FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS INTEGER) AS rank, id, doc_id, dist, row_number() OVER (PARTITION BY qid, doc_id ORDER BY dist, id) AS fresh FROM (SELECT qid, id, id % 50 AS doc_id, {o.l2()} AS dist FROM q, base))) WHERE docs <= 5",
+        "knn_with_tombstones": deleted("id % 7 = 0"),
+        "knn_after_undelete": deleted("id % 7 = 0 AND id % 14 <> 0"),
+        "knn_after_upsert": o.with_("now AS (SELECT id, CASE WHEN id % 5 = 0 THEN list_reverse(v) ELSE v END AS v FROM base)") + o.topk(f"SELECT qid, id, {o.ip()} AS dist FROM q, now", K),
+        "get_items_by_label": "SELECT vec_id AS id, embedding AS vec FROM embeddings WHERE vec_id % 100 = 3",
+        "sq8_params": o.with_(*sq8) + "SELECT round(low, 9) AS low, round(high, 9) AS high, round(step, 9) AS step FROM model",
+        "sq8_codes": o.with_(*sq8) + "SELECT id, code::INTEGER[] AS code, CAST(list_sum(code) AS BIGINT) AS code_sum FROM coded",
+        "sq8_topp": o.with_(*sq8, sq_top) + "SELECT * FROM approx",
+        "sq8_search": o.with_(*sq8, sq_top) + o.reranked("approx", K),
+        "sq_int8_params": o.with_(*int8) + "SELECT round(max_abs, 9) AS max_abs, round(step, 9) AS step FROM model",
+        "sq_int8_codes": o.with_(*int8) + "SELECT id, code::INTEGER[] AS code FROM coded",
+        "sq_int8_search": o.with_(*int8, int8_top) + o.reranked("approx", K),
+        "train_sample_ids": o.with_(o.sample(128)) + "SELECT CAST(t AS INTEGER) AS t, (t * n) // tn AS id FROM range(128) r(t), sn WHERE t < tn",
+        "kmeans_centroids": o.with_(*ivf_parts) + "SELECT CAST(c AS INTEGER) AS list_id, list_transform(cv, lambda x: round(x, 6)) AS centroid FROM c2",
+        "ivf_assign": o.with_(*ivf_parts) + "SELECT id, list_id FROM listed",
+        "ivf_list_stats": o.with_(*ivf_parts) + "SELECT count(*) AS lists, min(n) AS min_rows, max(n) AS max_rows, round(avg(n), 6) AS avg_rows, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty_lists FROM (SELECT r.c, count(b.id) AS n FROM range(8) r(c) LEFT JOIN listed b ON b.list_id = r.c GROUP BY r.c)",
+        "ivf_probe": o.with_(*ivf_parts, o.probes("c2", PROBES)) + "SELECT * FROM probes",
+        "ivf_search": o.with_(*ivf_parts, o.probes("c2", PROBES)) + o.topk(listed.format("probes"), K),
+        "ivf_given_probes": o.with_(*ivf_parts) + o.topk(f"SELECT qid, id, {o.ip()} AS dist FROM q, listed WHERE list_id IN (0, 3)", K),
+        "ivf_full_probe_equals_flat": o.with_() + o.flat(K),
+        "pq_encode_uniform": o.with_(*pq_parts) + "SELECT id, list(CAST(c AS INTEGER) ORDER BY m) AS code FROM codes GROUP BY id",
+        "pq_lut": o.with_(*pq_parts) + "SELECT qid, CAST(m AS INTEGER) AS m, CAST(c AS INTEGER) AS c, round(x, 6) + 0.0 AS value FROM lut",
+        "pq_lut_i16": o.with_(*pq_parts, o.LUT16) + "SELECT qid, CAST(m AS INTEGER) AS m, CAST(c AS INTEGER) AS c, x AS value FROM lut16",
+        "pq_topp": o.with_(*pq_parts, o.LUT16, pq_scored) + "SELECT * FROM approx",
+        "pq_search": o.with_(*pq_parts, o.LUT16, pq_scored) + o.reranked("approx", K),
+        "ivfpq_candidates": o.with_(*both) + "SELECT * FROM cand",
+        "ivfpq_global_search": o.with_(*both) + o.reranked("cand", K),
+        "shard_block": "SELECT CAST(l AS INTEGER) AS list_id, CAST(CASE WHEN l < 52 THEN l // 13 ELSE 4 + (l - 52) // 12 END AS INTEGER) AS shard FROM range(100) r(l)",
+        "shard_cyclic": "SELECT CAST(l AS INTEGER) AS list_id, CAST(l % 8 AS INTEGER) AS shard FROM range(100) r(l)",
+        "mpi_ivfpq_search": o.with_(
+            *both[:-1],
+            f"cand AS ({o.topk('SELECT p.qid, p.list_id % 4 AS shard, k.id, round(1 - sum(l.x), 6) AS dist FROM probes p JOIN listed b ON b.list_id = p.list_id JOIN codes k ON k.id = b.id JOIN lut l ON l.qid = p.qid AND l.m = k.m AND l.c = k.c GROUP BY p.qid, p.list_id % 4, k.id', P, 'qid, shard', 'qid, shard, id, dist, rank')})",
+            f"near AS ({o.reranked('cand', 50, 'qid, shard', 'qid, shard, id, dist')})",
+        )
+        + o.topk("SELECT qid, id, dist FROM near", K),
+        "sharded_kmeans_flat_route": o.with_(o.sample(128), o.lloyd(4, 2, how="first", empty="keep"), o.assigned("c2"), o.probes("c2", 2, o.ip("q.qv", "k.cv"))) + o.topk(listed.format("probes"), K),
+        "recall_at_k": o.with_(*sq8, sq_top_k, f"truth AS ({o.flat(K)})", f"found AS ({o.reranked('approx', K)})")
+        + "SELECT qid, round(coalesce(hits, 0) / 10, 6) AS recall FROM q LEFT JOIN (SELECT f.qid, count(*) AS hits FROM found f JOIN truth t ON t.qid = f.qid AND t.id = f.id GROUP BY f.qid) USING (qid)",
+        "recall_by_nprobe": o.with_(*ivf_parts, o.probes("c2", 8), f"truth AS ({o.flat(K)})") + sweep,
+        "ground_truth": o.with_() + f"SELECT qid, list(id ORDER BY rank) AS gt FROM ({o.flat(K)}) GROUP BY qid",
+    }
