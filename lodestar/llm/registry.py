@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import bpe, chat, licenses, media, mix, pii, quality, secrets, simhash, urls
 
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_mix": mix.op1_mix,
         "op2_secrets": secrets.op2_secrets,
         "op3_simhash": simhash.op3_simhash,
