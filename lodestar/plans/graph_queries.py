@@ -1,5 +1,97 @@
-"""Queries over proximity graphs."""
+"""Queries over proximity graphs. Their results depend on drawn levels, so they have no SQL; tests hold them to recall
+against exact search and to invariants."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import queries as query_sets
+from ..operators.graph import index as graphs
+from ..operators.graph import layout
+from ..operators.graph.core import Params
+from ..session import table
+
+K = 10
+PARAMS = Params(m=8, ef_construction=40, ef=64, seed=100, metric="ip")
+SHARDS = 4
+
+
+def _pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    base = query_sets.vector_table(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return base, query_sets.of_table(base)
+
+
+def _index(spark, d):
+    base, q = _pair(spark, d)
+    return graphs.build(base, PARAMS, SHARDS), q, base
+
+
+def _on(what: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: what(*_index(spark, d))
+
+
+def _deleted(index, q, base):
+    gone = graphs.mark_deleted(index, base.where("id % 7 = 0").select("id"))
+    return graphs.search(gone, q, K)
+
+
+def _updated(index, q, base):
+    changed = base.where("id % 25 = 1").withColumn("vec", F.reverse("vec"))
+    return graphs.search(graphs.upsert(index, changed), q, K)
+
+
+def _replaced(index, q, base):
+    gone = graphs.mark_deleted(index, base.where("id % 25 = 2").select("id"))
+    fresh = base.where("id % 25 = 2").select((F.col("id") + 1_000_000).alias("id"), "vec")
+    return graphs.search(graphs.upsert(gone, fresh, replace_deleted=True), q, K)
+
+
+def _moved(index, q, base):
+    new = graphs.reordered(index, layout.RCM)
+    old = index.nodes.select("label", F.col("node").alias("before"))
+    return new.nodes.select("label", F.col("node").alias("after")).join(old, "label").agg(F.count(F.lit(1)).alias("nodes"), F.sum((F.col("before") != F.col("after")).cast("long")).alias("moved"))
+
+
+def _gorder(index, q, base):
+    before = graphs.window_scores(index).withColumnRenamed("score", "before")
+    return before.join(graphs.window_scores(graphs.reordered(index, layout.GORDER, 5)).withColumnRenamed("score", "after"), "shard")
+
+
+def _porder(index, q, base):
+    profile = graphs.walks(index, q, K)
+    new = graphs.reordered(index, layout.PORDER, 5, profile)
+    return graphs.search(new, q, K)
+
+
+def _kmeans(visit):
+    def run(spark, d):
+        base, q = _pair(spark, d)
+        index, centres = graphs.build_kmeans(base, PARAMS, 8, 128, 2)
+        return graphs.search_routed(index, q, K, visit(centres)) if visit else graphs.search(index, q, K)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "hnsw_search": _on(lambda i, q, b: graphs.search(i, q, K)),
+        "hnsw_filtered": _on(lambda i, q, b: graphs.search(i, q, K, where=F.col("label") % 2 == 0)),
+        "hnsw_epsilon": _on(lambda i, q, b: graphs.search_within(i, q, 0.75, 20)),
+        "hnsw_deleted": _on(_deleted),
+        "hnsw_updated": _on(_updated),
+        "hnsw_replace_deleted": _on(_replaced),
+        "hnsw_integrity": _on(lambda i, q, b: graphs.faults(i).agg(F.count(F.lit(1)).alias("faults"))),
+        "hnsw_level_histogram": _on(lambda i, q, b: graphs.levels(i)),
+        "hnsw_statistics": _on(lambda i, q, b: graphs.statistics(i, q, K)),
+        "hnsw_rcm_moved": _on(_moved),
+        "hnsw_gorder_score": _on(_gorder),
+        "hnsw_porder_profile": _on(lambda i, q, b: graphs.walks(i, q, K)),
+        "hnsw_porder_search": _on(_porder),
+        "random_hnsw_search": _on(lambda i, q, b: graphs.search(i, q, K, local_p=50)),
+        "kmeans_hnsw_search": _kmeans(None),
+        "ivf_hnsw_search": _kmeans(lambda centres: graphs.nearest_lists(centres, 4)),
+        "hoh_search": _kmeans(lambda centres: graphs.upper_graph(centres, 4)),
+    }

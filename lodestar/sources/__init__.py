@@ -1 +1,25 @@
+"""Sources and sinks, and tables that outlive the executors that made them."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    got = spark.conf.get("spark.checkpoint.dir", None)
+    if not got:
+        got = "file://" + tempfile.mkdtemp(prefix="lodestar-shared-")
+        spark.conf.set("spark.checkpoint.dir", got)
+    return got.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: made once, and kept if executors are lost."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lodestar/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
