@@ -62,7 +62,7 @@ class Graph:
 
     def __post_init__(self):
         self.vecs = np.zeros((0, self.dim)) if self.vecs is None else self.vecs
-        self._seen, self._tag = np.zeros(len(self.vecs), np.int64), 0
+        self._seen, self._tag, self._at = np.zeros(len(self.vecs), np.int64), 0, None
         self._rng = np.random.default_rng(self.params.seed)
 
     def __len__(self) -> int:
@@ -215,7 +215,6 @@ class Graph:
             self.entry = i
         return i
 
-    _at: dict[int, int] = None
 
     def labels_at(self) -> dict[int, int]:
         if self._at is None:
