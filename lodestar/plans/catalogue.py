@@ -20,11 +20,11 @@ from ..operators.quant import opq, pq, sq
 from ..session import table
 from . import oracle as o
 
-K, P = 10, 64
+K, P = 10, 200
 LISTS = ivf.Params(lists=8, train_size=128, iters=2)
-CODES = pq.Params(parts=4, codes=8, train_size=128, iters=1)
-PROBES = 4
-WIDTH = 16
+CODES = pq.Params(parts=16, codes=32, train_size=128, iters=1)
+PROBES = 6
+PARTS, WIDTH = CODES.parts, 64 // CODES.parts
 EPSILON = 1.4
 
 
@@ -263,7 +263,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pq_lut_i16": _lut(True),
         "pq_topp": _pq_run(lambda i, q: pq.approximate(i, q, P).withColumn("dist", F.col("dist").cast("long"))),
         "pq_search": _pq_run(lambda i, q: pq.search(i, q, K, P)),
-        "pq_local_p": _pq_run(lambda i, q: pq.search_local(i, q, K, P, 8, 4)),
+        "pq_local_p": _pq_run(lambda i, q: pq.search_local(i, q, K, P, 40, 4)),
         "pq_phase_counts": _pq_run(lambda i, q: pq.phase_counts(i, q, K, P)),
         "ivfpq_candidates": lambda s, d: (lambda i, q: pq_index.candidates(i, q, PROBES, P))(*_ivfpq()(s, d)),
         "ivfpq_global_search": _ivfpq_search(),
@@ -274,7 +274,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "shard_block": _owners(sharded.BLOCK),
         "shard_cyclic": _owners(sharded.CYCLIC),
         "mpi_ivfpq_search": _sharded_ivfpq,
-        "sharded_kmeans_flat_route": lambda s, d: sharded.routed_flat(*_pair(s, d), K, 4, 2, 128, 2),
+        "sharded_kmeans_flat_route": lambda s, d: sharded.routed_flat(*_pair(s, d), K, 8, 6, 128, 2),
         "recall_at_k": _recall_sq,
         "recall_by_nprobe": _recall_probes,
         "ground_truth": _truth,
@@ -283,13 +283,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     ivf_parts = [o.sample(128), o.lloyd(8, 2), o.assigned("c2")]
-    pq_parts = [o.sample(128, 4, WIDTH), o.lloyd(8, 1, WIDTH), o.pq_codes("c1", 4, WIDTH), o.pq_lut("c1", WIDTH)]
+    pq_parts = [o.sample(128, PARTS, WIDTH), o.lloyd(CODES.codes, 1, WIDTH), o.pq_codes("c1", PARTS, WIDTH), o.pq_lut("c1", WIDTH)]
     pq_scored = f"approx AS ({o.topk('SELECT l.qid, k.id, CAST(-sum(l.x) AS BIGINT) AS dist FROM codes k JOIN lut16 l ON l.m = k.m AND l.c = k.c GROUP BY l.qid, k.id', P)})"
     # Two sets of centroids in one statement: those of the lists under other names.
     both = [
-        o.sample(128, 4, WIDTH),
-        o.lloyd(8, 1, WIDTH),
-        o.pq_codes("c1", 4, WIDTH),
+        o.sample(128, PARTS, WIDTH),
+        o.lloyd(CODES.codes, 1, WIDTH),
+        o.pq_codes("c1", PARTS, WIDTH),
         o.pq_lut("c1", WIDTH),
         o.sample(128, s="g"),
         o.lloyd(8, 2, name="g", s="g"),
@@ -368,7 +368,7 @@ def oracle_sql() -> dict[str, str]:
             f"near AS ({o.reranked('cand', 50, 'qid, shard', 'qid, shard, id, dist')})",
         )
         + o.topk("SELECT qid, id, dist FROM near", K),
-        "sharded_kmeans_flat_route": o.with_(o.sample(128), o.lloyd(4, 2, how="first", empty="keep"), o.assigned("c2"), o.probes("c2", 2, o.ip("q.qv", "k.cv"))) + o.topk(listed.format("probes"), K),
+        "sharded_kmeans_flat_route": o.with_(o.sample(128), o.lloyd(8, 2, how="first", empty="keep"), o.assigned("c2"), o.probes("c2", 6, o.ip("q.qv", "k.cv"))) + o.topk(listed.format("probes"), K),
         "recall_at_k": o.with_(*sq8, sq_top_k, f"truth AS ({o.flat(K)})", f"found AS ({o.reranked('approx', K)})")
         + "SELECT qid, round(coalesce(hits, 0) / 10, 6) AS recall FROM q LEFT JOIN (SELECT f.qid, count(*) AS hits FROM found f JOIN truth t ON t.qid = f.qid AND t.id = f.id GROUP BY f.qid) USING (qid)",
         "recall_by_nprobe": o.with_(*ivf_parts, o.probes("c2", 8), f"truth AS ({o.flat(K)})") + sweep,

@@ -92,6 +92,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hnsw_porder_search": _on(_porder),
         "random_hnsw_search": _on(lambda i, q, b: graphs.search(i, q, K, local_p=50)),
         "kmeans_hnsw_search": _kmeans(None),
-        "ivf_hnsw_search": _kmeans(lambda centres: graphs.nearest_lists(centres, 4)),
-        "hoh_search": _kmeans(lambda centres: graphs.upper_graph(centres, 4)),
+        "ivf_hnsw_search": _kmeans(lambda centres: graphs.nearest_lists(centres, 6)),
+        "hoh_search": _kmeans(lambda centres: graphs.upper_graph(centres, 6)),
     }
