@@ -199,7 +199,7 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         parent = _roots(parent)
 
 
-def _compare(points, homes, seekers, part: Part, radius: int, parent, most: int = 1 << 21):
+def _compare(points, homes, seekers, part: Part, radius: int, parent, most: int = 1 << 18):
     """Joins all links between two sets of positions. Homes of one tree are not compared with seekers of the same."""
     step = max(1, most // max(1, len(seekers)))
     while len(homes):
@@ -246,18 +246,22 @@ _VISIT = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("sh
 _EDGE = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
 
-def links(points: DataFrame, radius: int = 4, words: int = 1, windows: int = 3, reach: int | None = None, sample: int = 65536, shard: int = 8192) -> DataFrame:
+def links(points: DataFrame, radius: int = 4, words: int = 1, windows: int = 3, reach: int | None = None, sample: int = 65536, shard: int | None = None) -> DataFrame:
     """(a, b): a spanning forest, in parts, of the links between the distinct fingerprints in column ``point``.
 
     ``reach`` is how many bits a search in a part goes; by default the least with which no link is lost. The tops of the
-    trees grow on an eighth of the fingerprints, ``sample`` at most, so that there are as many shards as the input needs; a
-    shard in which over four times ``shard`` live after all is dealt out by a salt.
+    trees grow on the fingerprints whose hash falls into one of so many classes that about an eighth of them are taken, and
+    about ``sample`` at most. About ``shard`` fingerprints live in a shard: by default 65536, from 67 million on a 1024th of
+    all, a million at most, so that a tree of few levels sends each fingerprint to few shards. A shard in which over
+    four times as many live is dealt out by a salt.
     """
     spark = points.sparkSession
     parts = parts_of(words, windows, radius // (words * windows) if reach is None else reach)
     n = points.count()
-    taken = [bytes(r[0]) for r in points.orderBy(F.xxhash64("point"), "point").limit(min(sample, -(-n // 8))).collect()]
+    one_in = max(8, -(-n // sample))
+    taken = sorted(bytes(r[0]) for r in points.where(F.pmod(F.xxhash64("point"), F.lit(one_in)) == 0).select("point").collect())
     picked = _points(pa.array(taken, pa.binary()), words)
+    shard = shard or min(1 << 20, max(1 << 16, n >> 10))
     leaf = max(2, int(shard * len(picked) / max(n, 1)))
     trees = [grow(picked, part, leaf, [0]) for part in parts]
 
@@ -297,7 +301,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     points = common.cut(fps.groupBy(F.col("fp").alias("point")).agg(F.min(id_col).alias("least")))
     roots = connected(common.cut(links(points.select("point"), radius, words, **how)), "a", "b")
     joined = points.join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
+    joined = common.cut(joined)
+    # Each a table of its own, so that the join's two sides are dealt alike and a large component can be split.
+    least = common.cut(joined.groupBy("root").agg(F.min("least").alias("component")))
     of = common.cut(joined.join(least, "root").select(F.col("point").alias("fp"), "component"))
     return fps.join(of, "fp").select(id_col, "fp", "component")
 
