@@ -223,7 +223,7 @@ def tokenise(df: DataFrame, text_col: str = "text", vocabulary: str | None = Non
                 columns = [*part.columns[1:], *made]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow)], names=arrow.names)
 
-    return rows.mapInArrow(run, out)
+    return common.bounded(rows).mapInArrow(run, out)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:

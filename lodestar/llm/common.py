@@ -41,6 +41,21 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of texts that go to a Python worker at once, and the setting of the session that says so.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold ``BATCH_BYTES`` at most (or one row): ten thousand long texts at once
+    would take hundreds of megabytes of an executor outside its heap. A smaller setting of the caller's stays."""
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH, None)
+    if now is None or df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) not in range(1, BATCH_BYTES):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def narrowed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text (null: empty), under the inner names."""
     return df.select(F.col(id_col).alias(ID), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(TEXT))
@@ -75,7 +90,7 @@ def map_texts(
                 arrays += [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, arrow.field(i + 1).type) for i, v in enumerate(values)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return ids.mapInArrow(run, out)
+    return bounded(ids).mapInArrow(run, out)
 
 
 def slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:

@@ -117,7 +117,7 @@ def grams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     schema=arrow,
                 )
 
-    return own.mapInArrow(run, out)
+    return common.bounded(own).mapInArrow(run, out)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slack: int = 3, share: float = 0.8) -> DataFrame:
