@@ -19,7 +19,7 @@ from functools import lru_cache
 from math import gcd, isqrt
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,12 +196,11 @@ def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def to_media(df: DataFrame, bytes_col: str, media_col: str = "media", rate: int = 8000, codec: str = MULAW) -> DataFrame:
     """``df`` with ``media_col``: its bytes (null: null) as a file. A column of that name is replaced."""
 
-    def run(values):
+    @F.pandas_udf(T.BinaryType())
+    def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else wav(bytes(v), rate, codec))
 
-    from pyspark.sql.functions import pandas_udf
-
-    return df.withColumn(media_col, pandas_udf(run, T.BinaryType(), F.PandasUDFType.SCALAR)(F.col(bytes_col).cast("binary")))
+    return common.bounded(df).withColumn(media_col, run(F.col(bytes_col).cast("binary")))
 
 
 def to_pcm(df: DataFrame, media_col: str = "media", pcm_col: str = "pcm", to: int = 16000) -> DataFrame:
@@ -214,12 +213,11 @@ def to_pcm(df: DataFrame, media_col: str = "media", pcm_col: str = "pcm", to: in
             return None
         return resample(expand(np.frombuffer(data, np.uint8), codec), rate, to).astype("<i2").tobytes()
 
-    def run(values):
+    @F.pandas_udf(T.BinaryType())
+    def run(values: pd.Series) -> pd.Series:
         return values.map(one, na_action=None)
 
-    from pyspark.sql.functions import pandas_udf
-
-    return df.withColumn(pcm_col, pandas_udf(run, T.BinaryType(), F.PandasUDFType.SCALAR)(F.col(media_col)))
+    return common.bounded(df).withColumn(pcm_col, run(F.col(media_col)))
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:

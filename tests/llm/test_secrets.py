@@ -1,0 +1,42 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from lodestar.llm import secrets
+
+
+def brute(text):
+    found = [m[0] for m in re.finditer(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,256}+(?![A-Za-z0-9+/_.=-])", text or "")]
+    return [(i, v) for i, v in enumerate(found) if re.search("[A-Za-z]", v) and re.search("[0-9]", v)]
+
+
+def test_candidates_equal_brute_force(docs, rows, empty, clashing, spark):
+    more = [(900, 'a token = "0123456789abcdef0123" b\nfile/with/long/path/v1 x' * 40, "en", "src0", 0), (901, "x" * 15 + "1 " + "y" * 300 + "1 " + "z1" * 128, "en", "", 0)]
+    df = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    got = sorted(((r.doc_id, r.place, r.value_sha256) for r in secrets.scan(df).collect()), key=repr)
+    want = [(r[0], i, hashlib.sha256(v.encode()).hexdigest()) for r in rows + more for i, v in brute(r[1])]
+    assert got == sorted(want, key=repr) and len(got) > 80
+    assert secrets.scan(empty).count() == 0
+    secrets.scan(clashing).count()
+
+
+def test_held_out_findings(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    held = spark.createDataFrame(secrets.findings(600, seed=1234), "before string, value string, path string, label int")
+    rows = VectorAssembler(inputCols=[f"f_{f}" for f in secrets.FEATURES], outputCol="features").transform(secrets.described(held))
+    right = secrets.forest(spark).transform(rows).where(F.col("prediction") == F.col("label")).count()
+    assert right >= 0.95 * 600
+
+
+def test_planted_tokens(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = sum(len(re.findall(r'token = "[0-9a-f]{40}"', r.text)) for r in docs.select("text").collect())
+    found = secrets.scan(docs).where("secret AND before LIKE '%token = \"'").count()
+    assert planted and found == planted
+
+
+def test_no_python_runs(spark, data):
+    plan = secrets.op2_secrets(spark, data)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
