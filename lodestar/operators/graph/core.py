@@ -62,7 +62,7 @@ class Graph:
 
     def __post_init__(self):
         self.vecs = np.zeros((0, self.dim)) if self.vecs is None else self.vecs
-        self._seen, self._tag, self._at = np.zeros(len(self.vecs), np.int64), 0, None
+        self._seen, self._tag, self._at, self._into = np.zeros(len(self.vecs), np.int64), 0, None, None
         self._rng = np.random.default_rng(self.params.seed)
 
     def __len__(self) -> int:
@@ -159,20 +159,52 @@ class Graph:
                 kept.append(at)
         return [nodes[at] for at in kept]
 
+    def _led_to(self) -> dict[int, int]:
+        """How many links lead to each node, on all levels."""
+        if self._into is None:
+            self._into = {}
+            for levels in self.links:
+                for near in levels:
+                    for j in near:
+                        self._into[j] = self._into.get(j, 0) + 1
+        return self._into
+
+    def _set(self, i: int, level: int, near: list[int]) -> None:
+        into = self._led_to()
+        for j in self.links[i][level]:
+            into[j] -= 1
+        for j in near:
+            into[j] = into.get(j, 0) + 1
+        self.links[i][level] = near
+
+    def _choose(self, j: int, level: int, options: list[int]) -> None:
+        """Node j's neighbours out of ``options``. One to which no other link leads takes the place of the farthest to
+        which another does."""
+        room, into, had = self.params.room(level), self._led_to(), set(self.links[j][level])
+        ranked = sorted(zip(self._far(self.vecs[j], options).tolist(), options))
+        kept = self._diverse(ranked, room)
+        for x in [x for x in options if x not in kept and into.get(x, 0) - (x in had) <= 0]:
+            if len(kept) < room:
+                kept.append(x)
+                continue
+            for at in range(len(kept) - 1, -1, -1):
+                if into.get(kept[at], 0) - (kept[at] in had) > 0:
+                    kept[at] = x
+                    break
+        self._set(j, level, kept)
+
     def _link(self, i: int, near: list[int], level: int) -> None:
         """Sets i's neighbours and adds i to theirs; those that overflow choose again."""
-        self.links[i][level] = near
+        self._set(i, level, near)
         room = self.params.room(level)
         for j in near:
             theirs = self.links[j][level]
             if i in theirs:
                 continue
             if len(theirs) < room:
-                theirs.append(i)
+                self._set(j, level, [*theirs, i])
             else:
-                options = [*theirs, i]
-                ranked = sorted(zip(self._far(self.vecs[j], options).tolist(), options))
-                self.links[j][level] = self._diverse(ranked, room)
+                self._choose(j, level, [*theirs, i])
 
     def _connect(self, i: int) -> None:
         """Finds i's place from the entry point down, and links it on each of its levels."""
@@ -228,10 +260,13 @@ class Graph:
         for level, around in enumerate(old):
             touched = {j for j in range(len(self)) if self.level_of(j) >= level and i in self.links[j][level]}
             for j in touched:
-                options = {*self.links[j][level], *around} - {i, j}
-                ranked = sorted(zip(self._far(self.vecs[j], list(options)).tolist(), options)) if options else []
-                self.links[j][level] = self._diverse(ranked, self.params.room(level))
-            self.links[i][level] = []
+                options = sorted({*self.links[j][level], *around} - {i, j})
+                options = [x for x in options if self.level_of(x) >= level]
+                if options:
+                    self._choose(j, level, options)
+                else:
+                    self._set(j, level, [])
+            self._set(i, level, [])
         if len(self) == 1:
             return
         if self.entry == i:
@@ -244,8 +279,17 @@ class Graph:
             self._connect(i)
         for j in range(len(self)):
             for level in range(min(self.level_of(j), self.level_of(i)) + 1):
-                if j != i and not self.links[j][level] and self.level_of(j) >= level:
-                    self.links[j][level] = [i]
+                if j != i and not self.links[j][level]:
+                    self._set(j, level, [i])
+        # What only the old place led to is led to from the nearest node with room, or in the place of a safe link.
+        for level in old:
+            for x in level:
+                if self._led_to().get(x, 0) <= 0 and x != i:
+                    for far, j in self._beam(self.vecs[x], [self.entry], self.params.ef_construction, 0, None, None):
+                        if j != x:
+                            self._choose(j, 0, [*[y for y in self.links[j][0] if y != x], x])
+                            if self._led_to().get(x, 0) > 0:
+                                break
 
     def replace(self, label: int, v: np.ndarray) -> int:
         """A new label in the place of a deleted node, or as a new node if none is deleted."""
