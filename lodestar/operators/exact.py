@@ -40,7 +40,7 @@ def by_block(queries: DataFrame, search: Callable[[QueryBlock], DataFrame]) -> D
     return reduce(DataFrame.unionByName, [search(b) for b in blocks(queries)])
 
 
-def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "ip", where: Column | None = None, exclude_self: bool = False) -> DataFrame:
+def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "ip", where: Column | str | None = None, exclude_self: bool = False) -> DataFrame:
     """(qid, rank, id, dist): the k base rows nearest to each query, by (dist, id).
 
     ``where`` filters base rows before they are searched. A base of fewer than k rows gives all of them.

@@ -233,9 +233,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "element_sum": _layout_bytes,
         "flat_local_topp_merge": lambda s, d: exact.knn_local(*_pair(s, d), K, F.col("id") % 4, 10),
         "flat_local_p_lossy": lambda s, d: exact.knn_local(*_pair(s, d), K, F.col("id") % 4, 2),
-        "knn_filtered_label": _filtered(F.col("label") == 3),
-        "knn_filter_none": _filtered(F.lit(False)),
-        "knn_filter_even": _filtered(F.col("id") % 2 == 0),
+        "knn_filtered_label": _filtered("label = 3"),
+        "knn_filter_none": _filtered("false"),
+        "knn_filter_even": _filtered("id % 2 = 0"),
         "epsilon_search": lambda s, d: exact.within(*_pair(s, d), EPSILON),
         "epsilon_max_candidates": lambda s, d: exact.within(*_pair(s, d), EPSILON, most=5, least=2),
         "multivector_docs": _docs,
