@@ -131,7 +131,7 @@ class Plan:
     named: DataFrame  #: a row for each source: its number of blocks, size and target
 
 
-def plan(rows: DataFrame, weights=WEIGHTS, cap: float = 3.0, seed: int = 7, shard_words: int = 1 << 21, most_shards: int = 16384) -> Plan:
+def plan(rows: DataFrame, weights=WEIGHTS, cap: float = 3.0, seed: int = 7, shard_words: int = 1 << 21, most_shards: int = 1 << 16) -> Plan:
     """How much of which block goes where, from rows of ``sized``."""
     spark = rows.sparkSession
     fine = common.cut(rows.groupBy(_KEY, _FINE_COL).agg(F.sum(_SIZE).alias("words")))

@@ -40,20 +40,20 @@ BOILERPLATE = (
 )
 
 _STACKED = re.compile(rb"[!?]{2,}")
-_SEPARATORS = re.compile(rb"[|\xbb]|(?<= )[<>](?= )")
+_GUILLEMET = "\u00bb".encode()
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds. Shares are of the words' characters (symbols) or of the words (marks, separators)."""
+    """Thresholds, in numbers of words and in percent: of the words' characters (lost, symbols) or of the words."""
 
     min_words: int = 10
-    max_repeat: float = 0.20
-    max_lost: float = 0.50
-    line_symbols: float = 0.10
-    line_stacked: float = 0.30
-    line_separators: float = 0.20
-    line_distinct: float = 0.30
+    max_repeat: int = 20
+    max_lost: int = 50
+    line_symbols: int = 10
+    line_stacked: int = 30
+    line_separators: int = 20
+    line_distinct: int = 30
     line_distinct_words: int = 10
     boilerplate_words: int = 12
 
@@ -99,23 +99,28 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     return int((np.cumsum(steps)[:n] > 0).sum())
 
 
+def separators(line: bytes, words: list[bytes]) -> int:
+    """Vertical bars and guillemets, and angle brackets that stand alone."""
+    return line.count(b"|") + line.count(_GUILLEMET) + words.count(b"<") + words.count(b">")
+
+
 def line_fails(line: bytes, words: list[bytes], rules: Rules) -> str:
     """The family of the first rule that a line with words fails, or an empty string."""
     n = len(words)
-    if symbols(line) > rules.line_symbols * code_points(line) and n > 1:
-        return "navigation" if len(_SEPARATORS.findall(line)) > rules.line_separators * n else "punctuation"
-    if b"!" in line or b"?" in line:
-        if len(_STACKED.findall(line)) > rules.line_stacked * n:
-            return "punctuation"
-    if len(_SEPARATORS.findall(line)) > rules.line_separators * n and n > 1:
+    bars = n > 1 and 100 * separators(line, words) > rules.line_separators * n
+    if n > 1 and 100 * symbols(line) > rules.line_symbols * code_points(line):
+        return "navigation" if bars else "punctuation"
+    if (b"!" in line or b"?" in line) and 100 * len(_STACKED.findall(line)) > rules.line_stacked * n:
+        return "punctuation"
+    if bars:
         return "navigation"
-    lower = line.lower()
     if n <= rules.boilerplate_words:
+        lower = line.lower()
         if all(w.strip(b".,:;!?>") in MENU_WORDS for w in lower.split()):
             return "navigation"
         if any(x in lower for x in BOILERPLATE):
             return "boilerplate"
-    if n >= rules.line_distinct_words and len(set(words)) < rules.line_distinct * n:
+    if n >= rules.line_distinct_words and 100 * len(set(words)) < rules.line_distinct * n:
         return "boilerplate"
     return ""
 
@@ -141,8 +146,8 @@ def judge(text: bytes, rules: Rules = Rules()) -> tuple:
         else:
             kept.append(line)
     repeat = repeated_words(words)
-    failed = n < rules.min_words or 100 * repeat > round(100 * rules.max_repeat) * n
-    return n, chars, symbols(text), with_words - len(seen), repeat, failed, not failed and lost <= rules.max_lost * chars, lost, b"\n".join(kept)
+    failed = n < rules.min_words or 100 * repeat > rules.max_repeat * n
+    return n, chars, symbols(text), with_words - len(seen), repeat, failed, not failed and 100 * lost <= rules.max_lost * chars, lost, b"\n".join(kept)
 
 
 _COLUMNS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType()), ("lost_chars", T.LongType()), ("clean_text", T.StringType())]

@@ -28,4 +28,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracle
+
+    return {
+        "op5_urls": oracle.url_sql(),
+        "op6_chat": oracle.chat_sql(),
+        "op7_licenses": oracle.license_sql(),
+        "op10_quality": oracle.quality_sql(),
+    }
