@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions import distance
+from ...functions import distance, vectors
 from .. import rerank, topk
 from ..queries import QueryBlock, blocks
-from functools import reduce
 
 
 def _half_away(x: Column) -> Column:
@@ -24,11 +26,11 @@ def train(base: DataFrame) -> DataFrame:
 
 
 def encode(base: DataFrame, model: DataFrame, vec: str = "vec") -> DataFrame:
-    """``base`` with ``code`` (0 to 255) and ``code_sum``. ``model`` is one row and joined as such."""
-    rows = base.crossJoin(F.broadcast(model))
-    scale = F.when(F.col("high") > F.col("low"), 255 / (F.col("high") - F.col("low"))).otherwise(1.0)
-    code = F.transform(distance.doubles(F.col(vec)), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), _half_away((x - F.col("low")) * scale))).cast("smallint"))
-    return rows.withColumn("code", code).withColumn("code_sum", distance.element_sum(F.col("code"))).drop("low", "high", "step")
+    """``base`` with ``code`` (0 to 255) and ``code_sum``. ``model`` is one row; its numbers become part of the expressions."""
+    low, high, _ = model.first()
+    scale = 255 / (high - low) if low is not None and high > low else 1.0
+    code = F.transform(distance.doubles(F.col(vec)), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), _half_away((x - F.lit(low)) * F.lit(scale)))).cast("smallint"))
+    return base.withColumn("code", code).withColumn("code_sum", distance.element_sum(F.col("code")))
 
 
 def train_signed(base: DataFrame) -> DataFrame:
@@ -38,17 +40,13 @@ def train_signed(base: DataFrame) -> DataFrame:
 
 def encode_signed(base: DataFrame, model: DataFrame, vec: str = "vec") -> DataFrame:
     """``base`` with ``code`` (-127 to 127)."""
-    rows = base.crossJoin(F.broadcast(model))
-    code = F.transform(distance.doubles(F.col(vec)), lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), _half_away(x / F.col("step")))).cast("tinyint"))
-    return rows.withColumn("code", code).drop("max_abs", "step")
+    step = model.first()["step"]
+    code = F.transform(distance.doubles(F.col(vec)), lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), _half_away(x / F.lit(step)))).cast("tinyint"))
+    return base.withColumn("code", code)
 
 
 def _codes_scan(codes: DataFrame, block: QueryBlock, p: int, score) -> DataFrame:
     """The p rows of ``codes`` (id, code, code_sum) of least score for each query."""
-    import numpy as np
-
-    from ...functions import vectors
-
     held = codes.sparkSession.sparkContext.broadcast(block.vecs)
 
     def start():

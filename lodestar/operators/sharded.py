@@ -55,6 +55,6 @@ def routed_flat(base: DataFrame, queries: DataFrame, k: int, shards: int, route:
 def shard_profile(rows: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(shard, rows, share) and, from results that carry their shard, how many each shard returned."""
     sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
-    total = sizes.agg(F.sum("rows").alias("total"))
-    out = sizes.crossJoin(F.broadcast(total)).select("shard", "rows", F.round(F.col("rows") / F.col("total"), 6).alias("share"))
+    total = max(1, rows.count())
+    out = sizes.select("shard", "rows", F.round(F.col("rows") / total, 6).alias("share"))
     return out if found is None else out.join(found.groupBy("shard").agg(F.count(F.lit(1)).alias("returned")), "shard", "left").fillna(0, ["returned"])
