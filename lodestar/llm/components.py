@@ -2,7 +2,7 @@
 
 Each round points every node's larger neighbours at its smallest (large star), then its smaller ones (small star). A
 node's smallest neighbour is an aggregate, so the links of a node with very many of them never meet in one task; the
-join that brings it back is a plain equi-join, which adaptive execution splits where a key is hot. Rounds grow with the
+join that brings it back is salted. Rounds grow with the
 logarithm of the longest path. Each ends in a table in the shared folder.
 """
 
@@ -14,14 +14,26 @@ from pyspark.sql import functions as F
 from . import common
 
 
+SALTS = 8
+
+
+def salted(rows: DataFrame, few: DataFrame, key: str, spread: str) -> DataFrame:
+    """The join of ``rows`` with ``few`` (a row for each key), in which a key with very many rows has ``SALTS`` places.
+
+    ``few`` is repeated for each salt. Both sides are dealt anew, so that adaptive execution can split what is still hot.
+    """
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    right = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (a, b) with a > b, distinct."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    # A table of its own: the join then deals both sides alike, and a node with very many links can be split.
-    least = common.cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-    out = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    out = salted(both, least, "u", "v")
     if large:
         out = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .components import connected
+from .components import connected, salted
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -299,12 +299,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, fp, component): for each row, its fingerprint and the smallest id that links reach from it."""
     fps = common.cut(fingerprints(df, id_col, text_col, width, words))
     points = common.cut(fps.groupBy(F.col("fp").alias("point")).agg(F.min(id_col).alias("least")))
-    roots = connected(common.cut(links(points.select("point"), radius, words, **how)), "a", "b")
+    roots = connected(links(points.select("point"), radius, words, **how), "a", "b")
     joined = points.join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
-    joined = common.cut(joined)
-    # Each a table of its own, so that the join's two sides are dealt alike and a large component can be split.
-    least = common.cut(joined.groupBy("root").agg(F.min("least").alias("component")))
-    of = common.cut(joined.join(least, "root").select(F.col("point").alias("fp"), "component"))
+    least = joined.groupBy("root").agg(F.min("least").alias("component"))
+    of = salted(joined.select("point", "root"), least, "root", "point").select(F.col("point").alias("fp"), "component")
     return fps.join(of, "fp").select(id_col, "fp", "component")
 
 
