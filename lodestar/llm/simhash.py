@@ -314,10 +314,13 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``df`` for each component of ``similar``: that with the smallest id.
 
-    Of rows with one id, one stays; rows with a null id stay only if nothing else is in their component (one row then).
+    A row goes by its id and its text: null ids come last, of equal ids the one with the lowest hash of its text stays, and
+    of equal rows the first. So every component keeps one row, whatever its ids.
     """
-    chosen = similar(df, id_col, text_col).groupBy("component").agg(F.min(id_col).alias("__keep")).select("__keep").distinct()
-    return df.join(chosen, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
+    chosen = similar(df.select(key.alias("__key"), F.col(text_col).alias("__own")), "__key", "__own").select(F.col("component").alias("__keep")).distinct()
+    kept = df.withColumn("__key", key).join(chosen, F.col("__key") == F.col("__keep"), "left_semi")
+    return kept.dropDuplicates(["__key"]).drop("__key")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

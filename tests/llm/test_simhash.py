@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,12 +109,19 @@ def test_near_copies_from_a_similarity_of_eight_tenths(spark):
     assert len(set(got.values())) >= 60  # and nothing else is linked
 
 
-def test_keep_one(docs, rows, clashing):
+def test_keep_one(spark, docs, rows, empty, clashing):
     kept = simhash.keep_one(docs).collect()
+    component = {}
+    for r in simhash.similar(docs.withColumn("row", F.struct("doc_id", "text")), "row").collect():
+        component[r.row.doc_id, r.row.text] = r.component
+    assert sorted(Counter(component[r.doc_id, r.text] for r in kept).values()) == [1] * len(set(component.values()))
     ids = [r.doc_id for r in kept]
-    assert len(ids) == len(set(ids)) and ids.count(104) <= 1
     assert 100 in ids and 101 not in ids and 102 not in ids  # all without a word are copies of one another
+    assert ids.count(None) == 1 and ids.count(3) == 1 and ids.count(104) == 0  # a null id of its own stays, a copy goes
     assert simhash.keep_one(clashing).columns == clashing.columns
+    two = spark.createDataFrame([(None, prose(1, 60)), (None, prose(2, 60)), (None, prose(2, 60)), (5, prose(1, 60))], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.text) for r in simhash.keep_one(two).collect()) == sorted([(5, prose(1, 60)), (-1, prose(2, 60))])
+    assert simhash.keep_one(empty).count() == 0
 
 
 def test_components_of_long_paths_and_stars(spark):
