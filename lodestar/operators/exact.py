@@ -56,27 +56,20 @@ def knn_local(base: DataFrame, queries: DataFrame, k: int, shard: Column, local_
     own = base.select(F.col("id").cast("long").alias("id"), "vec", shard.cast("int").alias("shard"))
 
     def search(block: QueryBlock) -> DataFrame:
-        held = base.sparkSession.sparkContext.broadcast((block.qids, block.vecs))
-        out = "shard int, qid long, id long, dist double"
+        held = base.sparkSession.sparkContext.broadcast(block.vecs)
 
-        def run(batches):
-            import pyarrow as pa
+        def start():
+            vecs = held.value
 
-            qids, qvecs = held.value
-            near: dict[int, topk.Nearest] = {}
-            for batch in batches:
-                ids, shards = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                dist = np.round(which.block(vectors.matrix(batch.column(1)), qvecs), topk.DECIMALS) + 0.0
-                for s in np.unique(shards):
-                    rows = shards == s
-                    kept = near.setdefault(int(s), topk.Nearest(len(qids), local_p))
-                    for j in range(len(qids)):
-                        kept.add(j, ids[rows], dist[rows, j])
-            for s, kept in near.items():
-                got = kept.batch(qids)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(got.num_rows, s, np.int32)), *got.columns], names=["shard", *got.schema.names])
+            def score(batch):
+                dist, of = which.block(vectors.matrix(batch.column(1)), vecs), batch.column(2).to_numpy()
+                for s in np.unique(of):
+                    at = np.flatnonzero(of == s)
+                    yield int(s), range(len(vecs)), at, dist[at]
 
-        found = own.mapInArrow(run, out)
+            return score
+
+        found = topk.scan_groups(own, block.qids, local_p, start)
         return topk.merged(topk.ranked(found, local_p, ("shard", "qid"), "local_rank"), k)
 
     return by_block(queries, search)

@@ -115,11 +115,14 @@ def scan_lists(index: Index, block: QueryBlock, lists: list[np.ndarray], k: int,
     return topk.scan(pruned(index.rows, seekers).select(F.col("id").cast("long").alias("id"), "vec", "list_id"), block.qids, k, start)
 
 
-def search(index: Index, queries: DataFrame, k: int, probes: int = 16, metric: str = "ip", given: DataFrame | None = None) -> DataFrame:
-    """(qid, rank, id, dist): the k nearest of the rows in the probed lists, or in the lists ``given`` (qid, list_id)."""
+def search(index: Index, queries: DataFrame, k: int, probes: int = 16, metric: str = "ip", given: DataFrame | None = None, local_p: int = 0) -> DataFrame:
+    """(qid, rank, id, dist): the k nearest of the rows in the probed lists, or in the lists ``given`` (qid, list_id).
+
+    Each partition passes ``local_p`` rows on (0: k); below k that loses rows.
+    """
 
     def one(block: QueryBlock) -> DataFrame:
         lists = lists_of(block, given) if given is not None else list(probe(block, index.centroids, probes))
-        return topk.merged(scan_lists(index, block, lists, k, metric), k)
+        return topk.merged(scan_lists(index, block, lists, local_p or k, metric), k)
 
     return reduce(DataFrame.unionByName, [one(b) for b in blocks(queries)])

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,8 +112,9 @@ def build(base: DataFrame, params: Params = Params()) -> Index:
     return Index(books, encode(base, books))
 
 
-def candidates(index: Index, block: QueryBlock, p: int) -> DataFrame:
-    """(qid, id, dist): each partition's p best rows for each query by 16-bit tables; ``dist`` is the negated sum."""
+def candidates(index: Index, block: QueryBlock, p: int, shard: Column | None = None) -> DataFrame:
+    """(shard, qid, id, dist): each partition's p best rows for each query by 16-bit tables, by shard (one, unless ``shard``
+    says which); ``dist`` is the negated sum."""
     held = index.rows.sparkSession.sparkContext.broadcast(whole_numbers(tables(block.vecs, index.codebooks))[0])
     parts = index.parts
 
@@ -121,11 +122,15 @@ def candidates(index: Index, block: QueryBlock, p: int) -> DataFrame:
         lut = held.value
 
         def score(batch):
-            yield range(len(lut)), None, -scores(lut, code_matrix(batch.column(1), parts)).astype(np.float64)
+            dist, of = -scores(lut, code_matrix(batch.column(1), parts)).astype(np.float64), batch.column(2).to_numpy()
+            for s in np.unique(of):
+                at = np.flatnonzero(of == s)
+                yield int(s), range(len(lut)), at, dist[at]
 
         return score
 
-    return topk.scan(index.rows.select(F.col("id").cast("long").alias("id"), "code"), block.qids, p, start)
+    rows = index.rows.select(F.col("id").cast("long").alias("id"), "code", (shard if shard is not None else F.lit(0)).cast("int").alias("shard"))
+    return topk.scan_groups(rows, block.qids, p, start)
 
 
 def approximate(index: Index, queries: DataFrame, p: int) -> DataFrame:
@@ -142,8 +147,8 @@ def search(index: Index, queries: DataFrame, k: int, p: int = 200) -> DataFrame:
 def search_local(index: Index, queries: DataFrame, k: int, p: int, local_p: int, shards: int) -> DataFrame:
     """As ``search``, but each of ``shards`` (by id) keeps ``local_p`` approximate candidates (0: p): lossy below p."""
     p = max(p, k)
-    shard = F.pmod(F.col("id"), F.lit(shards))
-    parts = [approximate(Index(index.codebooks, index.rows.where(shard == s)), queries, local_p or p) for s in range(shards)]
+    keep, shard = local_p or p, F.pmod(F.col("id"), F.lit(shards))
+    parts = [topk.ranked(candidates(index, b, keep, shard), keep, ("shard", "qid")) for b in blocks(queries)]
     best = topk.merged(reduce(DataFrame.unionByName, parts).select("qid", "id", "dist"), p)
     return rerank.exact(best, index.rows, queries, k, expected=queries.count() * p)
 

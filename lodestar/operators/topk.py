@@ -52,25 +52,43 @@ class Nearest:
 def scan(df: DataFrame, qids: np.ndarray, k: int, start: Callable[[], Callable]) -> DataFrame:
     """(qid, id, dist): for each partition of ``df`` (id first), the k nearest rows to each query.
 
-    ``start()`` runs once a partition and gives a function from a RecordBatch to (ids, blocks): blocks yields
-    (positions of queries, positions of rows or None, distances by row and query).
+    ``start()`` runs once a partition and gives a function from a RecordBatch to (positions of queries, positions of rows
+    or None, distances by row and query).
+    """
+
+    def grouped():
+        score = start()
+        return lambda part: ((0, *found) for found in score(part))
+
+    return scan_groups(df, qids, k, grouped).drop("shard")
+
+
+def scan_groups(df: DataFrame, qids: np.ndarray, k: int, start: Callable[[], Callable]) -> DataFrame:
+    """(shard, qid, id, dist): as ``scan``, k rows for each shard and query of a partition, in one pass.
+
+    What ``start()`` gives yields (shard, positions of queries, positions of rows or None, distances).
     """
     qids = np.asarray(qids, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, score = Nearest(len(qids), k), start()
+        near: dict[int, Nearest] = {}
+        score = start()
         for batch in batches:
             step = max(1, BLOCK_CELLS // max(1, len(qids)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 ids = part.column(0).to_numpy()
-                for queries, rows, dist in score(part):
+                for shard, queries, rows, dist in score(part):
                     dist, own = np.round(dist, DECIMALS) + 0.0, ids if rows is None else ids[rows]
+                    if shard not in near:
+                        near[shard] = Nearest(len(qids), k)
                     for column, query in enumerate(queries):
-                        near.add(query, own, dist[:, column])
-        yield near.batch(qids)
+                        near[shard].add(query, own, dist[:, column])
+        for shard, kept in near.items():
+            got = kept.batch(qids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(got.num_rows, shard, np.int32)), *got.columns], names=["shard", *got.schema.names])
 
-    return df.mapInArrow(run, NEAREST)
+    return df.mapInArrow(run, f"shard int, {NEAREST}")
 
 
 def ranked(df: DataFrame, k: int, by: tuple[str, ...] = ("qid",), rank: str = "rank") -> DataFrame:

@@ -205,6 +205,11 @@ def _recall_sq(spark, d):
     return evaluate.recall_by_query(sq.search(base, q, K, K), exact.knn(base, q, K), q, K)
 
 
+def _mean_recall(spark, d):
+    base, q = _pair(spark, d)
+    return evaluate.mean_recall(exact.knn_local(base, q, K, F.col("id") % 4, 2), exact.knn(base, q, K), q, K)
+
+
 def _recall_probes(spark, d):
     index, q = _ivf(spark, d)
     truth = exact.knn(index.rows.select("id", "vec"), q, K)
@@ -257,6 +262,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ivf_probe": _probe,
         "ivf_search": _ivf_search(PROBES),
         "ivf_given_probes": _ivf_search(0, True),
+        "ivf_local_p": lambda s, d: (lambda index, q: ivf.search(index, q, K, PROBES, local_p=50))(*_ivf(s, d)),
         "ivf_full_probe_equals_flat": _ivf_search(LISTS.lists),
         "pq_encode_uniform": _pq_codes,
         "pq_lut": _lut(False),
@@ -275,7 +281,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "shard_cyclic": _owners(sharded.CYCLIC),
         "mpi_ivfpq_search": _sharded_ivfpq,
         "sharded_kmeans_flat_route": lambda s, d: sharded.routed_flat(*_pair(s, d), K, 8, 6, 128, 2),
+        "shard_profile": lambda s, d: sharded.shard_profile(_base(s, d).withColumn("shard", sharded.owner((F.col("id") % 100).cast("int"), 100, 8, sharded.BLOCK))),
         "recall_at_k": _recall_sq,
+        "recall_mean": _mean_recall,
         "recall_by_nprobe": _recall_probes,
         "ground_truth": _truth,
     } | graph_queries.queries()
@@ -351,6 +359,7 @@ def oracle_sql() -> dict[str, str]:
         "ivf_list_stats": o.with_(*ivf_parts) + "SELECT count(*) AS lists, min(n) AS min_rows, max(n) AS max_rows, round(avg(n), 6) AS avg_rows, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty_lists FROM (SELECT r.c, count(b.id) AS n FROM range(8) r(c) LEFT JOIN listed b ON b.list_id = r.c GROUP BY r.c)",
         "ivf_probe": o.with_(*ivf_parts, o.probes("c2", PROBES)) + "SELECT * FROM probes",
         "ivf_search": o.with_(*ivf_parts, o.probes("c2", PROBES)) + o.topk(listed.format("probes"), K),
+        "ivf_local_p": o.with_(*ivf_parts, o.probes("c2", PROBES)) + o.topk(listed.format("probes"), K),
         "ivf_given_probes": o.with_(*ivf_parts) + o.topk(f"SELECT qid, id, {o.ip()} AS dist FROM q, listed WHERE list_id IN (0, 3)", K),
         "ivf_full_probe_equals_flat": o.with_() + o.flat(K),
         "pq_encode_uniform": o.with_(*pq_parts) + "SELECT id, list(CAST(c AS INTEGER) ORDER BY m) AS code FROM codes GROUP BY id",
@@ -371,6 +380,9 @@ def oracle_sql() -> dict[str, str]:
         "sharded_kmeans_flat_route": o.with_(o.sample(128), o.lloyd(8, 2, how="first", empty="keep"), o.assigned("c2"), o.probes("c2", 6, o.ip("q.qv", "k.cv"))) + o.topk(listed.format("probes"), K),
         "recall_at_k": o.with_(*sq8, sq_top_k, f"truth AS ({o.flat(K)})", f"found AS ({o.reranked('approx', K)})")
         + "SELECT qid, round(coalesce(hits, 0) / 10, 6) AS recall FROM q LEFT JOIN (SELECT f.qid, count(*) AS hits FROM found f JOIN truth t ON t.qid = f.qid AND t.id = f.id GROUP BY f.qid) USING (qid)",
+        "shard_profile": "SELECT CAST(shard AS INTEGER) AS shard, count(*) AS rows, round(count(*) / (SELECT count(*) FROM embeddings), 6) AS share FROM (SELECT CASE WHEN vec_id % 100 < 52 THEN (vec_id % 100) // 13 ELSE 4 + (vec_id % 100 - 52) // 12 END AS shard FROM embeddings) GROUP BY shard",
+        "recall_mean": o.with_(f"truth AS ({o.flat(K)})", f"part AS ({o.topk(f'SELECT qid, id % 4 AS shard, id, {o.ip()} AS dist FROM q, base', 2, 'qid, shard', 'qid, id, dist')})", f"found AS ({o.topk('SELECT * FROM part', K)})")
+        + "SELECT count(*) AS queries, round(avg(round(coalesce(hits, 0) / 10, 6)), 6) AS recall FROM q LEFT JOIN (SELECT f.qid, count(*) AS hits FROM found f JOIN truth t ON t.qid = f.qid AND t.id = f.id GROUP BY f.qid) USING (qid)",
         "recall_by_nprobe": o.with_(*ivf_parts, o.probes("c2", 8), f"truth AS ({o.flat(K)})") + sweep,
         "ground_truth": o.with_() + f"SELECT qid, list(id ORDER BY rank) AS gt FROM ({o.flat(K)}) GROUP BY qid",
     }
