@@ -22,13 +22,17 @@ def _scan(base: DataFrame, block: QueryBlock, k: int, which: distance.Metric, ex
 
         def score(batch):
             dist = which.block(vectors.matrix(batch.column(1)), qvecs)
-            if exclude_self:
-                dist = np.where(batch.column(0).to_numpy()[:, None] == qids[None, :], np.inf, dist)
-                for j in range(len(qids)):
-                    rows = np.flatnonzero(np.isfinite(dist[:, j]))
-                    yield [j], rows, dist[rows, j : j + 1]
+            if not exclude_self:
+                yield range(len(qids)), None, dist
                 return
-            yield range(len(qids)), None, dist
+            # Rows that are queries themselves (ids are sorted in a block) against all but themselves, the others together.
+            ids = batch.column(0).to_numpy()
+            at = np.minimum(np.searchsorted(qids, ids), max(len(qids) - 1, 0))
+            own = qids[at] == ids if len(qids) else np.zeros(len(ids), bool)
+            yield range(len(qids)), np.flatnonzero(~own), dist[~own]
+            for row in np.flatnonzero(own):
+                others = np.flatnonzero(qids != ids[row])
+                yield others, np.array([row]), dist[row : row + 1, others]
 
         return score
 

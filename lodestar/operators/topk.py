@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 #: Distances are ranked and returned at this many decimals, so that sums taken in another order rank alike.
 DECIMALS = 6
 
-#: Rows of a block whose distances to all queries are held at once, at most.
-BLOCK_CELLS = 1 << 21
+#: Distances of a block of rows to all queries that are held at once, about.
+BLOCK_CELLS = 1 << 22
 
 NEAREST = "qid long, id long, dist double"
 
@@ -24,6 +24,8 @@ class Nearest:
 
     def __init__(self, queries: int, k: int):
         self.k = k
+        #: The distance that a row must not exceed to count, by query.
+        self.worst = np.full(queries, np.inf)
         self.dist = [np.empty(0) for _ in range(queries)]
         self.ids = [np.empty(0, np.int64) for _ in range(queries)]
 
@@ -40,6 +42,16 @@ class Nearest:
         d, i = np.concatenate([kept, dist]), np.concatenate([self.ids[query], ids])
         order = np.lexsort((i, d))[: self.k]
         self.dist[query], self.ids[query] = d[order], i[order]
+        if len(order) == self.k:
+            self.worst[query] = self.dist[query][-1]
+
+    def add_block(self, queries: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        """Rows against ``queries``. Most queries find nothing in a block once their buffers are full: one comparison of
+        the whole block tells, and only the others' distances are rounded and sorted."""
+        hit = np.flatnonzero((dist <= self.worst[queries] + 10.0**-DECIMALS).any(0))
+        near = np.round(dist[:, hit].T, DECIMALS) + 0.0
+        for at, query in enumerate(queries[hit]):
+            self.add(query, ids, near[at])
 
     def batch(self, qids: np.ndarray) -> pa.RecordBatch:
         counts = [len(x) for x in self.ids]
@@ -74,16 +86,14 @@ def scan_groups(df: DataFrame, qids: np.ndarray, k: int, start: Callable[[], Cal
         near: dict[int, Nearest] = {}
         score = start()
         for batch in batches:
-            step = max(1, BLOCK_CELLS // max(1, len(qids)))
+            step = max(64, BLOCK_CELLS // max(1, len(qids)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 ids = part.column(0).to_numpy()
                 for shard, queries, rows, dist in score(part):
-                    dist, own = np.round(dist, DECIMALS) + 0.0, ids if rows is None else ids[rows]
                     if shard not in near:
                         near[shard] = Nearest(len(qids), k)
-                    for column, query in enumerate(queries):
-                        near[shard].add(query, own, dist[:, column])
+                    near[shard].add_block(np.asarray(queries), ids if rows is None else ids[rows], dist)
         for shard, kept in near.items():
             got = kept.batch(qids)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(got.num_rows, shard, np.int32)), *got.columns], names=["shard", *got.schema.names])
