@@ -17,8 +17,9 @@ obeys the triangle inequality. Of two linked fingerprints, at least one part dif
 
 With one word, four bits and three windows (the default), t is 1 and no link is lost. Near copies with a shingle
 similarity of 0.8 differ in about 15% of the bits, which no tree over 64 bits can search. For these, ``similar``
-takes four words and 44 bits, and keeps t at 1 in twelve parts: with a similarity of 0.9 a pair agrees so far in some part
-with a probability of 0.99, with 0.8 of 0.86, and groups hang together by several pairs.
+takes four words and 47 bits, and keeps t at 1 in sixteen parts of 16 bits: a pair at a similarity of 0.8 agrees so far in
+some part with a probability of 0.99. At 47 bits, a pair of similarity 0.8 is linked with a probability of 0.93, one of 0.9
+with 0.99 and more, one of 0.6 with 0.04, and groups hang together by several pairs.
 
 Pairs are compared over all bits, so links are exact: the sample only decides where cuts lie. Shards
 with more than four times ``shard`` fingerprints (a large group of near copies) are dealt over several tasks by a salt; those that
@@ -73,7 +74,7 @@ def fingerprint(text: bytes, width: int = 4, words: int = 1, seed: int = 42) ->
 
 
 def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    x = hashes + np.uint64(k) * _GOLDEN
+    x = hashes + np.uint64(k * int(_GOLDEN) % 2**64)
     x = (x ^ (x >> np.uint64(31))) * _GOLDEN
     x = (x ^ (x >> np.uint64(29))) * _GOLDEN
     return x ^ (x >> np.uint64(32))
@@ -89,8 +90,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _points(column: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
-    """Fingerprints as a matrix of unsigned words."""
-    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+    """Fingerprints as a matrix of unsigned words; all have one length, so they lie side by side in the column's buffer."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.empty((0, words), np.uint64)
+    start = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
+    return np.frombuffer(column.buffers()[2], ">u8", len(column) * words, start).astype(np.uint64).reshape(-1, words)
 
 
 def _binary(points: np.ndarray) -> pa.Array:
@@ -251,7 +256,7 @@ def links(points: DataFrame, radius: int = 4, words: int = 1, windows: int = 3,
 
     ``reach`` is how many bits a search in a part goes; by default the least with which no link is lost. The tops of the
     trees grow on the fingerprints whose hash falls into one of so many classes that about an eighth of them are taken, and
-    about ``sample`` at most. About ``shard`` fingerprints live in a shard: by default 65536, from 67 million on a 1024th of
+    about ``sample`` at most. About ``shard`` fingerprints live in a shard: by default 65536, from four million on a 64th of
     all, a million at most, so that a tree of few levels sends each fingerprint to few shards. A shard in which over
     four times as many live is dealt out by a salt.
     """
@@ -261,7 +266,7 @@ def links(points: DataFrame, radius: int = 4, words: int = 1, windows: int = 3,
     one_in = max(8, -(-n // sample))
     taken = sorted(bytes(r[0]) for r in points.where(F.pmod(F.xxhash64("point"), F.lit(one_in)) == 0).select("point").collect())
     picked = _points(pa.array(taken, pa.binary()), words)
-    shard = shard or min(1 << 20, max(1 << 16, n >> 10))
+    shard = shard or min(1 << 20, max(1 << 16, n >> 6))
     leaf = max(2, int(shard * len(picked) / max(n, 1)))
     trees = [grow(picked, part, leaf, [0]) for part in parts]
 
@@ -308,7 +313,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``near_duplicates`` for five-word shingles and a similarity of about 0.8 or more."""
-    return near_duplicates(df, id_col, text_col, radius=44, width=5, words=4, reach=1)
+    return near_duplicates(df, id_col, text_col, radius=47, width=5, words=4, windows=4, reach=1)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
