@@ -5,7 +5,8 @@ A text (null: empty) is cut at ``\\n``. Each line with a word is held against th
 * punctuation: many symbol characters, many stacked marks such as ``!!``, or capitals throughout with such marks;
 * navigation: many separators such as ``|`` between few words, or only menu words;
 * boilerplate: a legal or subscription phrase in a short line, the same line seen before in the text, or few different
-  words in many.
+  words in many. The share of different words falls with length in any text, so a longer line is judged by windows of
+  ``line_distinct_window`` words, all of them.
 
 Failing lines are removed and the others stay as they are. A document is rejected if it has fewer than ``min_words``
 words, if more than ``max_repeat`` of its words stand in repeated five-word windows, or if the removed lines hold more
@@ -55,6 +56,7 @@ class Rules:
     line_separators: int = 20
     line_distinct: int = 30
     line_distinct_words: int = 10
+    line_distinct_window: int = 500
     boilerplate_words: int = 12
 
 
@@ -104,6 +106,20 @@ def separators(line: bytes, words: list[bytes]) -> int:
     return line.count(b"|") + line.count(_GUILLEMET) + words.count(b"<") + words.count(b">")
 
 
+def few_different(words: list[bytes], rules: Rules) -> bool:
+    """Whether under ``line_distinct`` percent of the words are different, in the line and on average over its windows.
+
+    Windows follow each other, and the last one ends with the line, so all are full. A shorter line is one window.
+    """
+    n, width = len(words), rules.line_distinct_window
+    if 100 * len(set(words)) >= rules.line_distinct * n:
+        return False
+    if n <= width:
+        return True
+    starts = [*range(0, n - width, width), n - width]
+    return 100 * sum(len(set(words[i : i + width])) for i in starts) < rules.line_distinct * width * len(starts)
+
+
 def line_fails(line: bytes, words: list[bytes], rules: Rules) -> str:
     """The family of the first rule that a line with words fails, or an empty string."""
     n = len(words)
@@ -120,7 +136,7 @@ def line_fails(line: bytes, words: list[bytes], rules: Rules) -> str:
             return "navigation"
         if any(x in lower for x in BOILERPLATE):
             return "boilerplate"
-    if n >= rules.line_distinct_words and 100 * len(set(words)) < rules.line_distinct * n:
+    if n >= rules.line_distinct_words and few_different(words, rules):
         return "boilerplate"
     return ""
 

@@ -54,6 +54,18 @@ def test_line_rules():
     assert out[6] and out[8].decode() == f"{good}\n\n{more}"
 
 
+def test_long_lines_of_natural_words_stay():
+    r = random.Random(12)
+    weights = [1 / (rank + 2.7) for rank in range(6_000)]
+    for n in (9_000, 20_000):
+        words = [f"w{i}" for i in r.choices(range(6_000), weights, k=n)]
+        assert 100 * len(set(words)) < 30 * n  # the share over the whole line says nothing
+        out = quality.judge(" ".join(words).encode())
+        assert not out[5] and out[6] and out[7] == 0
+        junk = " ".join(r.choices(words[:60], k=n))
+        assert quality.judge(junk.encode())[7] == len(junk.replace(" ", ""))
+
+
 def test_clean_rows_stay_and_lose_only_lines(docs, rows, empty, clashing):
     good = prose(900, 80)
     df = docs.unionByName(docs.sparkSession.createDataFrame([(7000, good + "\nmenu", "en", "s", 0)], docs.schema))
