@@ -17,14 +17,16 @@ obeys the triangle inequality. Of two linked fingerprints, at least one part dif
 
 With one word, four bits and three windows (the default), t is 1 and no link is lost. Near copies with a shingle
 similarity of 0.8 differ in about 15% of the bits, which no tree over 64 bits can search. For these, ``similar``
-takes four words and 47 bits, and keeps t at 1 in sixteen parts of 16 bits: a pair at a similarity of 0.8 agrees so far in
-some part with a probability of 0.99. At 47 bits, a pair of similarity 0.8 is linked with a probability of 0.93, one of 0.9
-with 0.99 and more, one of 0.6 with 0.04, and groups hang together by several pairs.
+takes four words and 53 bits, and keeps t at 1 in sixteen parts of 16 bits: a pair at a similarity of 0.8 agrees so far in
+some part with a probability of 0.99. These links are candidates only: of each, the sets of shingles are compared, and
+those under 80 percent go before components are made. There a point is a fingerprint with a digest of its set, so
+texts that share a fingerprint alone are compared too.
 
 Pairs are compared over all bits, so links are exact: the sample only decides where cuts lie. Shards
 with more than four times ``shard`` fingerprints (a large group of near copies) are dealt over several tasks by a salt; those that
 visit go to each. No pairs leave a shard: it returns a spanning forest of its links, at most one row for each
-fingerprint in it. Components come from these by repeated star contraction in DataFrames.
+fingerprint in it (where links are compared further, in each leaf, so that a candidate that fails hides no other leaf's).
+Each row is a link, from a fingerprint's tree to the nearest in a tree of lower ones. Components come from these by repeated star contraction in DataFrames.
 
 Only distinct fingerprints are searched, so a group of any number of exact copies is one of them. A repeated row gets
 the same result each time; a null id counts as a document whose id is unknown and is never a component's id unless all
@@ -52,18 +54,28 @@ def fingerprint(text: bytes, width: int = 4, words: int = 1, seed: int = 42) ->
 
     The first word is made of the shingles' XXH64, each further one of the same hashes mixed by another constant.
     """
+    return _majority(shingles(text, width, seed), words)
+
+
+def shingles(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 of each shingle of a UTF-8 text, in order."""
     import xxhash
 
     own = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not own:
-        return bytes(8 * words)
+        return np.empty(0, np.uint64)
     if len(own) <= width:
         grams = [b" ".join(own)]
     else:
         grams = map(b" ".join, zip(*(own[i:] for i in range(width))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, seed) for g in grams), np.uint64)
+    return np.fromiter((digest(g, seed) for g in grams), np.uint64)
+
+
+def _majority(hashes: np.ndarray, words: int) -> bytes:
     n, out = len(hashes), b""
+    if not n:
+        return bytes(8 * words)
     for k in range(words):
         mixed = _mixed(hashes, k) if k else hashes
         counts = np.zeros(64, np.int64)
@@ -89,6 +101,30 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return common.map_texts(df, id_col, text_col, T.StructType([T.StructField("fp", T.BinaryType())]), start)
 
 
+def _marked(text: bytes, width: int, words: int) -> tuple[bytes, np.ndarray]:
+    """The fingerprint with eight bytes more, a digest of the set of shingles, and that set in order."""
+    import xxhash
+
+    hashes = shingles(text, width)
+    own = np.unique(hashes)
+    return _majority(hashes, words) + xxhash.xxh3_64_digest(own.tobytes()), own
+
+
+def _tag(text: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def marked(df: DataFrame, id_col: str, text_col: str, width: int, words: int) -> DataFrame:
+    """(id, fp binary, tag) for each row: the fingerprint with the digest of its shingles, and a hash of the text."""
+
+    def start():
+        return lambda texts: [[_marked(t, width, words)[0] for t in texts], [_tag(t) for t in texts]]
+
+    return common.map_texts(df, id_col, text_col, T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("tag", T.LongType())]), start)
+
+
 def _points(column: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
     """Fingerprints as a matrix of unsigned words; all have one length, so they lie side by side in the column's buffer."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -191,20 +227,27 @@ def _roots(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
-def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Joins the trees of a[i] and b[i] for all i; parent points at roots before and after."""
+def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray, out: list) -> np.ndarray:
+    """Joins the trees of a[i] and b[i] for all i; parent points at roots before and after.
+
+    A tree goes to the nearest one with a lower root; the links that join trees are added to ``out``.
+    """
     while True:
         x, y = parent[a], parent[b]
         apart = x != y
         if not apart.any():
             return parent
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        a, b, bits, x, y = a[apart], b[apart], bits[apart], x[apart], y[apart]
+        high, low = np.maximum(x, y), np.minimum(x, y)
+        order = np.lexsort((low, bits, high))
+        first = order[np.unique(high[order], return_index=True)[1]]
         parent = parent.copy()
-        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        parent[high[first]] = low[first]
+        out.append((a[first], b[first]))
         parent = _roots(parent)
 
 
-def _compare(points, homes, seekers, part: Part, radius: int, parent, most: int = 1 << 18):
+def _compare(points, homes, seekers, part: Part, radius: int, words: int, parent, out: list, most: int = 1 << 18):
     """Joins all links between two sets of positions. Homes of one tree are not compared with seekers of the same."""
     step = max(1, most // max(1, len(seekers)))
     while len(homes):
@@ -218,15 +261,20 @@ def _compare(points, homes, seekers, part: Part, radius: int, parent, most: int
         i, j = block[i], others[j]
         apart = parent[i] != parent[j]
         i, j = i[apart], j[apart]
-        linked = np.bitwise_count(points[i] ^ points[j]).sum(1, dtype=np.int32) <= radius
-        parent = _join(parent, i[linked], j[linked])
+        bits = np.bitwise_count(points[i, :words] ^ points[j, :words]).sum(1, dtype=np.int32)
+        linked = bits <= radius
+        parent = _join(parent, i[linked], j[linked], bits[linked], out)
     return parent
 
 
-def forest(points: np.ndarray, home: np.ndarray, part: Part, radius: int, leaf: int = 192) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between those that live in a shard and all that are in it, as positions."""
+def forest(points: np.ndarray, home: np.ndarray, part: Part, radius: int, words: int | None = None, leaf: int = 192) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between those that live in a shard and all that are in it, as positions.
+
+    If points have more than ``words`` words, a digest follows their fingerprints, and each leaf has a forest of its own.
+    """
     everyone = np.arange(len(points))
-    parent = everyone.copy()
+    parent, words = everyone.copy(), words or points.shape[1]
+    out = [(everyone[:0], everyone[:0])]
     stack = [(everyone[home], everyone)]
     while stack:
         homes, seekers = stack.pop()
@@ -242,18 +290,22 @@ def forest(points: np.ndarray, home: np.ndarray, part: Part, radius: int, leaf:
             if inside.any() and not inside.all() and work < 0.9 * len(homes) * len(seekers):
                 stack += [(homes[inside], seekers[goes_in]), (homes[~inside], seekers[goes_out])]
                 continue
-        parent = _compare(points, homes, seekers, part, radius, parent)
-    linked = np.flatnonzero(parent != everyone)
-    return linked, parent[linked]
+        if words < points.shape[1]:
+            parent = everyone
+        parent = _compare(points, homes, seekers, part, radius, words, parent, out)
+    a, b = zip(*out)
+    return np.concatenate(a), np.concatenate(b)
 
 
 _VISIT = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("home", T.BooleanType()), T.StructField("point", T.BinaryType())])
 _EDGE = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
 
-def links(points: DataFrame, radius: int = 4, words: int = 1, windows: int = 3, reach: int | None = None, sample: int = 65536, shard: int | None = None) -> DataFrame:
+def links(points: DataFrame, radius: int = 4, words: int = 1, windows: int = 3, reach: int | None = None, sample: int = 65536, shard: int | None = None, marks: int = 0) -> DataFrame:
     """(a, b): a spanning forest, in parts, of the links between the distinct fingerprints in column ``point``.
 
+    ``marks`` words follow a fingerprint's own and have no part in distances.
+
     ``reach`` is how many bits a search in a part goes; by default the least with which no link is lost. The tops of the
     trees grow on the fingerprints whose hash falls into one of so many classes that about an eighth of them are taken, and
     about ``sample`` at most. About ``shard`` fingerprints live in a shard: by default 65536, from four million on a 64th of
@@ -265,14 +317,14 @@ def links(points: DataFrame, radius: int = 4, words: int = 1, windows: int = 3,
     n = points.count()
     one_in = max(8, -(-n // sample))
     taken = sorted(bytes(r[0]) for r in points.where(F.pmod(F.xxhash64("point"), F.lit(one_in)) == 0).select("point").collect())
-    picked = _points(pa.array(taken, pa.binary()), words)
+    picked = _points(pa.array(taken, pa.binary()), words + marks)
     shard = shard or min(1 << 20, max(1 << 16, n >> 6))
     leaf = max(2, int(shard * len(picked) / max(n, 1)))
     trees = [grow(picked, part, leaf, [0]) for part in parts]
 
     def visits(batches):
         for batch in batches:
-            own = _points(batch.column(0), words)
+            own = _points(batch.column(0), words + marks)
             for k, (tree, part) in enumerate(zip(trees, parts)):
                 out: list = []
                 route(tree, own, np.arange(len(own)), np.ones(len(own), bool), part, out)
@@ -293,27 +345,96 @@ def links(points: DataFrame, radius: int = 4, words: int = 1, windows: int = 3,
     )
 
     def search(key, group):
-        column = group.column("point").combine_chunks()
-        a, b = forest(_points(column, words), group.column("home").to_numpy().astype(bool), parts[key[0].as_py()], radius)
+        column, home = group.column("point").combine_chunks(), group.column("home").to_numpy().astype(bool)
+        points = _points(column, words + marks)
+        if marks:  # in one order everywhere, so that the trees choose the same links
+            order = np.lexsort(points.T[::-1])
+            points, home, column = points[order], home[order], column.take(pa.array(order))
+        a, b = forest(points, home, parts[key[0].as_py()], radius, words)
         return pa.table([column.take(pa.array(a)), column.take(pa.array(b))], names=["a", "b"])
 
     return dealt.groupBy("tree", "shard", "salt").applyInArrow(search, _EDGE)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, words: int = 1, **how) -> DataFrame:
-    """(id, fp, component): for each row, its fingerprint and the smallest id that links reach from it."""
-    fps = common.cut(fingerprints(df, id_col, text_col, width, words))
-    points = common.cut(fps.groupBy(F.col("fp").alias("point")).agg(F.min(id_col).alias("least")))
-    roots = connected(links(points.select("point"), radius, words, **how), "a", "b")
+def _sets(df: DataFrame, text_col: str, points: DataFrame, width: int, words: int) -> DataFrame:
+    """(point, own): the set of shingles of each of ``points`` (point, tag), one 64-bit hash after the other.
+
+    The second pass over the texts. The tags of ``points``, eight bytes each, are sent to the workers.
+    """
+    tags = np.unique(points.select("tag").toArrow().column(0).to_numpy())
+    sent = df.sparkSession.sparkContext.broadcast(tags)
+
+    def run(batches):
+        wanted, seen = sent.value, set()
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            for at in common.slices(texts):
+                found = []
+                for text in texts.slice(*at).to_pylist():
+                    tag = _tag(text)
+                    i = np.searchsorted(wanted, tag)
+                    if i < len(wanted) and wanted[i] == tag and tag not in seen:
+                        seen.add(tag)
+                        point, own = _marked(text, width, words)
+                        found.append((point, own.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["point", "own"])
+
+    rows = common.narrowed(df.withColumn("__none", F.lit(0)), "__none", text_col)
+    return common.bounded(rows).mapInArrow(run, "point binary, own binary").groupBy("point").agg(F.first("own").alias("own"))
+
+
+def _with_set(edges: DataFrame, sets: DataFrame, end: str, other: str, most: int = 64) -> DataFrame:
+    """``edges`` with the set of one end; a point of many edges is dealt over one place for each ``most`` of them."""
+    heavy = F.broadcast(common.cut(edges.groupBy(F.col(end).alias("point")).agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("__salts")).where("__salts > 1")))
+    salts = F.coalesce("__salts", F.lit(1))
+    left = edges.withColumn("point", F.col(end)).join(heavy, "point", "left").withColumn("__salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("__salts")
+    right = sets.join(heavy, "point", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return left.join(right.withColumnRenamed("own", f"own_{end}"), ["point", "__salt"]).drop("point", "__salt")
+
+
+def alike(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) whose sets have ``percent`` of their union in common, or more."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    full = _with_set(_with_set(edges, sets, "a", "b"), sets, "b", "a").select("a", "b", "own_a", "own_b")
+    return common.bounded(full).mapInArrow(run, _EDGE)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, words: int = 1, percent: int | None = None, **how) -> DataFrame:
+    """(id, fp, component): for each row, its fingerprint and the smallest id that links reach from it.
+
+    With ``percent``, links also need a similarity of their shingles of so many percent.
+    """
+    if percent is None:
+        fps = common.cut(fingerprints(df, id_col, text_col, width, words))
+        points = common.cut(fps.groupBy(F.col("fp").alias("point")).agg(F.min(id_col).alias("least")))
+        found = links(points.select("point"), radius, words, **how)
+    else:
+        fps = common.cut(marked(df, id_col, text_col, width, words))
+        points = common.cut(fps.groupBy(F.col("fp").alias("point")).agg(F.min(id_col).alias("least"), F.min("tag").alias("tag")))
+        edges = common.cut(links(points.select("point"), radius, words, marks=1, **how).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        ends = edges.select(F.col("a").alias("point")).unionByName(edges.select(F.col("b").alias("point"))).distinct()
+        sets = common.cut(_sets(df, text_col, points.select("point", "tag").join(ends, "point", "left_semi"), width, words))
+        found = common.cut(alike(edges, sets, percent))
+    roots = connected(found, "a", "b")
     joined = points.join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
     of = salted(joined.select("point", "root"), least, "root", "point").select(F.col("point").alias("fp"), "component")
-    return fps.join(of, "fp").select(id_col, "fp", "component")
+    return fps.join(of, "fp").select(id_col, F.substring("fp", 1, 8 * words).alias("fp"), "component")
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``near_duplicates`` for five-word shingles and a similarity of about 0.8 or more."""
-    return near_duplicates(df, id_col, text_col, radius=47, width=5, words=4, windows=4, reach=1)
+    """``near_duplicates`` by links of five-word shingles with a similarity of 0.8 or more, each of which is compared."""
+    return near_duplicates(df, id_col, text_col, radius=53, width=5, words=4, windows=4, reach=1, percent=80)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

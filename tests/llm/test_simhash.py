@@ -109,6 +109,35 @@ def test_near_copies_from_a_similarity_of_eight_tenths(spark):
     assert len(set(got.values())) >= 60  # and nothing else is linked
 
 
+def test_every_link_has_a_similarity_of_eight_tenths(spark):
+    """A family of one template at about 0.7 stays whole; a copy of a member at 0.8 and more goes."""
+    r = random.Random(21)
+    base = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for at in range(5 + i % 5, 300, 27):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    for i in range(0, 80, 4):
+        words = rows[i][1].split()
+        for at in r.sample(range(300), 3):
+            words[at] = f"copy{i}x{at}"
+        rows.append((1000 + i, " ".join(words)))
+    shingles = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in rows}
+    alike = lambda i, j: len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])
+    got = {x.doc_id: x.component for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for c in set(got.values()):
+        members = {i for i in got if got[i] == c}
+        reached, front = {c}, {c}
+        while front:
+            front = {j for j in members - reached if any(alike(i, j) for i in front)}
+            reached |= front
+        assert reached == members
+    assert all(got[i] == i for i in range(80))
+    assert sum(got[1000 + i] == i for i in range(0, 80, 4)) >= 19
+
+
 def test_keep_one(spark, docs, rows, empty, clashing):
     kept = simhash.keep_one(docs).collect()
     component = {}
