@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import durable, release  # noqa: F401
+
 #: Inner names under which an operator carries the caller's columns, so that no extra column can clash with them.
 ID, TEXT = "__id", "__text"
 
@@ -20,25 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where it is unset."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="lodestar-shared-")
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
-
-
 def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    What follows no longer depends on the executors that made it: after a loss, tasks start from these files.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar/{uuid.uuid4().hex}"
-    writer = df.write.mode("error")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written in the shared folder and read again: see ``durable``."""
+    return durable(df, partition_by)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that begin with ``names`` and that ``df`` doesn't have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the program itself as a DataFrame whose plan is an expression: no Python and no RDD in it."""
+    names = T._parse_datatype_string(schema).names
+    text = json.dumps([dict(zip(names, r)) for r in rows], ensure_ascii=False)
+    parsed = F.from_json(F.lit(text), F.lit(f"array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in T._parse_datatype_string(schema).fields)}>>"))
+    return spark.range(0, 1, 1, 1).select(F.inline(parsed))
 
 
 #: Bytes of texts that go to a Python worker at once, and the setting of the session that says so.
