@@ -137,7 +137,7 @@ FROM counted
 
 
 def url_sql(rules=urls.RULES, limits: urls.Limits = urls.Limits()) -> str:
-    """``op5_urls``: the tree as tables of its places."""
+    """``op5_urls``: the tree as tables of its places, and purities from the root down."""
     cases = []
     for _, (verdict, h, p) in sorted(enumerate(rules), key=lambda r: (-len(r[1][1] + r[1][2]), r[0])):
         cases.append((f"(host = {_text(h)} OR ends_with(host, {_text('.' + h)})) AND starts_with(path, {_text(p)})", h + p, verdict))
@@ -151,18 +151,25 @@ def url_sql(rules=urls.RULES, limits: urls.Limits = urls.Limits()) -> str:
         f"WHEN regexp_matches({stem}, '^[0-9a-fA-F-]{{8,}}$') AND regexp_matches({stem}, '[0-9]') THEN '{{h}}' || {tail} "
         f"WHEN regexp_matches({stem}, '[0-9]') AND length({stem}) >= 6 THEN '{{x}}' || {tail} ELSE s END"
     )
-    shape = "array_to_string(list_transform(segments[i + 1 :], lambda s: CASE WHEN starts_with(s, '{') THEN s WHEN s = '' THEN '' ELSE 'w' END), '/')"
-    places = f"SELECT host, path_form, pages, blocked, allowed, i, segments[i] AS segment, array_to_string(segments[: i - 1], '/') AS parent, {shape} AS below FROM (SELECT *, unnest(range(1, len(segments) + 1)) AS i FROM @)"
+    joined = "array_to_string(list_transform({}, lambda s: '/' || s), '')"
+    shape = joined.format("list_transform(segments[i + 1 :], lambda s: CASE WHEN starts_with(s, '{') OR s = '' THEN s ELSE 'w' END)")
+    places = f"SELECT host, path_form, pages, blocked, allowed, i, segments[i] AS segment, {joined.format('segments[: i - 1]')} AS parent, {shape} AS below FROM (SELECT *, unnest(range(1, len(segments) + 1)) AS i FROM @)"
     rebuilt = "SELECT host, path_form, pages, blocked, allowed, list(segment ORDER BY i) AS segments FROM @ GROUP BY host, path_form, pages, blocked, allowed"
     word = "NOT starts_with(segment, '{') AND segment <> ''"
+    w = f"CAST({limits.weight!r} AS DOUBLE)"
     return f"""
-WITH cut AS (SELECT page_id, {_lower(f"coalesce(regexp_extract(url, '{parts}', 1), '')")} AS host, coalesce(regexp_extract(url, '{parts}', 2), '') AS path FROM pages),
-ruled AS (SELECT *, {rule} AS rule, {decided} AS decided, string_split(path, '/')[2 :] AS segs FROM cut),
-formed AS (SELECT *, list_transform(segs[: {limits.deepest}], lambda s: {form}) || CASE WHEN len(segs) > {limits.deepest} THEN ['{{**}}'] ELSE [] END AS segments FROM ruled),
-rows AS (SELECT *, array_to_string(segments, '/') AS path_form FROM formed),
+WITH known AS (
+  SELECT doc_id, CASE WHEN bool_or(coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0) THEN 'block' ELSE 'allow' END AS label
+  FROM labels WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id
+),
+cut AS (SELECT page_id, {_lower(f"coalesce(regexp_extract(url, '{parts}', 1), '')")} AS host, coalesce(regexp_extract(url, '{parts}', 2), '') AS path FROM pages),
+ruled AS (SELECT cut.*, {rule} AS rule, {decided} AS decided, label, string_split(path, '/')[2 :] AS segs FROM cut LEFT JOIN known ON doc_id = TRY_CAST(regexp_extract(path, {_text(urls.DOCUMENT)}, 1) AS BIGINT)),
+shaped AS (SELECT *, list_transform(segs, lambda s: {form}) AS every FROM ruled),
+formed AS (SELECT *, every[: {limits.deepest}] || CASE WHEN len(every) > {limits.deepest} THEN ['{{**' || left(md5(array_to_string(every[{limits.deepest} + 1 :], '/')), 16) || '}}'] ELSE [] END AS segments FROM shaped),
+rows AS (SELECT *, {joined.format("segments")} AS path_form FROM formed),
 tree AS (
   SELECT host, path_form, any_value(segments) AS segments, count(*) AS pages,
-    CAST(sum(CASE WHEN decided = 'block' THEN 1 ELSE 0 END) AS BIGINT) AS blocked, CAST(sum(CASE WHEN decided = 'allow' THEN 1 ELSE 0 END) AS BIGINT) AS allowed
+    CAST(sum(CASE WHEN label = 'block' THEN 1 ELSE 0 END) AS BIGINT) AS blocked, CAST(sum(CASE WHEN label = 'allow' THEN 1 ELSE 0 END) AS BIGINT) AS allowed
   FROM rows GROUP BY host, path_form
 ),
 places AS ({places.replace("@", "tree")}),
@@ -179,10 +186,17 @@ merged AS (
 ),
 final AS (SELECT p.* REPLACE (CASE WHEN merged THEN '{{~}}' ELSE segment END AS segment) FROM places2 p LEFT JOIN merged USING (host, i, parent, segment)),
 named AS (
-  SELECT host, path_form, blocked, allowed, array_to_string(segments, '/') AS template FROM ({rebuilt.replace("@", "final")})
-  UNION ALL SELECT host, path_form, blocked, allowed, '' FROM tree WHERE len(segments) = 0
+  SELECT host, path_form, blocked, allowed, segments, {joined.format("segments")} AS template FROM ({rebuilt.replace("@", "final")})
+  UNION ALL SELECT host, path_form, blocked, allowed, segments, '' FROM tree WHERE len(segments) = 0
 ),
-pure AS (SELECT host, template, (CAST(sum(blocked) AS DOUBLE) + CAST({limits.weight * limits.prior!r} AS DOUBLE)) / (CAST(sum(blocked) + sum(allowed) AS DOUBLE) + CAST({limits.weight} AS DOUBLE)) AS purity FROM named GROUP BY host, template)
+own AS (SELECT host, template, any_value(segments) AS segments, CAST(sum(blocked) AS DOUBLE) AS b, CAST(sum(blocked) + sum(allowed) AS DOUBLE) AS n FROM named GROUP BY host, template),
+whole AS (SELECT (coalesce(sum(b), 0) + CAST({limits.weight * limits.prior!r} AS DOUBLE)) / (coalesce(sum(n), 0) + {w}) AS g FROM own),
+above AS (SELECT host, template, b, n, depth, {joined.format("segments[: depth]")} AS node FROM (SELECT *, unnest(range(0, greatest(len(segments), 1))) AS depth FROM own)),
+nodes AS (SELECT host, depth, node, sum(b) AS node_b, sum(n) AS node_n FROM above GROUP BY host, depth, node),
+chain AS (SELECT host, template, list({{'b': node_b, 'n': node_n, 'p': CAST(0 AS DOUBLE)}} ORDER BY depth) AS chain FROM above JOIN nodes USING (host, depth, node) GROUP BY host, template),
+parents AS (SELECT host, template, list_reduce(list_prepend({{'b': CAST(0 AS DOUBLE), 'n': CAST(0 AS DOUBLE), 'p': g}}, chain), lambda x, y: {{'b': y.b, 'n': y.n, 'p': (y.b + {w} * x.p) / (y.n + {w})}}).p AS parent FROM chain, whole),
+elsewhere AS (SELECT template, (sum(b) + {w} * any_value(g)) / (sum(n) + {w}) AS elsewhere FROM own, whole GROUP BY template),
+pure AS (SELECT host, template, round((b + {w} * ((parent + elsewhere) / 2)) / (n + {w}), 9) AS purity FROM own JOIN parents USING (host, template) JOIN elsewhere USING (template))
 SELECT page_id, r.host, path, rule, coalesce(decided, CASE WHEN purity >= {limits.reject} THEN 'block' ELSE 'allow' END) AS verdict, n.template, purity
 FROM rows r LEFT JOIN named n ON n.host = r.host AND n.path_form = r.path_form LEFT JOIN pure p ON p.host = n.host AND p.template = n.template
 """
