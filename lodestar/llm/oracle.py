@@ -46,38 +46,52 @@ FROM judged GROUP BY conv_id
 """
 
 
-def license_sql(slack: int = 3, share: float = 0.8) -> str:
-    """``op7_licenses``: k-grams as they are written instead of hashed."""
-    rows = []
-    for number, (text, label) in enumerate([*licenses.PHRASES.items(), *licenses.PASSAGES.items()]):
-        words = text.split()
-        grams = [" ".join(words[i : i + licenses.K]) for i in range(len(words) - licenses.K + 1)]
-        base = "true" if number < len(licenses.PHRASES) else "false"
-        rows += [f"({_text(g)}, {number}, {q}, {len(grams)}, {base}, {_text(label)})" for q, g in enumerate(grams)]
+def license_sql(slack: int = 3, share: float = 0.9) -> str:
+    """``op7_licenses``: k-grams as they are written instead of hashed; the words that a span holds are counted one by one."""
+
+    def values(texts, k):
+        rows = []
+        for number, (label, text) in enumerate(texts):
+            words = [w.decode() for w in licenses.words_of(text.encode())]
+            rows += [f"({_text(' '.join(words[q : q + k]))}, {number}, {q}, {len(words)}, {_text(label)})" for q in range(len(words) - k + 1)]
+        return ", ".join(rows)
+
+    def grams(k):
+        parts = ", ".join(f"w[{i + 1} : len(w) - {k - 1 - i}]" for i in range(k))
+        text = " || ' ' || ".join(f"x[{i + 1}]" for i in range(k))
+        return f"SELECT row, unnest(range(len(w) - {k - 1})) AS pos, unnest(list_transform(list_zip({parts}), lambda x: {text})) AS gram FROM texts WHERE len(w) >= {k}"
+
+    def scored(held):
+        return f"2.0 * least(len(list_distinct(flatten(list_transform({held}, lambda q: range(q, q + {licenses.K}))))), high + {licenses.K} - low) / (words + high + {licenses.K} - low)"
+
+    joined = " UNION ALL ".join(
+        f"SELECT row, template, words, label, flatten(list(held) OVER w) AS held, min(low) OVER w AS low, max(high) OVER w AS high FROM merged WINDOW w AS (PARTITION BY row, template, span ORDER BY diagonal ROWS BETWEEN CURRENT ROW AND {more} FOLLOWING)"
+        for more in range(licenses.JOINED)
+    )
     lower = _lower("coalesce(text, '')")
     return f"""
-WITH templates(gram, template, q, grams, base, label) AS (VALUES {", ".join(rows)}),
+WITH phrases(gram, template, q, words, label) AS (VALUES {values([(label, p) for p, label in licenses.PHRASES.items()], licenses.BASE_K)}),
+templates(gram, template, q, words, label) AS (VALUES {values(licenses.default_templates(), licenses.K)}),
 texts AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-grams AS (
-  SELECT row, unnest(range(len(w) - 1)) AS pos, unnest(list_transform(list_zip(w[: len(w) - 1], w[2 :]), lambda x: x[1] || ' ' || x[2])) AS gram
-  FROM texts WHERE len(w) > 1
+places AS (
+  SELECT row, label, pos - q AS word FROM ({grams(licenses.BASE_K)}) JOIN phrases USING (gram)
+  GROUP BY row, template, words, label, pos - q HAVING count(DISTINCT q) = words - {licenses.BASE_K - 1}
 ),
 votes AS (
-  SELECT row, template, grams, base, label, pos - q AS diagonal, count(DISTINCT q) AS votes, min(pos) AS low, max(pos) AS high
-  FROM grams JOIN templates USING (gram) GROUP BY ALL
+  SELECT row, template, words, label, pos - q AS diagonal, list(DISTINCT q) AS held, min(pos) AS low, max(pos) AS high
+  FROM ({grams(licenses.K)}) JOIN templates USING (gram) GROUP BY row, template, words, label, pos - q
 ),
-near AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w > {slack} OR low - lag(high) OVER w > grams + {slack} THEN 1 ELSE 0 END AS apart
-  FROM votes WHERE NOT base WINDOW w AS (PARTITION BY row, template ORDER BY diagonal)
+marked AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > least(greatest({slack}, words // 20), words // 2) THEN 1 ELSE 0 END AS new FROM votes
 ),
+merged AS (SELECT *, sum(new) OVER (PARTITION BY row, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked),
 spans AS (
-  SELECT row, label, least(sum(votes), grams) / grams AS score, NULL AS word FROM (
-    SELECT *, sum(apart) OVER (PARTITION BY row, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM near
-  ) GROUP BY row, template, grams, label, span HAVING least(sum(votes), grams) / grams >= {share}
+  {joined}
+  UNION ALL SELECT row, template, words, label, flatten(list(held)) AS held, min(low) AS low, max(high) AS high FROM merged GROUP BY row, template, words, label, span
 ),
 found AS (
-  SELECT row, label, score, word FROM spans
-  UNION ALL SELECT row, label, 1.0, diagonal FROM votes WHERE base AND votes = grams
+  SELECT row, label, score, NULL AS word FROM (SELECT row, label, words, {scored("held")} AS score FROM spans) WHERE score >= {share} AND (words >= {licenses.EXACT} OR score = 1)
+  UNION ALL SELECT row, label, 1.0, word FROM places
 ),
 by_text AS (
   SELECT row, count(word) AS n_base, CAST(min(word) AS BIGINT) AS first_word, CAST(max(word) AS BIGINT) AS last_word,
