@@ -3,8 +3,10 @@
 Only DataFrame functions are used. Rows become turns, and a conversation's turns are put in order by ``turn`` (null first; of
 equal ones by role, then text). A null text or role is empty. For each turn the template gives a head, the text and a
 tail; only the text of a role under loss carries the flag. The template's control strings are escaped inside texts and
-in the names of roles that it doesn't know: a backslash becomes ``\\b``, and each control string a backslash and its letter. No
-control string is left in an escaped text, so turns are found again by plain splitting, and unescaping is exact.
+in the names of roles that it doesn't know: a backslash becomes ``\\b``, and each control string a backslash and its letter; in
+names, so does the first character of the colon. No control string is left in an escaped text, so turns are found again by
+plain splitting, and unescaping is exact. A template for which that can't hold raises ``ValueError``: control strings must not be
+empty, hold a backslash or begin with one of the letters ``b c m t``, and the tail must be in one line.
 
 The machine starts in ``start``; ``moves`` holds the roles that may follow each state, and ``ends`` where a conversation may end.
 Its verdict is in ``valid``; ``broken_at`` is the first turn (from 0) that may not stand where it does, or the number of turns
@@ -44,6 +46,15 @@ class Template:
     moves: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"start": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user", "tool"), "tool": ("assistant",)})
     ends: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self):
+        for control in (self.mark, self.tail, self.colon):
+            if not control or "\\" in control or control[0] in "bcmt":
+                raise ValueError(f"can't escape the control string {control!r}")
+        if "\n" in self.tail:
+            raise ValueError("a tail ends with its line")
+        if any(self.colon[0] in r.shown or self.tail in r.shown or r.shown.startswith("Role ") for r in self.roles):
+            raise ValueError("a role can't be shown with control strings in its name, or as an unknown one")
+
     def codes(self) -> list[tuple[str, str]]:
         """Control strings and what stands for each inside a text; the backslash first."""
         return [("\\", "\\b"), (self.mark, "\\m"), (self.tail, "\\t")]
@@ -63,14 +74,14 @@ def unescape(text: Column, template: Template) -> Column:
 
 def _head(role: Column, template: Template) -> Column:
     """``### User: `` for a known role; for another, ``### Role x: `` with its name escaped, colons too."""
-    other = F.concat(F.lit(f"{template.mark} Role "), F.replace(escape(role, template), F.lit(":"), F.lit("\\c")), F.lit(template.colon))
+    other = F.concat(F.lit(f"{template.mark} Role "), F.replace(escape(role, template), F.lit(template.colon[0]), F.lit("\\c")), F.lit(template.colon))
     known = reduce(lambda c, r: c.when(role == r.name, f"{template.mark} {r.shown}{template.colon}"), template.roles, F)
     return known.otherwise(other)
 
 
 def _role_of(head: Column, template: Template) -> Column:
     """The role that a head (without mark and colon) stands for."""
-    other = unescape(F.replace(F.substring(head, len("Role ") + 1, 2**31 - 1), F.lit("\\c"), F.lit(":")), template)
+    other = unescape(F.replace(F.substring(head, len("Role ") + 1, 2**31 - 1), F.lit("\\c"), F.lit(template.colon[0])), template)
     return reduce(lambda c, r: c.when(head == r.shown, r.name), template.roles, F).otherwise(other)
 
 
@@ -108,7 +119,8 @@ def format_chats(df: DataFrame, template: Template = Template(), id_col: str = "
 
 def read_turns(formatted: Column, template: Template = Template()) -> Column:
     """An array of (role, text) read back from a formatted conversation."""
-    pieces = F.split(formatted, template.tail.replace("/", "\\/") + "\n", -1)
+    quoted = (template.tail + "\n").replace("\\E", "\\E\\\\E\\Q")
+    pieces = F.split(formatted, f"\\Q{quoted}\\E", -1)
     whole = F.slice(pieces, 1, F.size(pieces) - 1)
 
     def turn(piece: Column) -> Column:
@@ -125,7 +137,7 @@ def op6_chat(spark, sf_dir: str) -> DataFrame:
     template = Template()
     odd = "\\### Assistant: </turn> ok"
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    extra = common.literal_rows(spark, [(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     out = format_chats(rows.unionByName(extra), template).withColumn("turns", read_turns(F.col("formatted"), template))
     loss = unescape(F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), ""), template)
     return out.withColumn("loss", loss).select(

@@ -45,6 +45,32 @@ def test_formats_and_reads_back(spark, made):
         assert r.formatted.count("</turn>") == len(want)
 
 
+TEMPLATES = [
+    chat.Template(mark="<|im_start|>", tail="<|im_end|>", colon="\n"),
+    chat.Template(mark="[[(*+?", tail="\u20ac$^.)]}", colon="::"),
+    chat.Template(mark="#", tail="#", colon="#:"),
+    chat.Template(mark="a", tail="aa", colon="="),
+]
+
+
+@pytest.mark.parametrize("template", TEMPLATES, ids=lambda t: t.mark)
+def test_templates_of_any_characters(spark, template):
+    """What a template marks turns with comes back out of texts and names of roles, whatever it is."""
+    r = random.Random(8)
+    pieces = [template.mark, template.tail, template.colon, template.colon[0], template.tail + "\n", "\\", "\\E", "\\Q", "\\c", "\n", "a", "x", "b", "#", " "]
+    text = lambda: "".join(r.choice(pieces) for _ in range(r.randint(0, 7)))
+    rows = [(c, t, r.choice(["user", "assistant", text(), "a\nb", "x:"]), text()) for c in range(60) for t in range(r.randint(1, 4))]
+    out = chat.format_chats(spark.createDataFrame(rows, SCHEMA), template).withColumn("turns", chat.read_turns(F.col("formatted"), template))
+    got = {x.conv_id: [(t.role, t.text) for t in x.turns] for x in out.collect()}
+    assert got == {c: [(role, t) for _, role, t in ordered(rows, c)] for c in range(60)}
+
+
+def test_templates_that_cannot_be_escaped():
+    for how in ({"mark": ""}, {"tail": ""}, {"mark": "\\x"}, {"tail": "bye"}, {"colon": ""}, {"tail": "x\ny"}, {"roles": (chat.Role("user", "a: b"),)}, {"roles": (chat.Role("user", "Role user"),)}):
+        with pytest.raises(ValueError):
+            chat.Template(**how)
+
+
 def test_the_machine(spark):
     cases = {
         1: (["user", "assistant"], None),
@@ -64,7 +90,7 @@ def test_the_machine(spark):
 
 def test_no_python_runs(spark, data):
     plan = chat.op6_chat(spark, data)._jdf.queryExecution().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD"))
 
 
 def test_query(spark, data):
