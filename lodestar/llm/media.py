@@ -6,20 +6,20 @@ sample of a block depends on the one before, but blocks don't depend on each oth
 a batch of rows are decoded at once. Resampling is by a windowed sinc in polyphase form. Stored PCM is 16-bit
 little-endian, mono.
 
-``wav`` stores bytes as 8-bit mu-law samples in a RIFF file without loss, and ``unwav`` reads them back. A null value is
-empty. Rows are decoded one by one, so equal values give equal results and repeated rows repeat them; batches are cut by
-their bytes, so memory is in proportion to the longest value. No shuffle; an empty table gives an empty one.
+``to_media`` stores bytes as 8-bit samples in a RIFF file without loss, and ``to_pcm`` reads such files, expands and resamples
+them; each adds columns and keeps the others. ``stored`` does both for texts, a null one as an empty one. Rows are decoded one
+by one, so equal values give equal results and repeated rows repeat them; batches are cut by their bytes, so memory is in
+proportion to the longest value. No shuffle; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from functools import lru_cache
 from math import gcd, isqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,49 +114,56 @@ def resample(pcm: np.ndarray, rate: int, to: int, taps: int = 8) -> np.ndarray:
     return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
 
 
-def expand(data: np.ndarray, codec: str) -> np.ndarray:
+def expand(data: np.ndarray, codec: str, block: int = BLOCK) -> np.ndarray:
     """Bytes of one value to PCM. ADPCM bytes after the last whole block are dropped by the format."""
     if codec == MULAW:
         return mulaw_table()[data]
     if codec == ALAW:
         return alaw_table()[data]
     if codec == ADPCM:
-        return adpcm_blocks(data[: len(data) // BLOCK * BLOCK].reshape(-1, BLOCK)).reshape(-1)
+        return adpcm_blocks(data[: len(data) // block * block].reshape(-1, block)).reshape(-1)
     raise ValueError(f"unknown codec: {codec}")
 
 
 def wav(payload: bytes, rate: int = 8000, codec: str = MULAW) -> bytes:
-    """A RIFF file of one channel with the payload as its samples."""
-    align, bits = (BLOCK, 4) if codec == ADPCM else (1, 8)
-    samples = len(payload) if codec != ADPCM else len(payload) // BLOCK * (1 + 2 * (BLOCK - 4))
-    form = struct.pack("<HHIIHHH", _TAGS[codec], 1, rate, rate if codec != ADPCM else rate * BLOCK // (1 + 2 * (BLOCK - 4)), align, bits, 0)
+    """A RIFF file of one channel with the payload as its samples. ADPCM's header says how many samples a block has."""
+    per_block = 1 + 2 * (BLOCK - 4)
+    if codec == ADPCM:
+        align, bits, samples, speed, more = BLOCK, 4, len(payload) // BLOCK * per_block, rate * BLOCK // per_block, struct.pack("<H", per_block)
+    else:
+        align, bits, samples, speed, more = 1, 8, len(payload), rate, b""
+    form = struct.pack("<HHIIHHH", _TAGS[codec], 1, rate, speed, align, bits, len(more)) + more
     chunks = b"fmt " + struct.pack("<I", len(form)) + form + b"fact" + struct.pack("<II", 4, samples) + b"data" + struct.pack("<I", len(payload)) + payload + b"\0" * (len(payload) % 2)
     return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
 
 
-def unwav(media: bytes) -> tuple[bytes, int, str]:
-    """The samples' bytes, the rate and the codec of a RIFF file; raises ValueError on another format."""
+def unwav(media: bytes) -> tuple[bytes, int, str, int]:
+    """The samples' bytes, the rate, the codec and the bytes of a block of a RIFF file.
+
+    Another format, a file that ends before its chunks do, no rate, or ADPCM blocks without samples raise ValueError.
+    """
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a RIFF WAVE file")
-    at, rate, codec = 12, 0, ""
+    at, rate, codec, block = 12, 0, "", 1
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+        if at + 8 + size > len(media):
+            raise ValueError("the file ends within a chunk")
         if name == b"fmt ":
-            tag, channels, rate = struct.unpack_from("<HHI", media, at + 8)
+            if size < 16:
+                raise ValueError("the format chunk is too short")
+            tag, channels, rate, _, block = struct.unpack_from("<HHIIH", media, at + 8)
             codec = next((k for k, v in _TAGS.items() if v == tag), "")
-            if channels != 1 or not codec:
-                raise ValueError("one channel of mu-law, A-law or ADPCM is expected")
+            if channels != 1 or not codec or not rate or (codec == ADPCM and block < 5):
+                raise ValueError("one channel of mu-law, A-law or ADPCM with a rate is expected")
         elif name == b"data":
-            return media[at + 8 : at + 8 + size], rate, codec
+            if not codec:
+                raise ValueError("samples before their format")
+            return media[at + 8 : at + 8 + size], rate, codec, block
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
 
 
-def padded(text: bytes) -> bytes:
-    """The text with zero bytes up to a positive multiple of the block."""
-    return text + b"\0" * (max(BLOCK, -(-len(text) // BLOCK) * BLOCK) - len(text))
-
-
 def level(pcm: np.ndarray) -> str:
     """Root mean square, peak and sign changes, as whole numbers."""
     x = pcm.astype(np.int64)
@@ -164,60 +171,99 @@ def level(pcm: np.ndarray) -> str:
     return f"{rms},{int(np.abs(x).max(initial=0))},{int(np.count_nonzero(np.diff(np.signbit(pcm))))}"
 
 
-def describe(texts: list[bytes], rate: int = 8000, to: int = 16000) -> list[tuple]:
-    """The columns of ``stored`` for a batch of texts; ADPCM blocks of all of them are decoded together."""
-    from hashlib import sha256
+def _mapped(df: DataFrame, source: str, fields: list[T.StructField], work) -> DataFrame:
+    """``df`` with further columns: ``work`` makes them, as lists, from a list of the values of ``source``. Columns of these
+    names are replaced. Batches are cut by the bytes of ``source``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    media = [wav(padded(t), rate) for t in texts]
-    back = [unwav(m)[0] for m in media]
-    ends = np.cumsum([0, *(len(p) // BLOCK for p in back)])
-    adpcm = adpcm_blocks(np.frombuffer(b"".join(back), np.uint8).reshape(-1, BLOCK))
-    rows = []
-    for text, m, p, a, b in zip(texts, media, back, ends, ends[1:]):
-        data = np.frombuffer(p, np.uint8)
-        pcm = resample(mulaw_table()[data], rate, to)
-        feature = f"mulaw{to}:{level(pcm)},{zlib.crc32(pcm.astype('<i2').tobytes()):08x};alaw:{level(alaw_table()[data])};adpcm:{level(adpcm[a:b].reshape(-1))}"
-        rows.append((len(text), len(p), sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), sha256(m).hexdigest(), feature))
-    return rows
+    names = {f.name.lower() for f in fields}
+    kept = [f for f in df.schema.fields if f.name.lower() not in names]
+    (given,) = common.fresh(df, "given")
+    own = df.select(F.col(f"`{source}`").cast("binary").alias(given), *[F.col(f"`{f.name}`") for f in kept])
+    out = T.StructType([*kept, *fields])
+    arrow = to_arrow_schema(out)
 
+    def run(batches):
+        for batch in batches:
+            for at in common.slices(batch.column(0), 2 << 20):
+                part = batch.slice(*at)
+                made = [pa.array(v, arrow.field(len(kept) + i).type) for i, v in enumerate(work(part.column(0).to_pylist()))]
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns[1:], arrow)), *made], schema=arrow)
 
-_STORED = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())])
-
-
-def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: its text as a mu-law file, read back: sizes, digests and what the sound is like."""
-
-    def start():
-        return lambda texts: [list(c) for c in zip(*describe(texts))]
-
-    return common.map_texts(df, id_col, text_col, _STORED, start)
+    return common.bounded(own).mapInArrow(run, out)
 
 
 def to_media(df: DataFrame, bytes_col: str, media_col: str = "media", rate: int = 8000, codec: str = MULAW) -> DataFrame:
     """``df`` with ``media_col``: its bytes (null: null) as a file. A column of that name is replaced."""
+    return _mapped(df, bytes_col, [T.StructField(media_col, T.BinaryType())], lambda values: [[None if v is None else wav(v, rate, codec) for v in values]])
+
+
+def _read(media: bytes | None):
+    try:
+        return None if media is None else unwav(media)
+    except ValueError:
+        return None
+
+
+def to_pcm(df: DataFrame, media_col: str = "media", pcm_col: str = "pcm", payload_col: str | None = None, level_col: str | None = None, to: int = 16000) -> DataFrame:
+    """``df`` with ``pcm_col``: a file's samples as 16-bit PCM at ``to`` Hz; with ``payload_col`` the bytes that the file stores, and
+    with ``level_col`` how loud they are under each codec. Null, or no such file: null. Columns of these names are replaced.
+
+    ADPCM blocks of all rows of a batch are decoded together.
+    """
+    fields = [T.StructField(name, kind) for name, kind in ((pcm_col, T.BinaryType()), (payload_col, T.BinaryType()), (level_col, T.StringType())) if name]
+
+    def adpcm_of(files) -> dict[int, np.ndarray]:
+        """The samples of those files that are ADPCM, or of all if levels are asked for."""
+        out: dict[int, np.ndarray] = {}
+        by_block: dict[int, list[int]] = {}
+        for i, f in enumerate(files):
+            if f and (f[2] == ADPCM or level_col):
+                by_block.setdefault(f[3] if f[2] == ADPCM else BLOCK, []).append(i)
+        for block, rows in by_block.items():
+            counts = [len(files[i][0]) // block for i in rows]
+            decoded = adpcm_blocks(np.frombuffer(b"".join(files[i][0][: n * block] for i, n in zip(rows, counts)), np.uint8).reshape(-1, block))
+            ends = np.cumsum([0, *counts])
+            out |= {i: decoded[a:b].reshape(-1) for i, a, b in zip(rows, ends, ends[1:])}
+        return out
+
+    def work(values):
+        files = [_read(v) for v in values]
+        adpcm = adpcm_of(files)
+        pcm, levels = [], []
+        for i, f in enumerate(files):
+            if f is None:
+                pcm.append(None)
+                levels.append(None)
+                continue
+            data = np.frombuffer(f[0], np.uint8)
+            own = resample(adpcm[i] if f[2] == ADPCM else expand(data, f[2]), f[1], to)
+            pcm.append(own.astype("<i2").tobytes())
+            if level_col:
+                levels.append(f"{f[2]}{to}:{level(own)};alaw:{level(alaw_table()[data])};adpcm:{level(adpcm[i])}")
+        return [pcm] + [[f and f[0] for f in files]] * bool(payload_col) + [levels] * bool(level_col)
+
+    return _mapped(df, media_col, fields, work)
 
-    @F.pandas_udf(T.BinaryType())
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else wav(bytes(v), rate, codec))
-
-    return common.bounded(df).withColumn(media_col, run(F.col(bytes_col).cast("binary")))
-
-
-def to_pcm(df: DataFrame, media_col: str = "media", pcm_col: str = "pcm", to: int = 16000) -> DataFrame:
-    """``df`` with ``pcm_col``: a file's samples as 16-bit PCM at ``to`` Hz. Null, or no such file: null."""
 
-    def one(value):
-        try:
-            data, rate, codec = unwav(bytes(value))
-        except (TypeError, ValueError):
-            return None
-        return resample(expand(np.frombuffer(data, np.uint8), codec), rate, to).astype("<i2").tobytes()
-
-    @F.pandas_udf(T.BinaryType())
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(one, na_action=None)
-
-    return common.bounded(df).withColumn(pcm_col, run(F.col(media_col)))
+def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row: its text as a mu-law file (``to_media``), read back and expanded (``to_pcm``): sizes, digests and what the
+    sound is like, the CRC of its resampled PCM last."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = df.select(F.col(id_col).alias(common.ID), text.alias("own")).withColumn("n_bytes", F.octet_length("own").cast("long"))
+    whole = F.greatest(F.ceil(F.col("n_bytes") / BLOCK) * BLOCK, F.lit(BLOCK)).cast("int")
+    rows = rows.select(common.ID, "n_bytes", F.rpad("own", whole, F.lit(b"\0")).alias("own"))
+    back = to_pcm(to_media(rows, "own").drop("own"), payload_col="payload", level_col="levels")
+    return back.select(
+        F.col(common.ID).alias(id_col),
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -BLOCK, BLOCK)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", "levels", F.concat(F.lit("pcm:"), F.lower(F.hex(F.crc32("pcm"))))).alias("feature"),
+    )
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:

@@ -49,12 +49,34 @@ def test_files_round_trip():
     for codec in (media.MULAW, media.ALAW, media.ADPCM):
         for n in (64, 128, 6400):
             data = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()
-            assert media.unwav(media.wav(data, 8000, codec)) == (data, 8000, codec)
+            assert media.unwav(media.wav(data, 8000, codec)) == (data, 8000, codec, 64 if codec == media.ADPCM else 1)
     for bad in (b"", b"RIFF", b"RIFF\0\0\0\0WAVE", b"x" * 100):
         with pytest.raises(ValueError):
             media.unwav(bad)
 
 
+def test_adpcm_header():
+    """The format chunk of ADPCM has two bytes more: samples per block."""
+    import struct
+
+    own = media.wav(b"\1" * 128, 8000, media.ADPCM)
+    size, tag, channels, rate, speed, align, bits, more, per_block = struct.unpack("<IHHIIHHHH", own[16:40])
+    assert (size, tag, channels, rate, align, bits, more, per_block) == (20, 0x11, 1, 8000, 64, 4, 2, 121)
+    assert own[40:44] == b"fact" and struct.unpack("<I", own[48:52])[0] == 2 * 121 and struct.unpack("<I", own[4:8])[0] == len(own) - 8
+
+
+def test_broken_files_are_null(spark):
+    """A file that is cut anywhere, or whose header is of no use, is no file; blocks of another size are read as they are."""
+    whole = [media.wav(bytes(range(128)), 8000, codec) for codec in (media.MULAW, media.ADPCM)]
+    values = [w[:n] for w in whole for n in range(len(w))] + [whole[1][:32] + b"\x04\x00" + whole[1][34:], whole[0][:24] + bytes(4) + whole[0][28:]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, media binary")
+    assert [r.id for r in media.to_pcm(df).where("pcm IS NOT NULL").collect()] == []
+    block32 = whole[1][:32] + b"\x20\x00" + whole[1][34:]
+    got = media.to_pcm(spark.createDataFrame([(block32,)], "media binary"), to=8000).first().pcm
+    want = np.concatenate([plain_adpcm(bytes(range(128))[i : i + 32]) for i in range(0, 128, 32)])
+    assert np.frombuffer(got, "<i2").tolist() == want.tolist()
+
+
 def test_every_row(docs, rows, empty, clashing):
     for df in (docs, clashing):
         got = sorted(map(tuple, media.stored(df).collect()), key=repr)
@@ -66,6 +88,11 @@ def test_every_row(docs, rows, empty, clashing):
             assert media.unwav(own)[0] == payload
             want.append((r[0], len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(own), hashlib.sha256(own).hexdigest()))
         assert [g[:7] for g in got] == sorted(want, key=repr)
+    for r in media.stored(docs).collect():  # the feature is that of the stored PCM
+        if r.doc_id in (0, 5, 102):
+            payload = next(x[1] for x in rows if x[0] == r.doc_id).encode().ljust(r.payload_bytes, b"\0")
+            pcm = media.resample(media.mulaw_table()[np.frombuffer(payload, np.uint8)], 8000, 16000)
+            assert r.feature.split(";pcm:")[1] == f"{zlib.crc32(pcm.astype('<i2').tobytes()):x}"
     same = {}
     for r in media.stored(docs.unionByName(docs)).collect():
         assert same.setdefault(r.payload_sha256, r.feature) == r.feature
