@@ -12,6 +12,8 @@ The best segmentation, found by dynamic programming, decides borders and types t
 
 A segment without a digit, ``@`` or a bracketed "at" is never a candidate, so far from such marks only single tokens
 outside remain: dynamic programming runs over the stretches round the marks, with the same result as over the whole text.
+Time is in proportion to the text, whatever is in it, white space or none. An entity of the field has ``LONGEST``
+tokens and ``LONGEST_CHARS`` characters at most; longer ones are left to the base patterns.
 Spans are in code points, end exclusive. A base span always stays; a span of the model is added if no base span
 overlaps it. A null text is empty and has no span. Each row is judged alone: repeated rows repeat their result.
 """
@@ -368,23 +370,53 @@ def train(rounds: int = 25, rate: float = 0.5, ridge: float = 0.02) -> dict[str,
 # --- texts -----------------------------------------------------------------------------------------------------------
 
 
-def find(text: str, weights: dict[str, float]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans by start, then kind."""
-    base = base_spans(text)
-    reach, stretches = LONGEST_CHARS + 40, []
+def _kind(c: str) -> int:
+    """Which characters make one token together: 0 digits, 1 letters; 2 for those that are tokens of their own."""
+    return 0 if "0" <= c <= "9" else 1 if c.isalnum() and not c.isdecimal() else 2
+
+
+def _back(text: str, at: int, more: int) -> int:
+    """The start of the token that ``at`` lies in, and of ``more`` tokens before it."""
+    for n in range(more + 1):
+        if n:
+            while at > 0 and text[at - 1].isspace():
+                at -= 1
+            at = max(0, at - 1)
+        while 0 < at < len(text) and _kind(text[at - 1]) == _kind(text[at]) != 2:
+            at -= 1
+    return at
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """The parts of a text round its marks, from and to borders of tokens, with the tokens that features look at.
+
+    A run of letters or digits, however long, is walked a fixed number of times, so this is linear without any white space.
+    """
+    reach, near = LONGEST_CHARS + 40, []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if stretches and a <= stretches[-1][1]:
-            stretches[-1][1] = b
+        if near and a <= near[-1][1]:
+            near[-1][1] = b
         else:
-            stretches.append([a, b])
-    more = []
-    for a, b in stretches:
-        # Whole tokens only: a stretch starts and ends at white space, or where the text does.
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
+            near.append([a, b])
+    out = []
+    for a, b in near:
+        if out and a <= out[-1][1]:
+            a = out.pop()[0]
+        else:
+            a = _back(text, a, 4)
+            if out and a <= out[-1][1]:
+                a = out.pop()[0]
+        while b < len(text) and _kind(text[b - 1]) == _kind(text[b]) != 2:
             b += 1
+        out.append((a, b))
+    return out
+
+
+def find(text: str, weights: dict[str, float]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and all spans by start, then kind."""
+    base, more = base_spans(text), []
+    for a, b in stretches(text):
         more += best(text, tokens(text, a, b), weights)
     if more:
         free, at = [], 0

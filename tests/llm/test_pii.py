@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from lodestar.llm import pii
 
@@ -74,6 +75,60 @@ def test_local_search_equals_search_over_the_whole_text():
         assert pii.find(text, weights)[1] == sorted(base + whole, key=lambda s: (s[0], s[2]))
 
 
+def test_texts_without_spaces(spark):
+    """As above, in texts of long words, other scripts and marks; and in time that grows no faster than the text."""
+    weights, r = pii.train(), random.Random(4)
+    pieces = ["字" * 30, "漢字、", "ab", "x" * 130, "12", "3", "-", "@", ".", "(at)", "[dot]", "+1", "٣", "_", " ", "mail", "4111111111111111", "415-555-1234", "card"]
+    for _ in range(400):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(1, 25)))
+        base = pii.base_spans(text)
+        whole = [s for s in pii.best(text, pii.tokens(text, 0, len(text)), weights) if not any(a < s[1] and s[0] < b for a, b, _ in base)]
+        assert pii.find(text, weights)[1] == sorted(base + whole, key=lambda s: (s[0], s[2])), text
+        ends = [x for a, b in pii.stretches(text) for x in (a, b)]
+        assert ends == sorted(set(ends))  # no two of them meet
+    took = []
+    for n in (1000, 4000):
+        text = ("字" * 39 + "1") * n
+        start = time.process_time()
+        pii.find(text, weights)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.2
+
+
+def segmentations(n, by_end, j):
+    """Every way to cut the first j tokens into candidates and single tokens."""
+    if j == 0:
+        yield []
+    for i, kind, features in by_end[j]:
+        for rest in segmentations(n, by_end, i):
+            yield [*rest, (i, j, kind, features)]
+
+
+def test_best_of_all_segmentations():
+    """Dynamic programming finds the greatest score there is, by enumeration of all segmentations."""
+    r, texts = random.Random(12), ["4111 1111 1111 1111", "a (at) b.c", "1.2.3.4 5", "x +1 415 555 1234", "card 4111111111111111 12"]
+    texts += ["".join(r.choice(["1.2", "34", " ", "-", "a", "@b.c", "+4", "5555555"]) for _ in range(5)) for _ in range(150)]
+    for text in texts:
+        weights = dict(pii.train()) if r.random() < 0.5 else {f: r.uniform(-2, 2) for f in pii.train()}
+        toks = pii.tokens(text, 0, len(text))
+        by_end = pii._lattice(text, toks)
+
+        def score(cut):
+            kinds = [pii.OUT, *(k for _, _, k, _ in cut)]
+            return sum(pii._score(weights, f) + weights.get(pii._move(a, k), 0.0) for a, (_, _, k, f) in zip(kinds, cut))
+
+        if len(toks) > 12:
+            continue
+        every = list(segmentations(len(toks), by_end, len(toks)))
+        top = max(map(score, every))
+        got = {(a, b, k) for a, b, k in pii.best(text, toks, weights)}
+        same = [c for c in every if {(toks[i][0], toks[j - 1][1], k) for i, j, k, _ in c if k != pii.OUT} == got]
+        if all(k == pii.OUT for ends in by_end for _, k, _ in ends):
+            assert not got
+        else:
+            assert same and max(map(score, same)) >= top - 1e-9, text
+
+
 def test_every_row(docs, rows, empty, clashing, spark):
     extra = spark.createDataFrame([(500, "mail a.b@c.org or 10.0.0.1, card 4111-1111-1111-1111, tel +1 (555) 123-4567", "en", "s", 0)], docs.schema)
     got = {r.doc_id: r for r in pii.scan(docs.unionByName(extra)).collect()}
