@@ -106,10 +106,10 @@ FROM texts LEFT JOIN by_text USING (row)
 
 
 def quality_sql(rules: quality.Rules = quality.Rules()) -> str:
-    """``op10_quality``: windows by position, lines in order."""
-    word = "[^\\x20\\x09-\\x0D]+"
-    menu = ", ".join(_text(w.decode()) for w in quality.MENU_WORDS)
-    phrases = " OR ".join(f"contains(lower_line, {_text(p.decode())})" for p in quality.BOILERPLATE)
+    """``op10_quality``: windows by position, lines in order; long lines by all their windows."""
+    word, width = "[^\\x20\\x09-\\x0D]+", rules.line_distinct_window
+    menu = ", ".join(_text(w.decode()) for w in rules.menu_words)
+    phrases = " OR ".join(f"contains(lower_line, {_text(p.decode())})" for p in rules.boilerplate)
     return f"""
 WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
 windows AS (SELECT row, unnest(range(1, len(w) - 3)) AS pos, w FROM texts WHERE len(w) > 4),
@@ -123,6 +123,7 @@ lines AS (
 measured AS (
   SELECT *, len(lw) AS n, CAST(coalesce(list_sum(list_transform(lw, lambda x: length(x))), 0) AS BIGINT) AS chars,
     len(regexp_extract_all(line, '[#*$%&|<>]')) AS marks, len(regexp_extract_all(line, '[!?]{{2,}}')) AS stacked,
+    list_append(range(0, greatest(len(lw) - {width}, 0), {width}), greatest(len(lw) - {width}, 0)) AS starts,
     len(regexp_extract_all(line, '[|»]')) + len(list_filter(lw, lambda x: x = '<' OR x = '>')) AS bars
   FROM lines WHERE len(lw) > 0
 ),
@@ -133,7 +134,8 @@ judged AS (
     OR (n > 1 AND 100 * bars > {rules.line_separators} * n)
     OR (n <= {rules.boilerplate_words} AND len(list_filter(regexp_extract_all(lower_line, '{word}'), lambda x: trim(x, '.,:;!?>') NOT IN ({menu}))) = 0)
     OR (n <= {rules.boilerplate_words} AND ({phrases}))
-    OR (n >= {rules.line_distinct_words} AND 100 * len(list_distinct(lw)) < {rules.line_distinct} * n) AS fails
+    OR (n >= {rules.line_distinct_words} AND 100 * len(list_distinct(lw)) < {rules.line_distinct} * n AND (n <= {width}
+      OR 100 * list_sum(list_transform(starts, lambda i: len(list_distinct(lw[i + 1 : i + {width}])))) < {rules.line_distinct} * {width} * len(starts))) AS fails
   FROM measured
 ),
 by_text AS (SELECT row, sum(CASE WHEN seen THEN 1 ELSE 0 END) AS dup, sum(CASE WHEN fails THEN chars ELSE 0 END) AS lost FROM judged GROUP BY row),

@@ -2,7 +2,7 @@
 
 A text (null: empty) is cut at ``\\n``. Each line with a word is held against three families of rules, in this order:
 
-* punctuation: many symbol characters, many stacked marks such as ``!!``, or capitals throughout with such marks;
+* punctuation: many symbol characters, or many stacked marks such as ``!!``;
 * navigation: many separators such as ``|`` between few words, or only menu words;
 * boilerplate: a legal or subscription phrase in a short line, the same line seen before in the text, or few different
   words in many. The share of different words falls with length in any text, so a longer line is judged by windows of
@@ -30,15 +30,22 @@ _SPACES = b" \t\n\v\f\r"
 _INNER_BYTES = bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
 
-# Menu words and boilerplate phrases, in lower case.
-MENU_WORDS = (
-    b"about", b"archive", b"back", b"blog", b"categories", b"contact", b"faq", b"help", b"home", b"login", b"logout",
-    b"menu", b"more", b"next", b"previous", b"register", b"search", b"share", b"sitemap", b"top",
-)
-BOILERPLATE = (
-    b"accept cookies", b"all rights reserved", b"click here", b"cookie policy", b"enable javascript",
-    b"privacy policy", b"read more", b"sign up for", b"subscribe to", b"terms of service", b"terms of use",
-)
+# Menu words and boilerplate phrases of English, German, French and Spanish, with A-Z in lower case.
+MENU_WORDS = tuple(w.encode() for w in (
+    "about", "archive", "back", "blog", "categories", "contact", "faq", "help", "home", "login", "logout", "menu", "more",
+    "next", "previous", "register", "search", "share", "sitemap", "top",
+    "abmelden", "anmelden", "hilfe", "impressum", "kontakt", "mehr", "nach", "oben", "startseite", "suche", "teilen",
+    "weiter", "zurück",
+    "accueil", "aide", "connexion", "haut", "partager", "plan", "précédent", "recherche", "retour", "suivant",
+    "anterior", "arriba", "ayuda", "buscar", "compartir", "contacto", "inicio", "siguiente", "volver",
+))
+BOILERPLATE = tuple(w.encode() for w in (
+    "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "privacy policy",
+    "read more", "sign up for", "subscribe to", "terms of service", "terms of use",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "hier klicken", "newsletter abonnieren",
+    "accepter les cookies", "cliquez ici", "conditions générales", "lire la suite", "politique de confidentialité", "tous droits réservés",
+    "aceptar cookies", "haga clic aquí", "leer más", "política de privacidad", "términos de uso", "todos los derechos reservados",
+))
 
 _STACKED = re.compile(rb"[!?]{2,}")
 _GUILLEMET = "\u00bb".encode()
@@ -46,7 +53,8 @@ _GUILLEMET = "\u00bb".encode()
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds, in numbers of words and in percent: of the words' characters (lost, symbols) or of the words."""
+    """Thresholds, in numbers of words and in percent: of the words' characters (lost, symbols) or of the words; and the words
+    and phrases (UTF-8, with A-Z in lower case) that tell menus and boilerplate."""
 
     min_words: int = 10
     max_repeat: int = 20
@@ -58,6 +66,8 @@ class Rules:
     line_distinct_words: int = 10
     line_distinct_window: int = 500
     boilerplate_words: int = 12
+    menu_words: tuple[bytes, ...] = MENU_WORDS
+    boilerplate: tuple[bytes, ...] = BOILERPLATE
 
 
 def code_points(text: bytes) -> int:
@@ -132,9 +142,9 @@ def line_fails(line: bytes, words: list[bytes], rules: Rules) -> str:
         return "navigation"
     if n <= rules.boilerplate_words:
         lower = line.lower()
-        if all(w.strip(b".,:;!?>") in MENU_WORDS for w in lower.split()):
+        if all(w.strip(b".,:;!?>") in rules.menu_words for w in lower.split()):
             return "navigation"
-        if any(x in lower for x in BOILERPLATE):
+        if any(x in lower for x in rules.boilerplate):
             return "boilerplate"
     if n >= rules.line_distinct_words and few_different(words, rules):
         return "boilerplate"
