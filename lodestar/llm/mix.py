@@ -8,15 +8,18 @@ Each source's rows fall into blocks by a hash of id and text. A source is drawn
 a permuted order, then as many whole blocks of one more permutation as its target still holds. What is missing then is
 taken by rows from the next ``POOL`` blocks: in hashed order as long as they fit, then ``FILLS`` times the largest that still
 fit. So no row is taken more than ``cap`` times, and a source stays below its target by less than its smallest rows there.
+Only hashes and sizes of these blocks' rows are sorted, one task for a source: ``POOL`` of at most ``_FINE`` blocks. Rows with
+equal id and text are taken there together or not at all.
 
 The tree then deals the drawn blocks out: the shards are halved again and again, and the left half's share of every
 source's quota is drawn from the multivariate hypergeometric distribution, so that shards are even and quotas exact. Each
 shard takes the next run of each source's permuted blocks, and its rows in the order of a second hash.
 
 The driver holds one row for each source and each block: about ``4 * shards + sources`` in number, where the shards follow
-the input up to ``most_shards``. A source with a third of all rows has a third of the blocks. All draws come from
-``seed``, so reruns agree. Equal rows may stand in for one another. A table without words gives no taken words; null ids and
-texts are rows like others; other columns are kept and never read.
+the input up to ``most_shards``; beyond that, shards grow (at 10^13 words, about 10^8 words each, which their sort spills). A
+source with a third of all rows has a third of the blocks. All draws come from ``seed``, so reruns agree. A table without
+words gives no taken words; null ids and texts are rows like others; other columns, whatever their names, are kept
+and never read.
 """
 
 from __future__ import annotations
@@ -33,9 +36,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 POOL, FILLS = 16, 4
 WORD = r"[^\x20\x09-\x0D]+"
 _FINE = 1 << 16
-_SIZE, _HASH, _KEY, _FINE_COL, _BLOCK, _PLACES = (f"__mix_{n}" for n in ("size", "hash", "key", "fine", "block", "places"))
-
-
+#: Rows that cut blocks give, up to which they are broadcast: 16 bytes each.
+BROADCAST_ROWS = 1 << 18
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -114,12 +116,17 @@ def key_of(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
-def sized(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    return (
-        df.withColumn(_SIZE, word_count(F.col(text_col)))
-        .withColumn(_HASH, F.xxhash64(F.col(id_col), F.col(text_col)))
-        .withColumn(_KEY, key_of(F.col(source_col)))
-        .withColumn(_FINE_COL, F.pmod(F.col(_HASH), F.lit(_FINE)).cast("int"))
+def sized(df: DataFrame, id_col: str, source_col: str, text_col: str, name: str) -> DataFrame:
+    """``df`` with a struct called ``name``: a row's size, hash, source and fine block."""
+    hashed = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    return df.withColumn(
+        name,
+        F.struct(
+            word_count(F.col(f"`{text_col}`")).alias("size"),
+            hashed.alias("hash"),
+            key_of(F.col(f"`{source_col}`")).alias("key"),
+            F.pmod(hashed, F.lit(_FINE)).cast("int").alias("fine"),
+        ),
     )
 
 
@@ -128,14 +135,14 @@ class Plan:
     sources: list[Source]
     shards: int
     table: DataFrame  #: a row for each source and block: the shards that take it, and what holds for its cut part
-    named: DataFrame  #: a row for each source: its number of blocks, size and target
+    named: DataFrame  #: a row for each source: its number of blocks, size and target; both are bounded and broadcast
 
 
 def plan(rows: DataFrame, weights=WEIGHTS, cap: float = 3.0, seed: int = 7, shard_words: int = 1 << 21, most_shards: int = 1 << 16) -> Plan:
-    """How much of which block goes where, from rows of ``sized``."""
+    """How much of which block goes where, from (size, key, fine) of all rows."""
     spark = rows.sparkSession
-    fine = common.cut(rows.groupBy(_KEY, _FINE_COL).agg(F.sum(_SIZE).alias("words")))
-    found = fine.groupBy(_KEY).agg(F.sum("words").alias("words")).collect()  # a row for each source
+    fine = common.cut(rows.groupBy("key", "fine").agg(F.sum("size").alias("words")))
+    found = fine.groupBy("key").agg(F.sum("words").alias("words")).collect()  # a row for each source
     sources = sorted((Source(None if r[0] == "null" else r[0][1:], int(r[1] or 0)) for r in found), key=lambda s: (s.name is None, s.name or ""))
     by_weight = [float(weights[i % len(weights)]) for i in range(len(sources))]
     for s, t in zip(sources, targets([s.size for s in sources], by_weight, cap)):
@@ -145,10 +152,10 @@ def plan(rows: DataFrame, weights=WEIGHTS, cap: float = 3.0, seed: int = 7, shar
     for s in sources:
         s.blocks = min(_FINE, max(1, round(4 * max(shards, 256) * s.size / max(total, 1))))
     keys = ["null" if s.name is None else "=" + s.name for s in sources]
-    named = spark.createDataFrame([(k, s.blocks, s.size, float(s.target)) for k, s in zip(keys, sources)], f"{_KEY} string, __blocks int, __source_size long, __target double")
+    named = spark.createDataFrame([(k, s.blocks, s.size, float(s.target)) for k, s in zip(keys, sources)], "key string, blocks int, source_size long, target double")
     blocks = (
-        fine.join(F.broadcast(named), _KEY)
-        .groupBy(_KEY, (F.col(_FINE_COL) % F.col("__blocks")).alias("block"))
+        fine.join(F.broadcast(named), "key")
+        .groupBy("key", (F.col("fine") % F.col("blocks")).alias("block"))
         .agg(F.sum("words").alias("words"))
         .collect()  # a row for each block, whose number is bounded
     )
@@ -170,52 +177,78 @@ def plan(rows: DataFrame, weights=WEIGHTS, cap: float = 3.0, seed: int = 7, shar
             for block in s.words:
                 cut_here = block in s.pool
                 table.append((keys[i], block, places[block], s.rest_words if cut_here else None, last if cut_here else None))
-    return Plan(sources, shards, spark.createDataFrame(table, f"{_KEY} string, {_BLOCK} int, __shards array<int>, __rest double, __rest_shard int"), named)
-
-
-def placed(rows: DataFrame, made: Plan) -> DataFrame:
-    """``rows`` of ``sized`` with ``__mix_places``: the shards that take the row, one entry for each time."""
-    here = (
-        rows.join(F.broadcast(made.named), _KEY, "left")
-        .withColumn(_BLOCK, F.col(_FINE_COL) % F.col("__blocks"))
-        .join(F.broadcast(made.table), [_KEY, _BLOCK], "left")
-    )
-    whole = here.where(F.col("__rest").isNull()).withColumn(_PLACES, F.coalesce("__shards", F.array().cast("array<int>")))
-    part = here.where(F.col("__rest").isNotNull()).withColumn("__taken", F.lit(False))
-    everything, size = Window.partitionBy(_KEY), F.col(_SIZE)
-    by_hash = [F.xxhash64(F.lit(1), _HASH), F.col(_HASH), size]
-    for order in (by_hash, *[[size.desc(), *by_hash]] * FILLS):
+    common.release(fine)
+    return Plan(sources, shards, spark.createDataFrame(table, "key string, block int, shards array<int>, rest double, rest_shard int"), named)
+
+
+def chosen(rows: DataFrame, made: Plan) -> DataFrame:
+    """(key, block, hash) of the rows that cut blocks give, from (size, hash, key, fine) of all rows."""
+    cut = rows.join(F.broadcast(made.named.select("key", "blocks")), "key").withColumn("block", F.col("fine") % F.col("blocks"))
+    cut = cut.join(F.broadcast(made.table.where("rest IS NOT NULL").select("key", "block", "rest")), ["key", "block"])
+    part = cut.groupBy("key", "block", "hash", "rest").agg(F.sum("size").alias("size")).withColumn("taken", F.lit(False))
+    everything = Window.partitionBy("key")
+    by_hash = [F.xxhash64(F.lit(1), "hash"), F.col("hash")]
+    for order in (by_hash, *[[F.col("size").desc(), *by_hash]] * FILLS):
         running = everything.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        part = part.withColumn("__gap", F.col("__rest") - F.coalesce(F.sum(F.when(F.col("__taken"), size)).over(everything), F.lit(0)))
-        part = part.withColumn("__fits", ~F.col("__taken") & (size <= F.col("__gap")))
-        part = part.withColumn("__taken", F.col("__taken") | (F.col("__fits") & (F.sum(F.when(F.col("__fits"), size)).over(running) <= F.col("__gap"))))
-    part = part.withColumn(_PLACES, F.when(F.col("__taken"), F.concat("__shards", F.array("__rest_shard"))).otherwise(F.col("__shards")))
-    return whole.unionByName(part.drop("__taken", "__gap", "__fits"))
+        part = part.withColumn("gap", F.col("rest") - F.coalesce(F.sum(F.when(F.col("taken"), F.col("size"))).over(everything), F.lit(0)))
+        part = part.withColumn("fits", ~F.col("taken") & (F.col("size") <= F.col("gap")))
+        part = part.withColumn("taken", F.col("taken") | (F.col("fits") & (F.sum(F.when(F.col("fits"), F.col("size"))).over(running) <= F.col("gap"))))
+    return part.where("taken").select("key", "block", "hash")
+
+
+def placed(rows: DataFrame, name: str, own: DataFrame, **how) -> tuple[DataFrame, Plan]:
+    """``rows`` of ``sized``, in the struct ``name`` also source_size, target and places: the shards that take the row, one entry
+    for each time. ``own`` is a table of the structs alone.
+
+    What cut blocks give is broadcast if it is ``BROADCAST_ROWS`` at most; else only the rows of cut blocks are joined with it.
+    """
+    made = plan(own.select("size", "key", "fine"), **how)
+    taken = common.cut(chosen(own, made))
+    known, given, few = common.fresh(rows, "known", "given", "few")
+    of_source = made.named.select(F.col("key").alias(f"{known}_key"), F.struct("blocks", "source_size", "target").alias(known))
+    here = rows.join(F.broadcast(of_source), F.col(f"`{name}`.key") == F.col(f"{known}_key"), "left")
+    block = (F.col(f"`{name}`.fine") % F.col(f"{known}.blocks")) == F.col(f"{given}.block")
+    here = here.join(F.broadcast(made.table.select(F.struct("key", "block", "shards", "rest", "rest_shard").alias(given))), (F.col(f"`{name}`.key") == F.col(f"{given}.key")) & block, "left")
+    side = taken.select(F.col("hash").alias(f"{few}_hash"), F.col("key").alias(few))
+    cut, same = F.col(f"{given}.rest").isNotNull(), (F.col(f"`{name}`.hash") == F.col(f"{few}_hash")) & (F.col(f"`{name}`.key") == F.col(few))
+    if taken.count() <= BROADCAST_ROWS:
+        here = here.join(F.broadcast(side), cut & same, "left")
+    else:
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema.fields]
+        here = here.where(cut).join(side, same, "left").unionByName(here.where(~cut).select("*", *none))
+    places = F.coalesce(F.col(f"{given}.shards"), F.array().cast("array<int>"))
+    places = F.when(F.col(few).isNotNull(), F.concat(places, F.array(f"{given}.rest_shard"))).otherwise(places)
+    out = here.withColumn(name, F.struct(F.col(f"`{name}`.*"), F.col(f"{known}.source_size"), F.col(f"{known}.target"), places.alias("places")))
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns]), made
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it, one partition for each shard, in its shuffled order."""
-    rows = sized(df, id_col, source_col, text_col)
-    made = plan(rows, **how)
-    out = placed(rows, made).select(*[F.col(f"`{c}`") for c in df.columns], _HASH, F.posexplode(_PLACES).alias("__copy", "__shard"))
+    name, copy, shard = common.fresh(df, "own", "copy", "shard")
+    rows = sized(df, id_col, source_col, text_col, name)
+    own = common.cut(rows.select(f"`{name}`.*"))
+    rows, made = placed(rows, name, own, **how)
+    common.release(own)
+    out = rows.select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"{name}.hash").alias(name), F.posexplode(f"{name}.places").alias(copy, shard))
     return (
-        out.repartitionById(made.shards, F.col("__shard"))
-        .sortWithinPartitions(F.xxhash64(F.lit(2), _HASH, F.col("__copy")))
+        out.repartitionById(made.shards, F.col(shard))
+        .sortWithinPartitions(F.xxhash64(F.lit(2), name, F.col(copy)))
         .select(*[F.col(f"`{c}`") for c in df.columns])
     )
 
 
 def shares(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """For each row: its size, its source's size and target, how many words the mix takes, and into which shards."""
-    rows = common.cut(sized(df.select(id_col, source_col, text_col), id_col, source_col, text_col).drop(text_col))
-    out = placed(rows, plan(rows, **how))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
+    rows = common.cut(sized(rows, "id", "source", "text", "own").select("id", "own"))
+    out, _ = placed(rows, "own", rows.select("own.*"), **how)
     return out.select(
-        id_col,
-        F.col(_SIZE).alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col(_SIZE) * F.size(_PLACES)).alias("taken"),
-        F.col(_PLACES).alias("shards"),
+        F.col("id").alias(id_col),
+        "own.size",
+        "own.source_size",
+        "own.target",
+        (F.col("own.size") * F.size("own.places")).alias("taken"),
+        F.col("own.places").alias("shards"),
     )
 
 
