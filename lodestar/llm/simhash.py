@@ -15,18 +15,21 @@ obeys the triangle inequality. Of two linked fingerprints, at least one part dif
   all fingerprints into shards. Every fingerprint lives in one shard of each tree and visits those that its ball overlaps.
   Inside a shard, the same kind of tree is grown over all that live there, down to leaves that are compared in full.
 
-With one word, four bits and three windows (the default), t is 1 and no link is lost. Near copies with a shingle
-similarity of 0.8 differ in about 15% of the bits, which no tree over 64 bits can search. For these, ``similar``
-takes four words and 53 bits, and keeps t at 1 in sixteen parts of 16 bits: a pair at a similarity of 0.8 agrees so far in
-some part with a probability of 0.99. These links are candidates only: of each, the sets of shingles are compared, and
-those under 80 percent go before components are made. There a point is a fingerprint with a digest of its set, so
-texts that share a fingerprint alone are compared too.
-
-Pairs are compared over all bits, so links are exact: the sample only decides where cuts lie. Shards
-with more than four times ``shard`` fingerprints (a large group of near copies) are dealt over several tasks by a salt; those that
-visit go to each. No pairs leave a shard: it returns a spanning forest of its links, at most one row for each
+With one word, four bits and three windows (the default), t is 1 and no link is lost. Two windows would do with t = 2, but a
+tree prunes much worse then: among 6,000 shards, a fingerprint visits 2 x 75 of them instead of 3 x 17.
+
+Near copies with a shingle similarity of 0.8 differ in about 15% of the bits, which no tree over 64 bits can search. For
+these, ``similar`` takes ``WORDS`` words and up to ``NEAR`` bits, and keeps t at 1 in parts of 16 bits. These links are
+candidates only: of each, the sets of shingles are compared, and those under 80 percent go before components are made.
+There a point is a fingerprint with a digest of its set, so texts that share a fingerprint alone are compared too.
+
+Pairs are compared over all bits, so links are exact: the sample only decides where cuts lie. A shard with more than
+four times ``shard`` fingerprints (a large group of near copies that agree in a part) is dealt over a grid: those that live
+there by rows, those that look for partners by columns, so that no task holds more than a few times ``shard`` of them, and
+every pair meets in one cell. No pairs leave a shard: it returns a spanning forest of its links, at most one row for each
 fingerprint in it (where links are compared further, in each leaf, so that a candidate that fails hides no other leaf's).
-Each row is a link, from a fingerprint's tree to the nearest in a tree of lower ones. Components come from these by repeated star contraction in DataFrames.
+Each row is a link, from a fingerprint's tree to the nearest in a tree of lower ones. Components come from these by
+repeated star contraction in DataFrames.
 
 Only distinct fingerprints are searched, so a group of any number of exact copies is one of them. A repeated row gets
 the same result each time; a null id counts as a document whose id is unknown and is never a component's id unless all
@@ -46,6 +49,13 @@ from pyspark.sql import types as T
 from . import common
 from .components import connected, salted
 
+#: Words and bits of the fingerprints by which candidates for a shingle similarity of 0.8 are found.
+WORDS, NEAR = 6, 85
+#: Bits of the filter of texts whose shingles are wanted, at most: 64 MB.
+FILTER_BITS = 1 << 29
+#: Rows of one key that are dealt to one place of a join, at least; and such keys, at most, which are broadcast.
+HEAVY_ROWS, HEAVY_KEYS = 1 << 13, 1 << 14
+
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -267,15 +277,15 @@ def _compare(points, homes, seekers, part: Part, radius: int, words: int, parent
     return parent
 
 
-def forest(points: np.ndarray, home: np.ndarray, part: Part, radius: int, words: int | None = None, leaf: int = 192) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between those that live in a shard and all that are in it, as positions.
+def forest(points: np.ndarray, home: np.ndarray, part: Part, radius: int, words: int | None = None, leaf: int = 192, seek: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between those that live in a shard and those that seek in it (all), as positions.
 
     If points have more than ``words`` words, a digest follows their fingerprints, and each leaf has a forest of its own.
     """
     everyone = np.arange(len(points))
     parent, words = everyone.copy(), words or points.shape[1]
     out = [(everyone[:0], everyone[:0])]
-    stack = [(everyone[home], everyone)]
+    stack = [(everyone[home], everyone if seek is None else everyone[seek])]
     while stack:
         homes, seekers = stack.pop()
         if not len(homes) or not len(seekers):
@@ -336,55 +346,71 @@ def links(points: DataFrame, radius: int = 4, words: int = 1, windows: int = 3,
     salts = size.select("tree", "shard", F.ceil(F.col("lives") / F.lit(4 * shard)).cast("int").alias("salts")).where("salts > 1").collect()
     # One row for each crowded shard of trees whose size the sample bounds.
     crowded = spark.createDataFrame([tuple(r) for r in salts], "tree int, shard int, salts int")
-    dealt = (
-        seen.join(F.broadcast(crowded), ["tree", "shard"], "left")
-        .withColumn("own", F.pmod(F.xxhash64("point"), F.coalesce("salts", F.lit(1))).cast("int"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-        .withColumn("home", F.col("home") & (F.col("own") == F.col("salt")))
-        .select("tree", "shard", "salt", "home", "point")
-    )
+    # Cell (row, column) of a crowded shard's grid holds the homes of one hash class and the seekers of another.
+    n_salts = F.coalesce("salts", F.lit(1))
+    own, every = F.pmod(F.xxhash64("point"), n_salts).cast("int"), F.sequence(F.lit(0), n_salts - 1)
+    as_home = F.when(F.col("home"), F.transform(every, lambda j: F.struct(own.alias("row"), j.alias("column"), F.lit(True).alias("lives"), (j == own).alias("seeks"))))
+    as_seeker = F.transform(F.filter(every, lambda i: ~F.col("home") | (i != own)), lambda i: F.struct(i.alias("row"), own.alias("column"), F.lit(False).alias("lives"), F.lit(True).alias("seeks")))
+    cells = F.when(F.col("home"), F.concat(as_home, as_seeker)).otherwise(as_seeker)
+    dealt = seen.join(F.broadcast(crowded), ["tree", "shard"], "left").select("tree", "shard", "point", F.explode(cells).alias("cell")).select("tree", "shard", "cell.*", "point")
 
     def search(key, group):
-        column, home = group.column("point").combine_chunks(), group.column("home").to_numpy().astype(bool)
+        column = group.column("point").combine_chunks()
+        home, seek = (group.column(c).to_numpy().astype(bool) for c in ("lives", "seeks"))
         points = _points(column, words + marks)
         if marks:  # in one order everywhere, so that the trees choose the same links
             order = np.lexsort(points.T[::-1])
-            points, home, column = points[order], home[order], column.take(pa.array(order))
-        a, b = forest(points, home, parts[key[0].as_py()], radius, words)
+            points, home, seek, column = points[order], home[order], seek[order], column.take(pa.array(order))
+        a, b = forest(points, home, parts[key[0].as_py()], radius, words, seek=seek)
         return pa.table([column.take(pa.array(a)), column.take(pa.array(b))], names=["a", "b"])
 
-    return dealt.groupBy("tree", "shard", "salt").applyInArrow(search, _EDGE)
+    return dealt.groupBy("tree", "shard", "row", "column").applyInArrow(search, _EDGE)
+
+
+def _filter_of(tags: DataFrame) -> np.ndarray:
+    """A bitmap of hashes (column ``tag``), 16 bits for each or ``FILTER_BITS`` in all: made by Spark, bounded on the driver."""
+    bits = 1 << 15
+    wanted = 16 * tags.count()
+    while bits < min(wanted, FILTER_BITS):
+        bits *= 2
+    place = F.pmod(F.col("tag"), F.lit(bits)) + 1
+    chunks = tags.groupBy(F.bitmap_bucket_number(place).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("held")).toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    for chunk, held in zip(chunks.column("chunk").to_pylist(), chunks.column("held").to_pylist()):
+        out[(chunk - 1) * 4096 : chunk * 4096] = np.frombuffer(held, np.uint8)
+    return out
 
 
 def _sets(df: DataFrame, text_col: str, points: DataFrame, width: int, words: int) -> DataFrame:
-    """(point, own): the set of shingles of each of ``points`` (point, tag), one 64-bit hash after the other.
+    """(point, own): the set of shingles of each of ``points`` (point, tag) and of some others, one 64-bit hash after the other.
 
-    The second pass over the texts. The tags of ``points``, eight bytes each, are sent to the workers.
+    The second pass over the texts. A filter of the tags is sent to the workers; it is of bounded size and lets some others pass.
     """
-    tags = np.unique(points.select("tag").toArrow().column(0).to_numpy())
-    sent = df.sparkSession.sparkContext.broadcast(tags)
+    sent = df.sparkSession.sparkContext.broadcast(_filter_of(points.select("tag")))
 
     def run(batches):
-        wanted, seen = sent.value, set()
+        held, seen = sent.value, set()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for at in common.slices(texts):
                 found = []
                 for text in texts.slice(*at).to_pylist():
                     tag = _tag(text)
-                    i = np.searchsorted(wanted, tag)
-                    if i < len(wanted) and wanted[i] == tag and tag not in seen:
+                    place = tag % (8 * len(held))
+                    if held[place >> 3] >> (place & 7) & 1 and tag not in seen:
                         seen.add(tag)
                         point, own = _marked(text, width, words)
                         found.append((point, own.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["point", "own"])
 
-    rows = common.narrowed(df.withColumn("__none", F.lit(0)), "__none", text_col)
+    rows = df.select(F.lit(0).alias(common.ID), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(common.TEXT))
     return common.bounded(rows).mapInArrow(run, "point binary, own binary").groupBy("point").agg(F.first("own").alias("own"))
 
 
-def _with_set(edges: DataFrame, sets: DataFrame, end: str, other: str, most: int = 64) -> DataFrame:
-    """``edges`` with the set of one end; a point of many edges is dealt over one place for each ``most`` of them."""
+def _with_set(edges: DataFrame, sets: DataFrame, end: str, other: str, count: int) -> DataFrame:
+    """``edges`` with the set of one end; a point of many edges is dealt over several places. So few points have so many
+    that they can be broadcast: ``HEAVY_KEYS`` at most."""
+    most = max(64, count // HEAVY_KEYS)
     heavy = F.broadcast(common.cut(edges.groupBy(F.col(end).alias("point")).agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("__salts")).where("__salts > 1")))
     salts = F.coalesce("__salts", F.lit(1))
     left = edges.withColumn("point", F.col(end)).join(heavy, "point", "left").withColumn("__salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("__salts")
@@ -405,7 +431,8 @@ def alike(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    full = _with_set(_with_set(edges, sets, "a", "b"), sets, "b", "a").select("a", "b", "own_a", "own_b")
+    count = edges.count()
+    full = _with_set(_with_set(edges, sets, "a", "b", count), sets, "b", "a", count).select("a", "b", "own_a", "own_b")
     return common.bounded(full).mapInArrow(run, _EDGE)
 
 
@@ -414,39 +441,49 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     With ``percent``, links also need a similarity of their shingles of so many percent.
     """
+    least, copies = F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies")
     if percent is None:
         fps = common.cut(fingerprints(df, id_col, text_col, width, words))
-        points = common.cut(fps.groupBy(F.col("fp").alias("point")).agg(F.min(id_col).alias("least")))
+        points = common.cut(fps.groupBy(F.col("fp").alias("point")).agg(least, copies))
         found = links(points.select("point"), radius, words, **how)
     else:
         fps = common.cut(marked(df, id_col, text_col, width, words))
-        points = common.cut(fps.groupBy(F.col("fp").alias("point")).agg(F.min(id_col).alias("least"), F.min("tag").alias("tag")))
+        points = common.cut(fps.groupBy(F.col("fp").alias("point")).agg(least, copies, F.min("tag").alias("tag")))
         edges = common.cut(links(points.select("point"), radius, words, marks=1, **how).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         ends = edges.select(F.col("a").alias("point")).unionByName(edges.select(F.col("b").alias("point"))).distinct()
         sets = common.cut(_sets(df, text_col, points.select("point", "tag").join(ends, "point", "left_semi"), width, words))
         found = common.cut(alike(edges, sets, percent))
+        common.release(edges, sets)
     roots = connected(found, "a", "b")
     joined = points.join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    of = salted(joined.select("point", "root"), least, "root", "point").select(F.col("point").alias("fp"), "component")
-    return fps.join(of, "fp").select(id_col, F.substring("fp", 1, 8 * words).alias("fp"), "component")
+    smallest = joined.groupBy("root").agg(F.min("least").alias("component"))
+    of = common.cut(salted(joined.select("point", "root", "copies"), smallest, "root", "point").select(F.col("point").alias("fp"), "component", "copies"))
+    # A fingerprint of very many rows is dealt over several places of the join; there are few of those.
+    most = max(HEAVY_ROWS, (of.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]) // HEAVY_KEYS)
+    heavy = F.broadcast(of.where(F.col("copies") > most).select(F.col("fp").alias("heavy"), F.ceil(F.col("copies") / most).cast("int").alias("places")))
+    place = F.pmod(F.xxhash64(id_col), F.coalesce("places", F.lit(1))).cast("int")
+    left = fps.join(heavy, F.col("fp") == F.col("heavy"), "left").withColumn("place", place).select(F.struct(id_col).alias("row"), "fp", "place")
+    right = of.join(heavy, F.col("fp") == F.col("heavy"), "left").select("fp", "component", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1)).alias("place"))
+    return left.join(right, ["fp", "place"]).select(f"row.`{id_col}`", F.substring("fp", 1, 8 * words).alias("fp"), "component")
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``near_duplicates`` by links of five-word shingles with a similarity of 0.8 or more, each of which is compared."""
-    return near_duplicates(df, id_col, text_col, radius=53, width=5, words=4, windows=4, reach=1, percent=80)
+    return near_duplicates(df, id_col, text_col, radius=NEAR, width=5, words=WORDS, windows=4, reach=1, percent=80)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``df`` for each component of ``similar``: that with the smallest id.
+    """One row of ``df`` for each component of ``similar``: that with the smallest id. All columns stay, whatever their names.
 
     A row goes by its id and its text: null ids come last, of equal ids the one with the lowest hash of its text stays, and
     of equal rows the first. So every component keeps one row, whatever its ids.
     """
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
-    chosen = similar(df.select(key.alias("__key"), F.col(text_col).alias("__own")), "__key", "__own").select(F.col("component").alias("__keep")).distinct()
-    kept = df.withColumn("__key", key).join(chosen, F.col("__key") == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates(["__key"]).drop("__key")
+    key, keep = common.fresh(df, "key", "keep")
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    named = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(text).alias("text"))
+    chosen = similar(df.select(named.alias("key"), text.alias("own")), "key", "own").select(F.col("component").alias(keep)).distinct()
+    kept = df.withColumn(key, named).join(chosen, F.col(key) == F.col(keep), "left_semi")
+    return kept.dropDuplicates([key]).drop(key)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

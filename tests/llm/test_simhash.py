@@ -80,6 +80,49 @@ def test_no_link_is_lost_in_any_sharding(spark, shard):
     assert all(roots.get(v, v) == first[c] for v, c in zip(values, classes))
 
 
+def test_cells_of_a_crowded_shard_are_bounded(spark):
+    """Points that agree in a part can't be cut by its tree: a grid deals them, and no cell holds more than a few shares."""
+    r = random.Random(6)
+    values = sorted({r.getrandbits(43) for _ in range(600)})  # equal in the last of three parts
+    df = spark.createDataFrame([(v.to_bytes(8, "big"),) for v in values], "point binary")
+    plan = simhash.links(df, 4, shard=10)
+    roots = {int.from_bytes(x.node, "big"): int.from_bytes(x.root, "big") for x in components.connected(plan, "a", "b").collect()}
+    classes, first = reachable(values, 4), {}
+    for v, c in zip(values, classes):
+        first.setdefault(c, v)
+    assert all(roots.get(v, v) == first[c] for v, c in zip(values, classes))
+
+
+def test_forest_between_homes_and_seekers():
+    """The four cells of a grid of two link what one shard links."""
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    points = np.unique(np.concatenate([centre, centre ^ np.uint64(1), centre ^ np.uint64(6)]))[:, None]
+    part, everyone = simhash.parts_of(1, 3, 1)[0], np.ones(len(points), bool)
+    classes = lambda pairs: reachable_by(len(points), pairs)
+    whole = list(zip(*simhash.forest(points, everyone, part, 4)))
+    own = np.arange(len(points)) % 2
+    cells = [pair for i in (0, 1) for j in (0, 1) for pair in zip(*simhash.forest(points, own == i, part, 4, seek=own == j))]
+    assert classes(whole) == classes(cells)
+
+
+def reachable_by(n, pairs):
+    of = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            of[a] = of[b] = min(of[a], of[b])
+    return of
+
+
+def test_filter_holds_all_tags(spark):
+    r = random.Random(1)
+    tags = [r.getrandbits(64) - 2**63 for _ in range(5000)]
+    held = simhash._filter_of(spark.createDataFrame([(t,) for t in tags], "tag long"))
+    test = lambda t: held[(t % (8 * len(held))) >> 3] >> ((t % (8 * len(held))) & 7) & 1
+    assert all(test(t) for t in tags) and sum(test(r.getrandbits(64) - 2**63) for _ in range(5000)) < 1000
+    assert not simhash._filter_of(spark.createDataFrame([], "tag long")).any()
+
+
 def test_triangle_bounds_prune():
     rng = np.random.default_rng(3)
     points = rng.integers(0, 2**64, (4000, 1), dtype=np.uint64)
@@ -151,6 +194,17 @@ def test_keep_one(spark, docs, rows, empty, clashing):
     two = spark.createDataFrame([(None, prose(1, 60)), (None, prose(2, 60)), (None, prose(2, 60)), (5, prose(1, 60))], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.text) for r in simhash.keep_one(two).collect()) == sorted([(5, prose(1, 60)), (-1, prose(2, 60))])
     assert simhash.keep_one(empty).count() == 0
+    odd = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("own"), *[F.lit(i).alias(n) for i, n in enumerate(("__key", "__keep", "keep", "fp", "a.b"))])
+    out = simhash.keep_one(odd, "key", "own")
+    assert out.columns == odd.columns and out.count() == len(kept)
+
+
+def test_heavy_fingerprints_are_dealt(spark, docs, rows, monkeypatch):
+    """A fingerprint of many rows is joined in several places, with the same result."""
+    more = docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(100)).drop("id"))
+    want = sorted(map(repr, simhash.near_duplicates(more).collect()))
+    monkeypatch.setattr(simhash, "HEAVY_ROWS", 3)
+    assert sorted(map(repr, simhash.near_duplicates(more).collect())) == want and len(want) == len(rows) + 100
 
 
 def test_components_of_long_paths_and_stars(spark):
