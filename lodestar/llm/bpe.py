@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-CACHE = 400_000
+CACHE = 800_000
 FAN = 16
 
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
@@ -82,7 +82,7 @@ class Codec:
         self.words = regex.compile(PATTERN)
         self.letters = regex.compile(r"\p{L}+").fullmatch
         self.odd_space = regex.compile(r"^[\s\x1c-\x1f]|[\s\x1c-\x1f]$| [\s\x1c-\x1f]|[\s\x1c-\x1f] ")
-        self.codes = _Memory(lambda word: array("I", self.merge(word.encode())).tobytes(), 2 * CACHE)
+        self.codes = _Memory(lambda word: array("I", self.merge(word.encode())).tobytes(), CACHE)
         self.chunks = _Memory(lambda chunk: self.codes[" " + chunk] if self.letters(chunk) else self.pattern_words(" " + chunk), CACHE)
 
     def merge(self, word: bytes) -> list[int]:
@@ -144,16 +144,20 @@ class Codec:
 
 
 class _Memory(dict):
-    """Values made on first use; when there are ``most`` of them, it starts anew."""
+    """Values made on first use. Beyond ``most``, what was not asked for since the last time goes: a young generation of
+    half the size becomes the old one, whose values come back when they are asked for."""
 
     def __init__(self, make, most):
-        self.make, self.most = make, most
+        self.make, self.half, self.old = make, max(1, most // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) < 64:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
             self[key] = value
         return value
 
