@@ -3,7 +3,7 @@
 Each round points every node's larger neighbours at its smallest (large star), then its smaller ones (small star). A
 node's smallest neighbour is an aggregate, so the links of a node with very many of them never meet in one task; the
 join that brings it back is salted. Rounds grow with the
-logarithm of the longest path. Each ends in a table in the shared folder.
+logarithm of the longest path. Each ends in a table in the shared folder; the one before goes.
 """
 
 from __future__ import annotations
@@ -54,5 +54,6 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
         inner = now.join(now.select(F.col("a").alias("b")), "b", "left_semi").limit(1)
         if not twice.take(1) and not inner.take(1):
             break
-        now = common.cut(_star(_star(now, True), False))
+        last, now = now, common.cut(_star(_star(now, True), False))
+        common.release(last)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -20,7 +20,8 @@ tree prunes much worse then: among 6,000 shards, a fingerprint visits 2 x 75 of
 
 Near copies with a shingle similarity of 0.8 differ in about 15% of the bits, which no tree over 64 bits can search. For
 these, ``similar`` takes ``WORDS`` words and up to ``NEAR`` bits, and keeps t at 1 in parts of 16 bits. These links are
-candidates only: of each, the sets of shingles are compared, and those under 80 percent go before components are made.
+candidates only: the sets of shingles are compared, and those under 80 percent go before components are made. A candidate
+between two texts that compared links join already needs no comparison.
 There a point is a fingerprint with a digest of its set, so texts that share a fingerprint alone are compared too.
 
 Pairs are compared over all bits, so links are exact: the sample only decides where cuts lie. A shard with more than
@@ -308,11 +309,12 @@ def forest(points: np.ndarray, home: np.ndarray, part: Part, radius: int, words:
 
 
 _VISIT = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("home", T.BooleanType()), T.StructField("point", T.BinaryType())])
-_EDGE = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+_EDGE = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("bits", T.IntegerType())])
 
 
 def links(points: DataFrame, radius: int = 4, words: int = 1, windows: int = 3, reach: int | None = None, sample: int = 65536, shard: int | None = None, marks: int = 0) -> DataFrame:
-    """(a, b): a spanning forest, in parts, of the links between the distinct fingerprints in column ``point``.
+    """(a, b, bits): a spanning forest, in parts, of the links between the distinct fingerprints in column ``point``, and how many
+    bits the two differ in.
 
     ``marks`` words follow a fingerprint's own and have no part in distances.
 
@@ -362,7 +364,8 @@ def links(points: DataFrame, radius: int = 4, words: int = 1, windows: int = 3,
             order = np.lexsort(points.T[::-1])
             points, home, seek, column = points[order], home[order], seek[order], column.take(pa.array(order))
         a, b = forest(points, home, parts[key[0].as_py()], radius, words, seek=seek)
-        return pa.table([column.take(pa.array(a)), column.take(pa.array(b))], names=["a", "b"])
+        bits = np.bitwise_count(points[a, :words] ^ points[b, :words]).sum(1, dtype=np.int32)
+        return pa.table([column.take(pa.array(a)), column.take(pa.array(b)), pa.array(bits, pa.int32())], names=_EDGE.names)
 
     return dealt.groupBy("tree", "shard", "row", "column").applyInArrow(search, _EDGE)
 
@@ -407,11 +410,15 @@ def _sets(df: DataFrame, text_col: str, points: DataFrame, width: int, words: in
     return common.bounded(rows).mapInArrow(run, "point binary, own binary").groupBy("point").agg(F.first("own").alias("own"))
 
 
-def _with_set(edges: DataFrame, sets: DataFrame, end: str, other: str, count: int) -> DataFrame:
-    """``edges`` with the set of one end; a point of many edges is dealt over several places. So few points have so many
-    that they can be broadcast: ``HEAVY_KEYS`` at most."""
+def _heavy(edges: DataFrame, end: str, count: int) -> DataFrame:
+    """(point, __salts): how many places a point of many of the ``count`` edges is dealt over. So few points have so many that they
+    can be broadcast: ``HEAVY_KEYS`` at most."""
     most = max(64, count // HEAVY_KEYS)
-    heavy = F.broadcast(common.cut(edges.groupBy(F.col(end).alias("point")).agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("__salts")).where("__salts > 1")))
+    return F.broadcast(common.cut(edges.groupBy(F.col(end).alias("point")).agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("__salts")).where("__salts > 1")))
+
+
+def _with_set(edges: DataFrame, sets: DataFrame, heavy: DataFrame, end: str, other: str) -> DataFrame:
+    """``edges`` with the set of one end."""
     salts = F.coalesce("__salts", F.lit(1))
     left = edges.withColumn("point", F.col(end)).join(heavy, "point", "left").withColumn("__salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("__salts")
     right = sets.join(heavy, "point", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
@@ -431,9 +438,29 @@ def alike(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    count = edges.count()
-    full = _with_set(_with_set(edges, sets, "a", "b", count), sets, "b", "a", count).select("a", "b", "own_a", "own_b")
-    return common.bounded(full).mapInArrow(run, _EDGE)
+    own, count = edges.select("a", "b"), edges.count()
+    heavy = {end: _heavy(own, end, count) for end in ("a", "b")}
+    full = _with_set(_with_set(own, sets, heavy["a"], "a", "b"), sets, heavy["b"], "b", "a").select("a", "b", "own_a", "own_b")
+    return common.bounded(full).mapInArrow(run, "a binary, b binary")
+
+
+def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of candidate links (a, b, bits), as many that hold ``percent`` as it takes to join all that they join.
+
+    First each point's nearest candidate is compared. What links then join needs no further comparison; all candidates
+    between two components are compared.
+    """
+    both = edges.select(F.col("a").alias("u"), F.struct("bits", F.col("b").alias("v")).alias("near")).unionByName(edges.select(F.col("b").alias("u"), F.struct("bits", F.col("a").alias("v")).alias("near")))
+    nearest = both.groupBy("u").agg(F.min("near").alias("near"))
+    first = common.cut(nearest.select(F.greatest("u", "near.v").alias("a"), F.least("u", "near.v").alias("b")).distinct())
+    held = common.cut(alike(first, sets, percent))
+    roots = connected(held, "a", "b")
+    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    rest = edges.select("a", "b").join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    rest = common.cut(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    out = common.cut(held.unionByName(alike(rest, sets, percent)))
+    common.release(first, held, rest)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, words: int = 1, percent: int | None = None, **how) -> DataFrame:
@@ -449,10 +476,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     else:
         fps = common.cut(marked(df, id_col, text_col, width, words))
         points = common.cut(fps.groupBy(F.col("fp").alias("point")).agg(least, copies, F.min("tag").alias("tag")))
-        edges = common.cut(links(points.select("point"), radius, words, marks=1, **how).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        edges = common.cut(links(points.select("point"), radius, words, marks=1, **how).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "bits").distinct())
         ends = edges.select(F.col("a").alias("point")).unionByName(edges.select(F.col("b").alias("point"))).distinct()
         sets = common.cut(_sets(df, text_col, points.select("point", "tag").join(ends, "point", "left_semi"), width, words))
-        found = common.cut(alike(edges, sets, percent))
+        found = verified(edges, sets, percent)
         common.release(edges, sets)
     roots = connected(found, "a", "b")
     joined = points.join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from lodestar.llm import bpe, common, mix, pii, quality
+from lodestar.llm import bpe, common, mix, pii, quality, simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -45,6 +45,27 @@ def test_near_duplicates_keep_one_of_each(stages):
         assert max(len(own & k) / len(own | k) for k in kept) > 0.5
 
 
+def test_near_copies_of_eight_tenths_go(spark):
+    """Of all pairs with a similarity of 0.8 and more in the cleaned texts, found by brute force, at least 0.99 are linked."""
+    docs = corpus_pipeline.clean(spark, common.table(spark, "/root/testdata/sf0.1", "documents"), "")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    grams, holders = {}, {}
+    for i, t in rows:
+        w = t.lower().split()
+        grams[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    for i in sorted(grams):
+        for g in grams[i]:
+            holders.setdefault(g, []).append(i)
+    pairs = set()
+    for i, own in grams.items():  # a pair at 0.8 shares one of the rarest fifth and one more of either's shingles
+        rare = sorted(own, key=lambda g: (len(holders[g]), g))[: len(own) // 5 + 1]
+        for j in {j for g in rare for j in holders[g] if j < i}:
+            if 10 * len(own & grams[j]) >= 8 * len(own | grams[j]):
+                pairs.add((j, i))
+    got = {r.doc_id: r.component for r in simhash.similar(docs).collect()}
+    assert len(pairs) > 500 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
 def test_pii_is_masked(stages):
     weights = pii.train()
     assert {r.doc_id: r.text for r in stages[3]} == {r.doc_id: pii.masked(r.text, pii.find(r.text, weights)[1]) for r in stages[2]}
