@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-CACHE = 800_000
+CACHE = 500_000
 FAN = 16
 
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
@@ -82,8 +82,10 @@ class Codec:
         self.words = regex.compile(PATTERN)
         self.letters = regex.compile(r"\p{L}+").fullmatch
         self.odd_space = regex.compile(r"^[\s\x1c-\x1f]|[\s\x1c-\x1f]$| [\s\x1c-\x1f]|[\s\x1c-\x1f] ")
-        self.codes = _Memory(lambda word: array("I", self.merge(word.encode())).tobytes(), CACHE)
-        self.chunks = _Memory(lambda chunk: self.codes[" " + chunk] if self.letters(chunk) else self.pattern_words(" " + chunk), CACHE)
+        whole = lambda word: array("I", self.merge(word.encode())).tobytes()
+        self.codes = _Memory(whole, CACHE)
+        # A word of letters alone is remembered here only, others by their parts too.
+        self.chunks = _Memory(lambda chunk: whole(" " + chunk) if self.letters(chunk) else self.pattern_words(" " + chunk), CACHE)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
