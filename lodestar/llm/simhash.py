@@ -51,7 +51,7 @@ from . import common
 from .components import connected, salted
 
 #: Words and bits of the fingerprints by which candidates for a shingle similarity of 0.8 are found.
-WORDS, NEAR = 6, 85
+WORDS, NEAR = 6, 80
 #: Bits of the filter of texts whose shingles are wanted, at most: 64 MB.
 FILTER_BITS = 1 << 29
 #: Rows of one key that are dealt to one place of a join, at least; and such keys, at most, which are broadcast.
@@ -447,12 +447,12 @@ def alike(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): of candidate links (a, b, bits), as many that hold ``percent`` as it takes to join all that they join.
 
-    First each point's nearest candidate is compared. What links then join needs no further comparison; all candidates
-    between two components are compared.
+    First each point's nearest candidate of a lower point and of a higher one are compared. What links then join needs no
+    further comparison; all candidates between two components are compared.
     """
-    both = edges.select(F.col("a").alias("u"), F.struct("bits", F.col("b").alias("v")).alias("near")).unionByName(edges.select(F.col("b").alias("u"), F.struct("bits", F.col("a").alias("v")).alias("near")))
-    nearest = both.groupBy("u").agg(F.min("near").alias("near"))
-    first = common.cut(nearest.select(F.greatest("u", "near.v").alias("a"), F.least("u", "near.v").alias("b")).distinct())
+    near = lambda u, v: edges.groupBy(F.col(u).alias("u")).agg(F.min(F.struct("bits", F.col(v).alias("v"))).alias("near"))
+    first = near("a", "b").unionByName(near("b", "a"))
+    first = common.cut(first.select(F.greatest("u", "near.v").alias("a"), F.least("u", "near.v").alias("b")).distinct())
     held = common.cut(alike(first, sets, percent))
     roots = connected(held, "a", "b")
     root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
