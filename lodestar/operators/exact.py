@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance, vectors
 from . import topk
-from .queries import QueryBlock, blocks
+from .queries import QueryBlock, over_blocks
+
+
+#: Said where fewer rows were found than were asked for.
+TOO_FEW = "fewer than k rows were found for a query; search more widely, or ask for fewer"
 
 
 def _scan(base: DataFrame, block: QueryBlock, k: int, which: distance.Metric, exclude_self: bool) -> DataFrame:
@@ -40,8 +44,8 @@ def _scan(base: DataFrame, block: QueryBlock, k: int, which: distance.Metric, ex
 
 
 def by_block(queries: DataFrame, search: Callable[[QueryBlock], DataFrame]) -> DataFrame:
-    """The union of a search over each block of a query set."""
-    return reduce(DataFrame.unionByName, [search(b) for b in blocks(queries)])
+    """The rows of a search over each block of a query set."""
+    return over_blocks(queries, search)
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "ip", where: Column | str | None = None, exclude_self: bool = False) -> DataFrame:
@@ -88,8 +92,6 @@ def within(base: DataFrame, queries: DataFrame, epsilon: float, metric: str = "l
         held = base.sparkSession.sparkContext.broadcast((block.qids, block.vecs))
 
         def run(batches):
-            import pyarrow as pa
-
             qids, qvecs = held.value
             for batch in batches:
                 ids = batch.column(0).to_numpy()
@@ -110,39 +112,55 @@ def within(base: DataFrame, queries: DataFrame, epsilon: float, metric: str = "l
 
 def nearest_documents(base: DataFrame, queries: DataFrame, documents: int, metric: str = "l2") -> DataFrame:
     """(qid, rank, id, doc_id, dist): the nearest rows of each query, as long as they are of ``documents`` different
-    ``doc_id``, all of a document's rows before the next new one included.
+    ``doc_id``, all of a document's rows before the next new one included. Rows without a document are left out.
 
-    Each partition keeps each document's nearest row, of which the ``documents`` nearest give a bound; only rows up to
-    it are ranked.
+    A first pass keeps each document's nearest row, at most ``documents + 1`` of them by query and partition; the nearest row of
+    one document more than is asked for is the bound. A second pass returns rows below it only: no more rows are ranked
+    than are in the result.
     """
     which = distance.metric(metric)
-    own = base.select(F.col("id").cast("long").alias("id"), "vec", F.col("doc_id").cast("long").alias("doc_id"))
+    own = base.select(F.col("id").cast("long").alias("id"), "vec", F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    schema = "qid long, id long, doc_id long, dist double"
+
+    def rows_of(qids, ids, docs, dist, rows, at) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(ids[rows]), pa.array(docs[rows]), pa.array(dist[rows, at])], names=["qid", "id", "doc_id", "dist"])
 
     def search(block: QueryBlock) -> DataFrame:
-        held = base.sparkSession.sparkContext.broadcast((block.qids, block.vecs))
-        out = "qid long, id long, doc_id long, dist double"
+        context = base.sparkSession.sparkContext
+        held = context.broadcast((block.qids, block.vecs))
 
-        def run(batches):
-            import pandas as pd
+        def distances(batch):
+            return batch.column(0).to_numpy(), batch.column(2).to_numpy(), np.round(which.block(vectors.matrix(batch.column(1)), held.value[1]), topk.DECIMALS) + 0.0
 
-            qids, qvecs = held.value
+        def firsts(batches):
+            qids = held.value[0]
+            best: list[tuple] = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in qids]
             for batch in batches:
-                ids, docs = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                dist = np.round(which.block(vectors.matrix(batch.column(1)), qvecs), topk.DECIMALS) + 0.0
-                import pyarrow as pa
-
-                for j, q in enumerate(qids):
-                    f = pd.DataFrame({"qid": q, "id": ids, "doc_id": docs, "dist": dist[:, j]}).sort_values(["dist", "id"])
-                    new = ~f.doc_id.duplicated()
-                    # Beyond the first row of one more document than is asked for, nothing of this batch can count.
-                    yield pa.RecordBatch.from_pandas(f[new.cumsum() <= documents + 1], preserve_index=False)
+                ids, docs, dist = distances(batch)
+                for j in range(len(qids)):
+                    d, i, c = (np.concatenate(x) for x in zip(best[j], (dist[:, j], ids, docs)))
+                    order = np.lexsort((i, d))
+                    first = order[np.sort(np.unique(c[order], return_index=True)[1])][: documents + 1]
+                    best[j] = (d[first], i[first], c[first])
+            for q, (d, i, c) in zip(qids, best):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), q)), pa.array(i), pa.array(c), pa.array(d)], names=["qid", "id", "doc_id", "dist"])
+
+        nearest = own.mapInArrow(firsts, schema).groupBy("qid", "doc_id").agg(F.min(F.struct("dist", "id")).alias("near"))
+        after = F.row_number().over(Window.partitionBy("qid").orderBy("near"))
+        edges = nearest.withColumn("after", after).where(F.col("after") == documents + 1).select("qid", "near.dist", "near.id").toArrow()  # a row for each query of the block
+        edge_of = {q: (d, i) for q, d, i in zip(*(c.to_pylist() for c in edges.columns))}
+        bound = context.broadcast((np.array([edge_of.get(int(q), (np.inf, 0))[0] for q in block.qids]), np.array([edge_of.get(int(q), (np.inf, 0))[1] for q in block.qids], np.int64)))
+
+        def below(batches):
+            qids, (edge, edge_id) = held.value[0], bound.value
+            for batch in batches:
+                ids, docs, dist = distances(batch)
+                rows, at = np.nonzero((dist < edge) | ((dist == edge) & (ids[:, None] < edge_id[None, :])))
+                yield rows_of(qids, ids, docs, dist, rows, at)
 
-        found = own.mapInArrow(run, out)
-        w = Window.partitionBy("qid").orderBy("dist", "id")
-        first = F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy("dist", "id")) == 1
-        seen = found.withColumn("new", first.cast("int"))
-        ranks = seen.withColumn("docs", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w))
-        return ranks.where(F.col("docs") <= documents).select("qid", "rank", "id", "doc_id", "dist")
+        found = own.mapInArrow(below, schema)
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id"))
+        return found.withColumn("rank", rank).select("qid", "rank", "id", "doc_id", "dist")
 
     return by_block(queries, search)
 
@@ -162,7 +180,7 @@ def items(base: DataFrame, labels: DataFrame, tombstones: DataFrame | None = Non
     own = base if tombstones is None else without(base, tombstones)
     missing = labels.join(own, "id", "left_anti").select("id").take(1)
     if missing:
-        raise KeyError(f"Label not found: {missing[0][0]}")
+        raise KeyError(f"no row has the id {missing[0][0]}")
     return own.join(labels.select("id").distinct(), "id", "left_semi")
 
 
@@ -170,5 +188,5 @@ def exactly_k(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``found``, after a check that every query has k rows."""
     short = queries.select("qid").join(found.groupBy("qid").count(), "qid", "left").where(F.coalesce("count", F.lit(0)) < k).take(1)
     if short:
-        raise RuntimeError("Cannot return the results in a contiguous 2D array. Probably ef or M is too small")
+        raise RuntimeError(TOO_FEW)
     return found

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import distance, vectors
+from ...sources import durable
 from .. import sampling, topk
-from ..queries import QueryBlock, blocks
+from ..queries import QueryBlock, blocks, over_blocks
 from . import kmeans
 
 
@@ -33,7 +33,7 @@ class Params:
 
 @dataclass(frozen=True)
 class Index:
-    """Centroids (on the driver: lists times dimensions) and the rows with their list."""
+    """Centroids (on the driver: lists times dimensions) and the rows with their list, as a table in folders by list."""
 
     centroids: np.ndarray
     rows: DataFrame
@@ -53,7 +53,13 @@ def build(base: DataFrame, params: Params = Params()) -> Index:
     own = params.fitted(base.count())
     sample = sampling.training(base, own.train_size)
     centroids = kmeans.lloyd(sample, own.lists, own.iters, own.init, own.empty)
-    return Index(centroids, kmeans.assign(base, centroids))
+    return Index(centroids, by_lists(kmeans.assign(base, centroids)))
+
+
+def by_lists(rows: DataFrame) -> DataFrame:
+    """Rows with ``list_id``, written in a folder for each list: searches read those that are probed, and nothing is assigned or
+    encoded again. A list is brought together in files of a size that suits the session, a crowded one in several."""
+    return durable(rows.hint("rebalance", F.col("list_id")), ["list_id"])
 
 
 def probe(block: QueryBlock, centroids: np.ndarray, probes: int, metric: str = "l2") -> np.ndarray:
@@ -73,9 +79,12 @@ def probes_table(queries: DataFrame, centroids: np.ndarray, probes: int, metric:
 
 
 def lists_of(block: QueryBlock, probes: DataFrame) -> list[np.ndarray]:
-    """A caller's probes (qid, list_id) by query of a block."""
+    """A caller's probes (qid, list_id) by query of a block; only the block's are read."""
+    import pyarrow as pa
+
     got: dict[int, list[int]] = {}
-    for q, c in probes.select("qid", "list_id").collect():
+    own = probes.sparkSession.createDataFrame(pa.table({"qid": pa.array(block.qids)}))
+    for q, c in probes.select(F.col("qid").cast("long").alias("qid"), "list_id").join(F.broadcast(own), "qid", "left_semi").collect():
         got.setdefault(q, []).append(c)
     return [np.array(sorted(set(got.get(int(q), []))), np.int64) for q in block.qids]
 
@@ -125,4 +134,4 @@ def search(index: Index, queries: DataFrame, k: int, probes: int = 16, metric: s
         lists = lists_of(block, given) if given is not None else list(probe(block, index.centroids, probes))
         return topk.merged(scan_lists(index, block, lists, local_p or k, metric), k)
 
-    return reduce(DataFrame.unionByName, [one(b) for b in blocks(queries)])
+    return over_blocks(queries, one)

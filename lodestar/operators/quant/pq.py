@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...functions import vectors
+from ...sources import durable
 from .. import rerank, sampling, topk
 from ..ivf import kmeans
-from ..queries import QueryBlock, blocks
+from ..queries import QueryBlock, blocks, over_blocks
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,7 @@ class Params:
         parts = self.parts
         if parts < 1 or dimension % parts:
             if strict:
-                raise ValueError("the dimension must be divisible by the number of parts")
+                raise ValueError("parts must cut the dimension evenly")
             parts = 12 if dimension % 12 == 0 else 1
         codes = min(max(2, self.codes), 256)
         return Params(parts, codes, min(max(self.train_size, codes), rows), max(1, self.iters), self.init)
@@ -97,6 +98,9 @@ def code_matrix(column: pa.Array, parts: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
+    """Codebooks (on the driver) and a table of the rows with their codes, written once: a scan of codes reads no vectors, and the
+    exact phase reads vectors without encoding them again."""
+
     codebooks: np.ndarray
     rows: DataFrame
 
@@ -109,7 +113,7 @@ def build(base: DataFrame, params: Params = Params()) -> Index:
     n, d = vectors.dimension(base)
     own = params.fitted(d, n)
     books = train(sampling.training(base, own.train_size), own)
-    return Index(books, encode(base, books))
+    return Index(books, durable(encode(base, books)))
 
 
 def candidates(index: Index, block: QueryBlock, p: int, shard: Column | None = None) -> DataFrame:
@@ -135,7 +139,7 @@ def candidates(index: Index, block: QueryBlock, p: int, shard: Column | None = N
 
 def approximate(index: Index, queries: DataFrame, p: int) -> DataFrame:
     """(qid, rank, id, dist) of the p best rows by codes."""
-    return reduce(DataFrame.unionByName, [topk.merged(candidates(index, b, p), p) for b in blocks(queries)])
+    return over_blocks(queries, lambda b: topk.merged(candidates(index, b, p), p))
 
 
 def search(index: Index, queries: DataFrame, k: int, p: int = 200) -> DataFrame:
@@ -148,15 +152,27 @@ def search_local(index: Index, queries: DataFrame, k: int, p: int, local_p: int,
     """As ``search``, but each of ``shards`` (by id) keeps ``local_p`` approximate candidates (0: p): lossy below p."""
     p = max(p, k)
     keep, shard = local_p or p, F.pmod(F.col("id"), F.lit(shards))
-    parts = [topk.ranked(candidates(index, b, keep, shard), keep, ("shard", "qid")) for b in blocks(queries)]
-    best = topk.merged(reduce(DataFrame.unionByName, parts).select("qid", "id", "dist"), p)
+    best = over_blocks(queries, lambda b: topk.merged(topk.ranked(candidates(index, b, keep, shard), keep, ("shard", "qid")).select("qid", "id", "dist"), p))
     return rerank.exact(best, index.rows, queries, k, expected=queries.count() * p)
 
 
 def phase_counts(index: Index, queries: DataFrame, k: int, p: int) -> DataFrame:
-    """(phase, rows): how many rows each phase of a search handles. Times are Spark's own, in its task metrics."""
-    q, n = queries.count(), index.rows.count()
-    found = approximate(index, queries, max(p, k)).count()
-    spark = queries.sparkSession
-    rows = [("tables", q * index.codebooks.shape[0] * index.codebooks.shape[1]), ("scan", q * n), ("candidates", found), ("output", search(index, queries, k, p).count())]
-    return spark.createDataFrame(rows, "phase string, rows long")
+    """(phase, rows): how many rows each phase of a search handles."""
+    return profile(index, queries, k, p).select("phase", "rows")
+
+
+def profile(index: Index, queries: DataFrame, k: int, p: int) -> DataFrame:
+    """(phase, rows, seconds): what each phase of a search handles and how long it takes, run one after the other: the tables of the
+    queries, the scan of all codes down to the candidates, and the exact ranking of those."""
+    p, n, spark = max(p, k), index.rows.count(), queries.sparkSession
+    start = time.perf_counter()
+    sizes = [tables(b.vecs, index.codebooks).size for b in blocks(queries)]
+    made = time.perf_counter()
+    found = durable(approximate(index, queries, p))
+    candidates_n = found.count()
+    scanned = time.perf_counter()
+    out = rerank.exact(found, index.rows, queries, k, expected=candidates_n).count()
+    done = time.perf_counter()
+    q = queries.count()
+    rows = [("tables", sum(sizes), made - start), ("scan", q * n, scanned - made), ("candidates", candidates_n, scanned - made), ("output", out, done - scanned)]
+    return spark.createDataFrame(rows, "phase string, rows long, seconds double")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import distance, vectors
 from .. import rerank, topk
-from ..queries import QueryBlock, blocks
+from ..queries import QueryBlock, over_blocks
 
 
 def _half_away(x: Column) -> Column:
@@ -73,12 +71,12 @@ def approximate(codes: DataFrame, query_codes: DataFrame, model: DataFrame, p: i
     def score(base, sums, own):
         return -(step * step * (base @ own.T) + step * low * (sums[:, None] + own.sum(1)[None, :]) + base.shape[1] * low * low)
 
-    return reduce(DataFrame.unionByName, [topk.merged(_codes_scan(codes, b, p, score), p) for b in blocks(query_codes)])
+    return over_blocks(query_codes, lambda b: topk.merged(_codes_scan(codes, b, p, score), p))
 
 
 def approximate_signed(codes: DataFrame, query_codes: DataFrame, p: int) -> DataFrame:
     """The p codes of the largest whole-number inner product; ``dist`` is negated."""
-    return reduce(DataFrame.unionByName, [topk.merged(_codes_scan(codes.withColumn("code_sum", F.lit(0)), b, p, lambda base, _, own: -(base @ own.T)), p) for b in blocks(query_codes)])
+    return over_blocks(query_codes, lambda b: topk.merged(_codes_scan(codes.withColumn("code_sum", F.lit(0)), b, p, lambda base, _, own: -(base @ own.T)), p))
 
 
 def _query_codes(queries: DataFrame, model: DataFrame, coder) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from . import sampling, topk
 from .ivf import index as ivf
 from .ivf import kmeans
-from .queries import blocks
+from .queries import QueryBlock, over_blocks
 
 BLOCK, CYCLIC, RANDOM = "block", "cyclic", "random"
 
@@ -45,11 +43,11 @@ def routed_flat(base: DataFrame, queries: DataFrame, k: int, shards: int, route:
     """Exact search within the ``route`` shards whose centres have the largest inner product with the query."""
     rows, centres = kmeans_shards(base, shards, train_size, iters)
     index = ivf.Index(centres, rows.withColumnRenamed("shard", "list_id"))
-    parts = []
-    for b in blocks(queries):
-        lists = list(ivf.probe(b, centres, route, "ip"))
-        parts.append(topk.merged(ivf.scan_lists(index, b, lists, k), k))
-    return reduce(DataFrame.unionByName, parts)
+
+    def one(block: QueryBlock) -> DataFrame:
+        return topk.merged(ivf.scan_lists(index, block, list(ivf.probe(block, centres, route, "ip")), k), k)
+
+    return over_blocks(queries, one)
 
 
 def shard_profile(rows: DataFrame, found: DataFrame | None = None) -> DataFrame:
