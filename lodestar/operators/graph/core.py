@@ -41,6 +41,62 @@ class Params:
         return 2 * self.m if level == 0 else self.m
 
 
+class Condition:
+    """When a search may stop and what it returns, in the hands of the caller. Candidates come as (distance, label), ascending.
+
+    Conditions travel to the tasks that search, so they must be picklable.
+    """
+
+    #: Candidates to begin with, at least.
+    least: int = 1
+
+    def enough(self, near: list[tuple[float, int]]) -> bool:
+        """Whether no farther node can belong to the result."""
+        raise NotImplementedError
+
+    def keep(self, near: list[tuple[float, int]]) -> int:
+        """How many of the candidates are the result."""
+        raise NotImplementedError
+
+
+@dataclass(frozen=True)
+class Within(Condition):
+    """All within ``epsilon``, ``most`` of them at most; the ``least`` nearest even beyond."""
+
+    epsilon: float
+    most: int
+    least: int = 0
+
+    def enough(self, near):
+        return len(near) >= self.most or (bool(near) and near[-1][0] > self.epsilon)
+
+    def keep(self, near):
+        return min(self.most, sum(far <= self.epsilon or n < self.least for n, (far, _) in enumerate(near)))
+
+
+@dataclass(frozen=True)
+class Documents(Condition):
+    """The nearest, as long as they are of ``documents`` different ones; ``doc_of`` has the document of each label."""
+
+    documents: int
+    doc_of: dict[int, int]
+
+    @property
+    def least(self):
+        return self.documents
+
+    def enough(self, near):
+        return len({self.doc_of[label] for _, label in near}) > self.documents
+
+    def keep(self, near):
+        seen: set[int] = set()
+        for n, (_, label) in enumerate(near):
+            if self.doc_of[label] not in seen and len(seen) == self.documents:
+                return n
+            seen.add(self.doc_of[label])
+        return len(near)
+
+
 @dataclass
 class Counts:
     """What a search did: nodes expanded, distances computed, and walks along each link of level 0 if asked for."""
@@ -74,7 +130,7 @@ class Graph:
     def prepared(self, v: np.ndarray) -> np.ndarray:
         v = np.asarray(v, np.float64)
         if v.shape != (self.dim,):
-            raise ValueError("Wrong dimensionality of the vectors")
+            raise ValueError(f"vectors of {self.dim} numbers are expected")
         return distance.unit(v[None])[0] if self.params.metric == "cosine" else v
 
     def _far(self, v: np.ndarray, nodes) -> np.ndarray:
@@ -316,28 +372,23 @@ class Graph:
         found = self._beam(v, [start], max(ef or self.params.ef, k), 0, None if accept.all() else accept, counts)
         return sorted(found, key=lambda f: (f[0], self.labels[f[1]]))[:k]
 
-    def search_within(self, v: np.ndarray, epsilon: float, most: int, least: int = 0, ef: int = 0, allowed=None) -> list[tuple[float, int]]:
-        """Nodes within ``epsilon``: the beam is widened until its farthest node lies beyond, or ``most`` are found."""
-        width = max(ef or self.params.ef, least, 1)
+    def search_until(self, v: np.ndarray, condition: Condition, ef: int = 0, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """What ``condition`` keeps of the nearest nodes: the beam is widened until the condition needs no more, or all are found."""
+        width = max(ef or self.params.ef, condition.least, 1)
         while True:
             found = self.search(v, width, width, allowed)
-            if len(found) < width or found[-1][0] > epsilon or len(found) >= most:
-                return [f for n, f in enumerate(found) if f[0] <= epsilon or n < least][:most]
+            near = [(far, self.labels[i]) for far, i in found]
+            if len(found) < width or condition.enough(near):
+                return found[: condition.keep(near)]
             width *= 2
 
+    def search_within(self, v: np.ndarray, epsilon: float, most: int, least: int = 0, ef: int = 0, allowed=None) -> list[tuple[float, int]]:
+        """Nodes within ``epsilon``, ``most`` of them at most and ``least`` at least."""
+        return self.search_until(v, Within(epsilon, most, least), ef, allowed)
+
     def search_documents(self, v: np.ndarray, documents: int, doc_of: list[int], ef: int = 0) -> list[tuple[float, int]]:
-        """The nearest nodes, as long as they are of ``documents`` different documents."""
-        width = max(ef or self.params.ef, documents)
-        while True:
-            found, seen, out = self.search(v, width, width), set(), []
-            for far, i in found:
-                if doc_of[i] not in seen and len(seen) == documents:
-                    return out
-                seen.add(doc_of[i])
-                out.append((far, i))
-            if len(found) < width:
-                return out
-            width *= 2
+        """The nearest nodes, as long as they are of ``documents`` different documents; ``doc_of`` has that of each node."""
+        return self.search_until(v, Documents(documents, {label: doc_of[i] for i, label in enumerate(self.labels)}), ef)
 
     # --- checks and orders ---
 

@@ -27,7 +27,7 @@ def test_defaults_and_values():
         (["--split", "odd"], "split"),
         (["--hnsw-layout", "x"], "hnsw-layout"),
         (["--gorder-window", "0"], "gorder-window"),
-        (["--hnsw-layout", "rcm"], "only for hnsw"),
+        (["--hnsw-layout", "rcm"], "needs the method hnsw"),
         (["--method", "hnsw", "--hnsw-layout", "porder", "--porder-profile-queries", "0"], "porder-profile"),
         (["--method", "magic"], "method"),
     ],
