@@ -6,7 +6,9 @@ Base: all rows; queries: every row whose id is divisible by 100, against all row
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +19,14 @@ from ..operators import queries as query_sets
 from ..operators.ivf import index as ivf
 from ..operators.ivf import kmeans, pq_index
 from ..operators.quant import opq, pq, sq
+from ..facade import ExactIndex
 from ..session import table
+from ..sources import matrix, scratch
 from . import oracle as o
 
-K, P = 10, 200
+K = 10
+#: Parameters for tables of up to ``SMALL`` rows; the SQL states these.
+SMALL, P = 4096, 200
 LISTS = ivf.Params(lists=8, train_size=128, iters=2)
 CODES = pq.Params(parts=16, codes=32, train_size=128, iters=1)
 PROBES = 6
@@ -28,6 +34,24 @@ PARTS, WIDTH = CODES.parts, 64 // CODES.parts
 EPSILON = 1.4
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """How a registered index is built and searched. Beyond ``SMALL`` rows, lists, samples, codes and candidates follow the rows."""
+
+    lists: ivf.Params = LISTS
+    codes: pq.Params = CODES
+    probes: int = PROBES
+    p: int = P
+
+
+def sizes(base: DataFrame) -> Sizes:
+    n = base.count()
+    if n <= SMALL:
+        return Sizes()
+    lists = int(n**0.5)
+    return Sizes(ivf.Params(lists=lists, iters=6), pq.Params(parts=16, codes=256, iters=6), -(-3 * lists // 4), max(P, n // 40))
+
+
 def _base(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return query_sets.vector_table(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", *more)
 
@@ -102,39 +126,42 @@ def _sq_top(spark, d):
 
 
 def _train_sample(spark, d):
-    return sampling.training_ids(_base(spark, d), LISTS.train_size)
+    base = _base(spark, d)
+    return sampling.training_ids(base, sizes(base).lists.train_size)
 
 
 def _ivf(spark, d):
     base, q = _pair(spark, d)
-    return ivf.build(base, LISTS), q
+    own = sizes(base)
+    return ivf.build(base, own.lists), q, own
 
 
 def _centroids(spark, d):
-    index, _ = _ivf(spark, d)
+    index, _, _ = _ivf(spark, d)
     rows = kmeans.centroid_table(spark, index.centroids)
     return rows.select("list_id", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
 
 
 def _probe(spark, d):
-    index, q = _ivf(spark, d)
-    return ivf.probes_table(q, index.centroids, PROBES)
+    index, q, own = _ivf(spark, d)
+    return ivf.probes_table(q, index.centroids, own.probes)
 
 
-def _ivf_search(probes, given=False):
+def _ivf_search(given=False, everything=False, **how):
     def run(spark, d):
-        index, q = _ivf(spark, d)
+        index, q, own = _ivf(spark, d)
         if given:
             lists = q.select("qid", F.explode(F.array(F.lit(0), F.lit(3))).alias("list_id"))
             return ivf.search(index, q, K, given=lists)
-        return ivf.search(index, q, K, probes)
+        return ivf.search(index, q, K, len(index.centroids) if everything else own.probes, **how)
 
     return run
 
 
 def _pq(spark, d):
     base, q = _pair(spark, d)
-    return pq.build(base, CODES), q
+    own = sizes(base)
+    return pq.build(base, own.codes), q, own
 
 
 def _bytes(code):
@@ -144,21 +171,19 @@ def _bytes(code):
 
 
 def _pq_codes(spark, d):
-    index, _ = _pq(spark, d)
+    index, _, _ = _pq(spark, d)
     return index.rows.select("id", _bytes(F.col("code")).alias("code"))
 
 
 def _lut(whole: bool):
     def run(spark, d):
-        index, q = _pq(spark, d)
+        index, q, _ = _pq(spark, d)
         out = []
         for b in query_sets.blocks(q):
             t = pq.tables(b.vecs, index.codebooks)
             if whole:
                 t = pq.whole_numbers(t)[0]
             n, m, c = t.shape
-            import numpy as np
-
             grid = np.indices((n, m, c)).reshape(3, -1)
             value = t.reshape(-1)
             out.append(pa.table({"qid": b.qids[grid[0]], "m": grid[1].astype("int32"), "c": grid[2].astype("int32"), "value": value.astype("int64") if whole else np.round(value, 6) + 0.0}))
@@ -174,13 +199,14 @@ def _pq_run(what):
 def _ivfpq(local: bool = False, rounds: int = 0):
     def run(spark, d):
         base, q = _pair(spark, d)
-        return (pq_index.build_local if local else pq_index.build_global)(base, LISTS, CODES, rounds), q
+        own = sizes(base)
+        return (pq_index.build_local if local else pq_index.build_global)(base, own.lists, own.codes, rounds), q, own
 
     return run
 
 
 def _ivfpq_search(local=False, rounds=0):
-    return lambda spark, d: (lambda index, q: pq_index.search(index, q, K, PROBES, P))(*_ivfpq(local, rounds)(spark, d))
+    return lambda spark, d: (lambda index, q, own: pq_index.search(index, q, K, own.probes, own.p))(*_ivfpq(local, rounds)(spark, d))
 
 
 def _rotation(spark, d):
@@ -195,9 +221,12 @@ def _owners(how):
     return lambda spark, d: spark.range(100).select(F.col("id").cast("int").alias("list_id")).withColumn("shard", sharded.owner(F.col("list_id"), 100, 8, how))
 
 
-def _sharded_ivfpq(spark, d):
-    index, q = _ivfpq()(spark, d)
-    return pq_index.search_shards(index, q, K, PROBES, P, 50, sharded.owner(F.col("list_id"), 8, 4, sharded.CYCLIC))
+def _shard():
+    return sharded.owner(F.col("list_id"), LISTS.lists, 4, sharded.CYCLIC)
+
+
+def _sharded_ivfpq(what, local: bool = False):
+    return lambda spark, d: (lambda index, q, own: what(index, q, K, own.probes, own.p, 50, _shard()))(*_ivfpq(local)(spark, d))
 
 
 def _recall_sq(spark, d):
@@ -211,11 +240,56 @@ def _mean_recall(spark, d):
 
 
 def _recall_probes(spark, d):
-    index, q = _ivf(spark, d)
+    index, q, _ = _ivf(spark, d)
     truth = exact.knn(index.rows.select("id", "vec"), q, K)
     return evaluate.sweep((1, 2, 4, 8), lambda n: ivf.search(index, q, K, n), truth, q, K, "nprobe")
 
 
+def _plus_plus(spark, d):
+    """Inverted lists whose centroids start far apart: all lists probed, so every row is found whatever they are."""
+    base, q = _pair(spark, d)
+    index = ivf.build(base, ivf.Params(8, 128, 2, kmeans.PLUS_PLUS))
+    return ivf.search(index, q, K, 8)
+
+
+def _written(kind: str):
+    """A matrix file of all vectors, written and read back."""
+
+    def run(spark, d):
+        path = scratch(spark, f"vectors.{kind}")
+        matrix.write_file(_base(spark, d), path, kind)
+        return matrix.read(spark, path, kind)
+
+    return run
+
+
+def _folder(spark, d):
+    """Matrix files, one of each task, in a folder; positions follow the ids."""
+    path = scratch(spark, "folder")
+    matrix.register(spark)
+    _base(spark, d).repartitionByRange(4, "id").sortWithinPartitions("id").write.format("matrix").option("kind", "fbin").mode("append").save(path)
+    return matrix.read(spark, path, "fbin")
+
+
+def _saved_lists(spark, d):
+    index, q, own = _ivfpq()(spark, d)
+    path = scratch(spark, "lists")
+    index.save(path)
+    return pq_index.search(pq_index.load(spark, path), q, K, own.probes, own.p)
+
+
+def _exact_index(spark, d):
+    """The facade for interactive use, with the table's first vectors in and their neighbours out."""
+    rows = _base(spark, d).where("id < 200").orderBy("id").toArrow()
+    index = ExactIndex("l2", 64)
+    index.init_index(rows.num_rows)
+    data = np.array(rows.column("vec").to_pylist(), np.float32)
+    index.add_items(data, rows.column("id").to_numpy())
+    labels, dist = index.knn_query(data[:10], 5)
+    out = [(q, r + 1, int(labels[q, r]), float(dist[q, r])) for q in range(len(labels)) for r in range(5)]
+    return spark.createDataFrame(out, "qid long, rank int, id long, dist double")
+
+
 def _truth(spark, d):
     return evaluate.ground_truth(*_pair(spark, d), K)
 
@@ -258,20 +332,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "train_sample_ids": _train_sample,
         "kmeans_centroids": _centroids,
         "ivf_assign": lambda s, d: _ivf(s, d)[0].rows.select("id", "list_id"),
-        "ivf_list_stats": lambda s, d: kmeans.list_stats(_ivf(s, d)[0].rows, LISTS.lists),
+        "ivf_list_stats": lambda s, d: (lambda i, q, own: kmeans.list_stats(i.rows, len(i.centroids)))(*_ivf(s, d)),
         "ivf_probe": _probe,
-        "ivf_search": _ivf_search(PROBES),
-        "ivf_given_probes": _ivf_search(0, True),
-        "ivf_local_p": lambda s, d: (lambda index, q: ivf.search(index, q, K, PROBES, local_p=50))(*_ivf(s, d)),
-        "ivf_full_probe_equals_flat": _ivf_search(LISTS.lists),
+        "ivf_search": _ivf_search(),
+        "ivf_given_probes": _ivf_search(given=True),
+        "ivf_local_p": _ivf_search(local_p=50),
+        "ivf_full_probe_equals_flat": _ivf_search(everything=True),
+        "ivf_plus_plus_full_probe": _plus_plus,
         "pq_encode_uniform": _pq_codes,
         "pq_lut": _lut(False),
         "pq_lut_i16": _lut(True),
-        "pq_topp": _pq_run(lambda i, q: pq.approximate(i, q, P).withColumn("dist", F.col("dist").cast("long"))),
-        "pq_search": _pq_run(lambda i, q: pq.search(i, q, K, P)),
-        "pq_local_p": _pq_run(lambda i, q: pq.search_local(i, q, K, P, 40, 4)),
-        "pq_phase_counts": _pq_run(lambda i, q: pq.phase_counts(i, q, K, P)),
-        "ivfpq_candidates": lambda s, d: (lambda i, q: pq_index.candidates(i, q, PROBES, P))(*_ivfpq()(s, d)),
+        "pq_topp": _pq_run(lambda i, q, own: pq.approximate(i, q, own.p).withColumn("dist", F.col("dist").cast("long"))),
+        "pq_search": _pq_run(lambda i, q, own: pq.search(i, q, K, own.p)),
+        "pq_local_p": _pq_run(lambda i, q, own: pq.search_local(i, q, K, own.p, 40, 4)),
+        "pq_phase_counts": _pq_run(lambda i, q, own: pq.phase_counts(i, q, K, own.p)),
+        "ivfpq_candidates": lambda s, d: (lambda i, q, own: pq_index.candidates(i, q, own.probes, own.p))(*_ivfpq()(s, d)),
         "ivfpq_global_search": _ivfpq_search(),
         "ivfpq_local_search": _ivfpq_search(True),
         "opq_rotation_error": _rotation,
@@ -279,17 +354,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ivfpq_local_opq_search": _ivfpq_search(True, 2),
         "shard_block": _owners(sharded.BLOCK),
         "shard_cyclic": _owners(sharded.CYCLIC),
-        "mpi_ivfpq_search": _sharded_ivfpq,
+        "mpi_ivfpq_search": _sharded_ivfpq(pq_index.search_shards),
+        "mpi_ivfpq_profile": _sharded_ivfpq(pq_index.profile_shards),
+        "mpi_ivfpq_per_list_search": _sharded_ivfpq(pq_index.search_shards, True),
         "sharded_kmeans_flat_route": lambda s, d: sharded.routed_flat(*_pair(s, d), K, 8, 6, 128, 2),
         "shard_profile": lambda s, d: sharded.shard_profile(_base(s, d).withColumn("shard", sharded.owner((F.col("id") % 100).cast("int"), 100, 8, sharded.BLOCK))),
         "recall_at_k": _recall_sq,
         "recall_mean": _mean_recall,
         "recall_by_nprobe": _recall_probes,
         "ground_truth": _truth,
+        "matrix_fbin_round_trip": _written("fbin"),
+        "matrix_fvecs_round_trip": _written("fvecs"),
+        "matrix_folder_round_trip": _folder,
+        "ivfpq_save_load": _saved_lists,
+        "exact_index": _exact_index,
     } | graph_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import graph_queries
+
     ivf_parts = [o.sample(128), o.lloyd(8, 2), o.assigned("c2")]
     pq_parts = [o.sample(128, PARTS, WIDTH), o.lloyd(CODES.codes, 1, WIDTH), o.pq_codes("c1", PARTS, WIDTH), o.pq_lut("c1", WIDTH)]
     pq_scored = f"approx AS ({o.topk('SELECT l.qid, k.id, CAST(-sum(l.x) AS BIGINT) AS dist FROM codes k JOIN lut16 l ON l.m = k.m AND l.c = k.c GROUP BY l.qid, k.id', P)})"
@@ -317,6 +401,12 @@ def oracle_sql() -> dict[str, str]:
     sq_top = f"approx AS ({o.topk('SELECT qc.id AS qid, c.id, round(-(step * step * list_dot_product(qc.code, c.code) + step * low * (list_sum(qc.code) + list_sum(c.code)) + len(c.code) * low * low), 6) AS dist FROM coded qc, coded c, model WHERE qc.id % 100 = 0', P)})"
     sq_top_k = sq_top.replace(f"rank <= {P}", f"rank <= {K}")
     int8_top = f"approx AS ({o.topk('SELECT qc.id AS qid, c.id, -list_dot_product(qc.code, c.code) AS dist FROM coded qc, coded c WHERE qc.id % 100 = 0', P)})"
+    by_shard = [
+        *both[:-1],
+        f"cand AS ({o.topk('SELECT p.qid, p.list_id % 4 AS shard, k.id, round(1 - sum(l.x), 6) AS dist FROM probes p JOIN listed b ON b.list_id = p.list_id JOIN codes k ON k.id = b.id JOIN lut l ON l.qid = p.qid AND l.m = k.m AND l.c = k.c GROUP BY p.qid, p.list_id % 4, k.id', P, 'qid, shard', 'qid, shard, id, dist, rank')})",
+        f"near AS ({o.reranked('cand', 50, 'qid, shard', 'qid, shard, id, dist')})",
+    ]
+    pq_local = f"part AS ({o.topk('SELECT l.qid, k.id % 4 AS shard, k.id, CAST(-sum(l.x) AS BIGINT) AS dist FROM codes k JOIN lut16 l ON l.m = k.m AND l.c = k.c GROUP BY l.qid, k.id', 40, 'qid, shard', 'qid, id, dist')})"
     local = lambda p: o.with_(f"part AS ({o.topk(f'SELECT qid, id % 4 AS shard, id, {o.ip()} AS dist FROM q, base', p, 'qid, shard', 'qid, id, dist')})") + o.topk("SELECT * FROM part", K)
     eps = f"SELECT qid, id, {o.l2()} AS dist FROM q, base"
     listed = "SELECT p.qid, b.id, {} AS dist FROM {} p JOIN q USING (qid) JOIN listed b ON b.list_id = p.list_id".format(o.ip("q.qv", "b.v"), "{}")
@@ -340,8 +430,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_filter_even": o.with_() + o.flat(K, where="id % 2 = 0"),
         "epsilon_search": o.with_() + o.topk(f"SELECT * FROM ({eps}) WHERE dist <= {EPSILON}", 1 << 30),
         "epsilon_max_candidates": o.with_() + f"SELECT * FROM ({o.topk(eps, 5)}) WHERE dist <= {EPSILON} OR rank <= 2",
-        "multivector_docs": o.with_()
-        + f"SELECT qid, rank, id, doc_id, dist FROM (SELECT *, sum(CASE WHEN fresh = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY dist, id ROWS UNBOUNDED PRECEDING) AS docs FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS INTEGER) AS rank, id, doc_id, dist, row_number() OVER (PARTITION BY qid, doc_id ORDER BY dist, id) AS fresh FROM (SELECT qid, id, id % 50 AS doc_id, {o.l2()} AS dist FROM q, base))) WHERE docs <= 5",
+        "multivector_docs": o.documents("id % 50", 5, o.l2()),
         "knn_with_tombstones": deleted("id % 7 = 0"),
         "knn_after_undelete": deleted("id % 7 = 0 AND id % 14 <> 0"),
         "knn_after_upsert": o.with_("now AS (SELECT id, CASE WHEN id % 5 = 0 THEN list_reverse(v) ELSE v END AS v FROM base)") + o.topk(f"SELECT qid, id, {o.ip()} AS dist FROM q, now", K),
@@ -367,16 +456,23 @@ def oracle_sql() -> dict[str, str]:
         "pq_lut_i16": o.with_(*pq_parts, o.LUT16) + "SELECT qid, CAST(m AS INTEGER) AS m, CAST(c AS INTEGER) AS c, x AS value FROM lut16",
         "pq_topp": o.with_(*pq_parts, o.LUT16, pq_scored) + "SELECT * FROM approx",
         "pq_search": o.with_(*pq_parts, o.LUT16, pq_scored) + o.reranked("approx", K),
+        "pq_local_p": o.with_(*pq_parts, o.LUT16, pq_local, f"approx AS ({o.topk('SELECT * FROM part', P)})") + o.reranked("approx", K),
+        "pq_phase_counts": o.with_(*pq_parts, o.LUT16, pq_scored)
+        + f"SELECT 'tables' AS phase, (SELECT count(*) FROM q) * {CODES.parts * CODES.codes} AS rows UNION ALL SELECT 'scan', (SELECT count(*) FROM q) * (SELECT count(*) FROM base) UNION ALL SELECT 'candidates', (SELECT count(*) FROM approx) UNION ALL SELECT 'output', (SELECT count(*) FROM ({o.reranked('approx', K)}))",
+        "opq_rotation_error": "SELECT CAST(64 AS INTEGER) AS dimension, true AS orthogonal, true AS not_worse",
+        "ivf_plus_plus_full_probe": o.with_() + o.flat(K),
+        "matrix_fbin_round_trip": "SELECT vec_id AS id, embedding AS vec FROM embeddings",
+        "matrix_fvecs_round_trip": "SELECT vec_id AS id, embedding AS vec FROM embeddings",
+        "matrix_folder_round_trip": "SELECT vec_id AS id, embedding AS vec FROM embeddings",
+        "ivfpq_save_load": o.with_(*both) + o.reranked("cand", K),
+        "exact_index": o.with_() + o.topk(f"SELECT a.id AS qid, b.id, {o.l2('a.v', 'b.v')} AS dist FROM base a, base b WHERE a.id < 10 AND b.id < 200", 5),
         "ivfpq_candidates": o.with_(*both) + "SELECT * FROM cand",
         "ivfpq_global_search": o.with_(*both) + o.reranked("cand", K),
         "shard_block": "SELECT CAST(l AS INTEGER) AS list_id, CAST(CASE WHEN l < 52 THEN l // 13 ELSE 4 + (l - 52) // 12 END AS INTEGER) AS shard FROM range(100) r(l)",
         "shard_cyclic": "SELECT CAST(l AS INTEGER) AS list_id, CAST(l % 8 AS INTEGER) AS shard FROM range(100) r(l)",
-        "mpi_ivfpq_search": o.with_(
-            *both[:-1],
-            f"cand AS ({o.topk('SELECT p.qid, p.list_id % 4 AS shard, k.id, round(1 - sum(l.x), 6) AS dist FROM probes p JOIN listed b ON b.list_id = p.list_id JOIN codes k ON k.id = b.id JOIN lut l ON l.qid = p.qid AND l.m = k.m AND l.c = k.c GROUP BY p.qid, p.list_id % 4, k.id', P, 'qid, shard', 'qid, shard, id, dist, rank')})",
-            f"near AS ({o.reranked('cand', 50, 'qid, shard', 'qid, shard, id, dist')})",
-        )
-        + o.topk("SELECT qid, id, dist FROM near", K),
+        "mpi_ivfpq_search": o.with_(*by_shard) + o.topk("SELECT qid, id, dist FROM near", K),
+        "mpi_ivfpq_profile": o.with_(*by_shard, f"last AS ({o.topk('SELECT qid, shard, id, dist FROM near', K, columns='qid, shard')})")
+        + "SELECT CAST(s.shard AS INTEGER) AS shard, scanned, candidates, passed, coalesce(returned, 0) AS returned FROM (SELECT p.list_id % 4 AS shard, count(*) AS scanned FROM probes p JOIN listed b ON b.list_id = p.list_id GROUP BY 1) s JOIN (SELECT shard, count(*) AS candidates FROM cand GROUP BY 1) USING (shard) JOIN (SELECT shard, count(*) AS passed FROM near GROUP BY 1) USING (shard) LEFT JOIN (SELECT shard, count(*) AS returned FROM last GROUP BY 1) USING (shard)",
         "sharded_kmeans_flat_route": o.with_(o.sample(128), o.lloyd(8, 2, how="first", empty="keep"), o.assigned("c2"), o.probes("c2", 6, o.ip("q.qv", "k.cv"))) + o.topk(listed.format("probes"), K),
         "recall_at_k": o.with_(*sq8, sq_top_k, f"truth AS ({o.flat(K)})", f"found AS ({o.reranked('approx', K)})")
         + "SELECT qid, round(coalesce(hits, 0) / 10, 6) AS recall FROM q LEFT JOIN (SELECT f.qid, count(*) AS hits FROM found f JOIN truth t ON t.qid = f.qid AND t.id = f.id GROUP BY f.qid) USING (qid)",
@@ -385,4 +481,4 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT count(*) AS queries, round(avg(round(coalesce(hits, 0) / 10, 6)), 6) AS recall FROM q LEFT JOIN (SELECT f.qid, count(*) AS hits FROM found f JOIN truth t ON t.qid = f.qid AND t.id = f.id GROUP BY f.qid) USING (qid)",
         "recall_by_nprobe": o.with_(*ivf_parts, o.probes("c2", 8), f"truth AS ({o.flat(K)})") + sweep,
         "ground_truth": o.with_() + f"SELECT qid, list(id ORDER BY rank) AS gt FROM ({o.flat(K)}) GROUP BY qid",
-    }
+    } | graph_queries.oracle_sql()

@@ -95,3 +95,9 @@ LUT16 = "lut16 AS (SELECT l.qid, l.m, l.c, CAST(sign(x * scale) * floor(abs(x *
 
 def reranked(candidates: str, k: int, by: str = "qid", columns: str = "qid, rank, id, dist") -> str:
     return topk(f"SELECT x.*, {ip('q.qv', 'b.v')} AS dist FROM (SELECT * EXCLUDE (dist, rank) FROM {candidates}) x JOIN base b USING (id) JOIN q USING (qid)", k, by, columns)
+
+
+def documents(doc: str, count: int, dist: str) -> str:
+    """The nearest rows of each query, as long as they are of ``count`` documents."""
+    ranked = f"SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS INTEGER) AS rank, id, doc_id, dist, row_number() OVER (PARTITION BY qid, doc_id ORDER BY dist, id) AS fresh FROM (SELECT qid, id, {doc} AS doc_id, {dist} AS dist FROM q, base)"
+    return with_() + f"SELECT qid, rank, id, doc_id, dist FROM (SELECT *, sum(CASE WHEN fresh = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY dist, id ROWS UNBOUNDED PRECEDING) AS docs FROM ({ranked})) WHERE docs <= {count}"

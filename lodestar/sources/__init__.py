@@ -62,6 +62,11 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the application's folder, for files that aren't Parquet tables."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}-{name}"
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes the files of tables that ``durable`` returned and that no later plan reads."""
     for df in tables:

@@ -8,12 +8,14 @@
 
 Rows come as (id long, vec array); ids are positions in the file. Paths are local, or URIs of a file system that Arrow
 knows. Files are read by ranges of rows, so a large file has many tasks and none holds more than ``ROWS_BYTES``.
-Writing makes a file of the kind for each task; ``write_file`` makes one file, in order of the ids.
+Writing makes a file of the kind for each task, with its rows in the order in which the task has them; ``write_file`` makes one
+file, in order of the ids.
 """
 
 from __future__ import annotations
 
 import struct
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -141,12 +143,18 @@ def _files(options) -> list[tuple[str, Form]]:
 
 @dataclass
 class _Written(WriterCommitMessage):
-    path: str
+    name: str
     rows: int
 
 
 class MatrixWriter(DataSourceWriter):
-    """A file for each task that has rows, under a name of its own; those of a job that fails are removed."""
+    """A file for each task that has rows, in their order, under a name of its own.
+
+    Tasks write to a staging folder; the job moves the files of its committed tasks and deletes the folder, so those of lost
+    or doubled attempts never count. Values are spooled to the task's disk until their number is known for the header.
+    """
+
+    SPOOL_BYTES = 32 << 20
 
     def __init__(self, options):
         self.path, self.kind = options["path"].rstrip("/"), options.get("kind", "fbin")
@@ -154,30 +162,49 @@ class MatrixWriter(DataSourceWriter):
         if self.kind not in ("fbin", "u8bin", "i32bin"):
             raise ValueError(f"can't write matrix kind: {self.kind}")
 
+    @property
+    def staging(self) -> str:
+        return f"{self.path}/_staging-{self.job}"
+
     def write(self, rows) -> _Written:
         from pyspark import TaskContext
 
-        got = [(r.id, r.vec) for r in rows]
-        if not got:
-            return _Written("", 0)
-        task = TaskContext.get()
-        name = f"{self.path}/part-{task.partitionId():05d}-{self.job}-{task.taskAttemptId()}.{self.kind}"
-        fs, where = _open(name)
-        fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
-        values = np.array([v for _, v in sorted(got, key=lambda x: x[0])], _DTYPES[self.kind])
-        with fs.open_output_stream(where) as f:
-            f.write(struct.pack("<II", *values.shape))
-            f.write(values.tobytes())
-        return _Written(name, len(got))
+        count = dim = 0
+        with tempfile.SpooledTemporaryFile(self.SPOOL_BYTES) as spool:
+            for r in rows:
+                values = np.asarray(r.vec, _DTYPES[self.kind])
+                if count and len(values) != dim:
+                    raise ValueError("wrong dimensionality of the vectors")
+                dim = len(values)
+                spool.write(values.tobytes())
+                count += 1
+            if not count:
+                return _Written("", 0)
+            task = TaskContext.get()
+            name = f"part-{task.partitionId():05d}-{self.job}-{task.taskAttemptId()}.{self.kind}"
+            fs, where = _open(f"{self.staging}/{name}")
+            fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
+            spool.seek(0)
+            with fs.open_output_stream(where) as f:
+                f.write(struct.pack("<II", count, dim))
+                while block := spool.read(1 << 20):
+                    f.write(block)
+        return _Written(name, count)
+
+    def _clear(self) -> None:
+        fs, where = _open(self.staging)
+        if fs.get_file_info(where).type == pafs.FileType.Directory:
+            fs.delete_dir(where)
 
     def commit(self, messages) -> None:
-        pass
+        for m in messages:
+            if m and m.name:
+                fs, where = _open(f"{self.staging}/{m.name}")
+                fs.move(where, _open(f"{self.path}/{m.name}")[1])
+        self._clear()
 
     def abort(self, messages) -> None:
-        for m in messages:
-            if m and m.path:
-                fs, where = _open(m.path)
-                fs.delete_file(where)
+        self._clear()
 
 
 class MatrixSource(DataSource):
