@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-CACHE = 500_000
+CACHE = 200_000
 FAN = 16
 
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
