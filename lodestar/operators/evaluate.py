@@ -62,3 +62,14 @@ def sweep(values: Iterable[int], search: Callable[[int], DataFrame], truth: Data
     if out is None:
         raise ValueError("a sweep needs values")
     return out
+
+
+def sweep_times(values: Iterable[int], search: Callable[[int], DataFrame], truth: DataFrame, queries: DataFrame, k: int, name: str = "value") -> DataFrame:
+    """(name, queries, recall, average_latency_us): as ``sweep``, each value run on its own, with wall time over queries."""
+    rows = []
+    for v in values:
+        got = measure(lambda: search(v), truth, queries, k)
+        rows.append((v, got["queries"], got["recall"], got["average_latency_us"]))
+    if not rows:
+        raise ValueError("a sweep needs values")
+    return queries.sparkSession.createDataFrame(rows, f"{name} int, queries long, recall double, average_latency_us double")

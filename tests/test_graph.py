@@ -5,12 +5,25 @@ from pyspark.sql import functions as F
 from lodestar.operators import evaluate, exact
 from lodestar.operators.graph import index as graphs
 from lodestar.operators.graph import layout
-from lodestar.operators.graph.core import Counts, Graph, Params
+from lodestar.operators.graph.core import Condition, Counts, Graph, Params
 from lodestar.operators.queries import from_numpy
 
 K = 10
 
 
+class Gap(Condition):
+    """All that lie no farther behind the nearest than ``gap``."""
+
+    def __init__(self, gap):
+        self.gap = gap
+
+    def enough(self, near):
+        return bool(near) and near[-1][0] > near[0][0] + self.gap
+
+    def keep(self, near):
+        return sum(far <= near[0][0] + self.gap for far, _ in near)
+
+
 @pytest.fixture(scope="module")
 def rows():
     return np.random.default_rng(3).normal(size=(800, 12))
@@ -185,3 +198,30 @@ def test_walks_and_orders(tables):
     before = graphs.window_scores(index).agg(F.sum("score")).first()[0]
     assert graphs.window_scores(graphs.reordered(index, layout.GORDER)).agg(F.sum("score")).first()[0] > before
     assert graphs.search_within(index, q, 6.0, 50).where("dist > 6").count() == 0
+
+
+def test_searches_shuffle_no_graph(tables):
+    index, base, q, truth = tables
+    plan = graphs.search(index, q, K)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in below and "Scan parquet" in below
+
+
+def test_crowded_clusters_are_split(tables):
+    """A cluster of more rows than a graph may hold becomes several graphs; a routed query visits them all."""
+    _, base, q, truth = tables
+    index, centres = graphs.build_kmeans(base, Params(8, 60, 60), 3, 300, 3, most=100)
+    sizes = [r["count"] for r in index.labels.groupBy("shard").count().collect()]
+    assert index.shards == sum(map(len, index.groups)) > 6 and max(sizes) < 200 and sum(sizes) == 800
+    assert recall(graphs.search_routed(index, q, K, graphs.nearest_lists(centres, 3)), truth, q) > 0.95
+
+
+def test_documents_and_own_conditions(spark, tables):
+    """Document search over shards is what exact search says; a condition of the caller's own decides what is returned."""
+    index, base, q, truth = tables
+    got = sorted(map(tuple, graphs.search_documents(index, q, 4, F.col("label") % 30, 1000).collect()))
+    want = sorted(map(tuple, exact.nearest_documents(base.withColumn("doc_id", F.col("id") % 30), q, 4).collect()))
+    assert [(a, b, c, d) for a, b, c, d, _ in got] == [(a, b, c, d) for a, b, c, d, _ in want]
+    found = graphs.search_until(index, q, Gap(3.0), 20)
+    assert found.groupBy("shard", "qid").agg((F.max("dist") - F.min("dist")).alias("gap")).where("gap > 3").count() == 0
+    assert found.select("qid").distinct().count() == 20

@@ -176,3 +176,49 @@ def test_recall(spark):
     assert [r.qid for r in evaluate.evaluated(q, 1, 1).collect()] == [1]
     with pytest.raises(ValueError):
         evaluate.sweep([], lambda v: found, truth, q, 2)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_searches_encode_nothing(pair):
+    """Codes are made once, at build: a search has one kernel over the codes, and its vectors come from the table."""
+    rows, base, q, truth = pair
+    flat = pq.build(base, pq.Params(8, 16, 300, 2))
+    lists = pq_index.build_local(base, ivf.Params(8, 300, 2), pq.Params(8, 16, 300, 2))
+    for found in (pq.search(flat, q, K, 60), pq_index.search(lists, q, K, 3, 60)):
+        plan = plan_of(found)
+        assert plan.count("MapInArrow") == 1 and "code" in plan
+    assert "PartitionFilters: [" in plan_of(pq_index.search(lists, q.limit(1), K, 2, 60))
+
+
+def test_blocks_one_after_the_other(spark, pair, monkeypatch):
+    """Several blocks of a query set give what one gives."""
+    from lodestar.operators import queries
+
+    rows, base, q, truth = pair
+    index = pq.build(base, pq.Params(8, 16, 300, 2))
+    one = [sorted(map(tuple, f.collect())) for f in (exact.knn(base, q, K), pq.search(index, q, K, 60))]
+    small = queries.over_blocks
+    monkeypatch.setattr(exact, "over_blocks", lambda q, f: small(q, f, most=300))
+    monkeypatch.setattr(pq, "over_blocks", lambda q, f: small(q, f, most=300))
+    assert [sorted(map(tuple, f.collect())) for f in (exact.knn(base, q, K), pq.search(index, q, K, 60))] == one
+
+
+def test_profiles(pair):
+    rows, base, q, truth = pair
+    got = {r.phase: r for r in pq.profile(pq.build(base, pq.Params(8, 16, 300, 2)), q, K, 60).collect()}
+    assert {p: r.rows for p, r in got.items()} == {"tables": 18 * 8 * 16, "scan": 18 * 900, "candidates": 18 * 60, "output": 18 * K}
+    assert all(r.seconds > 0 for r in got.values())
+    index = pq_index.build_global(base, ivf.Params(8, 300, 2), pq.Params(8, 16, 300, 2))
+    shards = pq_index.profile_shards(index, q, K, 8, 60, 20, sharded.owner(F.col("list_id"), 8, 3)).collect()
+    assert sum(r.scanned for r in shards) == 18 * 900 and sum(r.returned for r in shards) == 18 * K
+    assert all(r.returned <= r.passed <= 18 * 20 and r.passed <= r.candidates <= 18 * 60 for r in shards)
+
+
+def test_sweep_with_times(pair):
+    rows, base, q, truth = pair
+    index = ivf.build(base, ivf.Params(8, 300, 2))
+    got = evaluate.sweep_times((1, 8), lambda n: ivf.search(index, q, K, n), truth, q, K, "nprobe").collect()
+    assert [r.nprobe for r in got] == [1, 8] and got[1].recall == 1.0 and all(r.average_latency_us > 0 for r in got)

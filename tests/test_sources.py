@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators.queries import from_numpy
-from lodestar.sources import durable, matrix
+from lodestar.sources import durable, matrix, release
 
 
 def test_round_trip(spark, tmp_path):
@@ -78,3 +78,40 @@ def test_durable(spark):
     df = spark.range(10).withColumn("x", F.rand())
     kept = durable(df)
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, kept.collect())) and kept.columns == df.columns
+
+
+def test_lost_attempts_leave_no_rows(spark, tmp_path):
+    """Files of attempts that were not committed stay in the staging folder, which goes with the job."""
+    from types import SimpleNamespace
+
+    import pyspark
+
+    path = str(tmp_path / "staged")
+    writer = matrix.MatrixWriter({"path": path, "kind": "fbin"})
+    rows = [SimpleNamespace(id=i, vec=[float(i), 1.0]) for i in range(5)]
+    context, number = SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: next(numbers)), None
+    numbers = iter(range(10))
+    old = pyspark.TaskContext.get
+    pyspark.TaskContext.get = classmethod(lambda cls: context)
+    try:
+        writer.write(iter(rows))  # an attempt that is lost
+        done = writer.write(iter(rows))
+    finally:
+        pyspark.TaskContext.get = old
+    writer.commit([done, None, matrix._Written("", 0)])
+    assert sorted(p.name for p in (tmp_path / "staged").iterdir()) == [done.name]
+    assert [r.vec for r in sorted(matrix.read(spark, path).collect())] == [[float(i), 1.0] for i in range(5)]
+    matrix.MatrixWriter({"path": path, "kind": "fbin"}).abort([])
+
+
+def test_tables_are_released(spark):
+    import os
+
+    df = durable(spark.range(5), None)
+    path = df.__dict__["_durable_path"].removeprefix("file:")
+    assert os.path.exists(path)
+    release(df)
+    release(df)
+    assert not os.path.exists(path)
+    parts = durable(spark.range(6).selectExpr("cast(id % 2 as int) AS list_id", "id"), ["list_id"])
+    assert parts.columns == ["list_id", "id"] and sorted(map(tuple, parts.collect())) == sorted((i % 2, i) for i in range(6))
