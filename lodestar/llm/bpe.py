@@ -4,7 +4,7 @@ A text is cut into words by the vocabulary's pattern, and each word into bytes.
 each symbol, the rank of its pair with the next one, together with its position; an inner node holds the least of its
 ``FAN`` children (``min`` of a slice, so the tree is wide and flat). So the root names the leftmost of the lowest-ranked
 pairs. After a merge, the pairs on both sides of it get new leaves and their ancestors new values, in logarithmic time,
-until the root holds no rank. A word of n bytes takes n log n steps, however long it is.
+until the root holds no rank. A word of n bytes takes n log n steps, however long it is. Up to ``FAN`` pairs are one node.
 
 Each worker keeps the codes of words seen so far, up to a fixed number (``CACHE``), which changes no result. The vocabulary file
 is read by the driver (its path is a parameter) and broadcast: about two megabytes, whatever the size of the input.
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-CACHE = 200_000
+CACHE = 300_000
 FAN = 16
 
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
@@ -87,8 +87,28 @@ class Codec:
         # A word of letters alone is remembered here only, others by their parts too.
         self.chunks = _Memory(lambda chunk: whole(" " + chunk) if self.letters(chunk) else self.pattern_words(" " + chunk), CACHE)
 
+    def merge_leaf(self, word: bytes) -> list[int]:
+        """The ids of a word whose pairs fit into one node: its least value is the root, and merged pairs leave the node."""
+        single, pairs, ranks, made = self.single, self.byte_pairs, self.ranks, self.made
+        ids = [single[b] for b in word]
+        node = [pairs[a << 8 | b] for a, b in zip(word, word[1:])]
+        while node:
+            least = min(node)
+            if least >= _NONE:
+                break
+            i = node.index(least)  # the leftmost
+            ids[i : i + 2] = (made[least >> 32],)
+            del node[i]
+            if i:
+                node[i - 1] = ranks.get(ids[i - 1] << 32 | ids[i], _NONE)
+            if i < len(node):
+                node[i] = ranks.get(ids[i] << 32 | ids[i + 1], _NONE)
+        return ids
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
+        if len(word) <= FAN + 1:
+            return self.merge_leaf(word)
         ids = [self.single[b] for b in word]
         n, pairs, ranks, made = len(word), self.byte_pairs, self.ranks, self.made
         levels = [[pairs[a << 8 | b] | i for i, (a, b) in enumerate(zip(word, word[1:]))]]
