@@ -34,7 +34,7 @@ def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
         return []
     done = [s.getPath() for s in fs.listStatus(where)]
     done = [p.getName() for p in done if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(m[1]) for m in (re.fullmatch(rf"{name}=([0-9]+)", n) for n in done) if m)
+    return sorted(int(m[1]) for m in (re.match(rf"{name}=([0-9]+)\Z", n) for n in done) if m)
 
 
 def _newest(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
