@@ -35,3 +35,8 @@ def equals_sql(spark, folder, name):
 
 def test_sample_beyond_small_tables(spark, larger):
     assert ROWS > catalogue.SMALL and equals_sql(spark, larger, "train_sample_ids")
+
+
+@pytest.mark.parametrize("name", ["ivf_assign", "ivf_given_probes", "ivf_list_stats", "ivf_local_p", "ivf_probe", "ivf_search", "kmeans_centroids", "recall_by_nprobe"])
+def test_lists_beyond_small_tables(spark, larger, name):
+    assert equals_sql(spark, larger, name)
