@@ -40,3 +40,16 @@ def test_sample_beyond_small_tables(spark, larger):
 @pytest.mark.parametrize("name", ["ivf_assign", "ivf_given_probes", "ivf_list_stats", "ivf_local_p", "ivf_probe", "ivf_search", "kmeans_centroids", "recall_by_nprobe"])
 def test_lists_beyond_small_tables(spark, larger, name):
     assert equals_sql(spark, larger, name)
+
+
+@pytest.mark.parametrize("name", ["ivfpq_candidates", "ivfpq_global_search", "mpi_ivfpq_search", "pq_encode_uniform", "pq_search", "pq_topp"])
+def test_codes_beyond_small_tables(spark, larger, name):
+    assert equals_sql(spark, larger, name)
+
+
+@pytest.mark.parametrize("name", ["pq_sized_search", "ivfpq_sized_search"])
+def test_parameters_that_follow_the_rows(spark, larger, name):
+    """The indexes without SQL keep a recall of 0.9."""
+    right = {(r.qid, r.id) for r in QUERIES["flat_ip"](spark, larger).collect()}
+    found = {(r.qid, r.id) for r in QUERIES[name](spark, larger).collect()}
+    assert len(found) == len(right) and len(found & right) >= 0.9 * len(right)
