@@ -53,3 +53,8 @@ def test_parameters_that_follow_the_rows(spark, larger, name):
     right = {(r.qid, r.id) for r in QUERIES["flat_ip"](spark, larger).collect()}
     found = {(r.qid, r.id) for r in QUERIES[name](spark, larger).collect()}
     assert len(found) == len(right) and len(found & right) >= 0.9 * len(right)
+
+
+@pytest.mark.parametrize("name", ["hoh_search", "ivf_hnsw_search", "hnsw_search"])
+def test_graphs_beyond_small_tables(spark, larger, name):
+    assert equals_sql(spark, larger, name)
