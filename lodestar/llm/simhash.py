@@ -21,7 +21,8 @@ tree prunes much worse then: among 6,000 shards, a fingerprint visits 2 x 75 of
 Near copies with a shingle similarity of 0.8 differ in about 15% of the bits, which no tree over 64 bits can search. For
 these, ``similar`` takes ``WORDS`` words and up to ``NEAR`` bits, and keeps t at 1 in parts of 16 bits. These links are
 candidates only: the sets of shingles are compared, and those under 80 percent go before components are made. A candidate
-between two texts that compared links join already needs no comparison.
+between two texts that compared links join already needs no comparison. What this search leaves out is found by prefixes
+(``missed``): two sets with 80 percent in common share one of the first shingles, in any one order of all shingles.
 There a point is a fingerprint with a digest of its set, so texts that share a fingerprint alone are compared too.
 
 Pairs are compared over all bits, so links are exact: the sample only decides where cuts lie. A shard with more than
@@ -56,6 +57,8 @@ WORDS, NEAR = 6, 80
 FILTER_BITS = 1 << 29
 #: Rows of one key that are dealt to one place of a join, at least; and such keys, at most, which are broadcast.
 HEAVY_ROWS, HEAVY_KEYS = 1 << 13, 1 << 14
+#: Texts, about, by which frequent shingles are known, and how many of those are kept. They only decide the order of shingles.
+ORDER_TEXTS, ORDER_SHINGLES = 1 << 14, 1 << 17
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -384,10 +387,10 @@ def _filter_of(tags: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(df: DataFrame, text_col: str, points: DataFrame, width: int, words: int) -> DataFrame:
-    """(point, own): the set of shingles of each of ``points`` (point, tag) and of some others, one 64-bit hash after the other.
+def _of_points(df: DataFrame, text_col: str, points: DataFrame, width: int, words: int, kind: pa.DataType, take) -> DataFrame:
+    """(point, own) of each of ``points`` (point, tag) and of some others, at least once: what ``take`` makes of its set of shingles.
 
-    The second pass over the texts. A filter of the tags is sent to the workers; it is of bounded size and lets some others pass.
+    A pass over the texts. A filter of the tags is sent to the workers; it is of bounded size and lets some others pass.
     """
     sent = df.sparkSession.sparkContext.broadcast(_filter_of(points.select("tag")))
 
@@ -395,7 +398,7 @@ def _sets(df: DataFrame, text_col: str, points: DataFrame, width: int, words: in
         held, seen = sent.value, set()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            for at in common.slices(texts):
+            for at in common.slices(texts, 1 << 20):
                 found = []
                 for text in texts.slice(*at).to_pylist():
                     tag = _tag(text)
@@ -403,11 +406,65 @@ def _sets(df: DataFrame, text_col: str, points: DataFrame, width: int, words: in
                     if held[place >> 3] >> (place & 7) & 1 and tag not in seen:
                         seen.add(tag)
                         point, own = _marked(text, width, words)
-                        found.append((point, own.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["point", "own"])
+                        found.append((point, take(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], kind)], names=["point", "own"])
 
     rows = df.select(F.lit(0).alias(common.ID), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(common.TEXT))
-    return common.bounded(rows).mapInArrow(run, "point binary, own binary").groupBy("point").agg(F.first("own").alias("own"))
+    return common.bounded(rows).mapInArrow(run, f"point binary, own {'binary' if kind == pa.binary() else 'array<bigint>'}")
+
+
+def _sets(df: DataFrame, text_col: str, points: DataFrame, width: int, words: int) -> DataFrame:
+    """(point, own): the set of shingles of each of ``points`` (point, tag) and of some others, one 64-bit hash after the other."""
+    return _of_points(df, text_col, points, width, words, pa.binary(), lambda own: own.tobytes()).groupBy("point").agg(F.first("own").alias("own"))
+
+
+def _frequent(df: DataFrame, text_col: str, points: DataFrame, width: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts): those that a sample of the points holds most often, in order."""
+    one_in = max(1, -(-points.count() // ORDER_TEXTS))
+    some = points.where(F.pmod(F.xxhash64("point"), F.lit(one_in)) == 0)
+    held = _of_points(df, text_col, some, width, words, pa.list_(pa.int64()), lambda own: own.view(np.int64))
+    often = held.select(F.explode("own").alias("shingle")).groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    shingles, counts = (often.column(c).to_numpy().astype(np.int64) for c in ("shingle", "count"))
+    order = np.argsort(shingles)
+    return shingles[order], counts[order]
+
+
+def prefix(own: np.ndarray, shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The size of a set and its first shingles, rare ones first: as many as leave fewer than ``percent`` of the set behind."""
+    own = own.view(np.int64)
+    often = np.zeros(len(own), np.int64)
+    if len(shingles):
+        at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
+        often = np.where(shingles[at] == own, counts[at], 0)
+    n = len(own)
+    return np.concatenate([[n], own[np.lexsort((own, often))[: n - -(-percent * n // 100) + 1]]])
+
+
+def missed(df: DataFrame, text_col: str, points: DataFrame, edges: DataFrame, found: DataFrame, width: int, words: int, percent: int) -> DataFrame:
+    """(a, b): the links between what ``found`` (a, b) doesn't join, all of them; ``edges`` (a, b) are known.
+
+    Every pair with ``percent`` in common shares a shingle of both prefixes. At the first that they share, what follows in
+    both must be long enough for that share; so pairs are compared that could have it, and no others.
+    """
+    shingles, counts = _frequent(df, text_col, points, width, words)
+    sent = df.sparkSession.sparkContext.broadcast((shingles, counts))
+    firsts = _of_points(df, text_col, points, width, words, pa.list_(pa.int64()), lambda own: prefix(own, *sent.value, percent))
+    firsts = firsts.groupBy("point").agg(F.first("own").alias("own")).join(connected(found, "a", "b").withColumnRenamed("node", "point"), "point", "left")
+    key, size = F.xxhash64("point").alias("key"), F.element_at("own", 1).cast("int").alias("size")
+    rows = firsts.select(key, F.xxhash64(F.coalesce("root", "point")).alias("root"), size, F.posexplode(F.expr("slice(own, 2, size(own) - 1)")).alias("place", "shingle"))
+    x, y = rows.alias("x"), rows.alias("y")
+    left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    could = (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (left * F.lit(100 + percent) >= F.lit(percent) * (F.col("x.size") + F.col("y.size")))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & could).select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
+    known = edges.select(F.xxhash64("a").alias("k"), F.xxhash64("b").alias("l")).select(F.least("k", "l").alias("x"), F.greatest("k", "l").alias("y"))
+    pairs = common.cut(pairs.join(known, ["x", "y"], "left_anti"))
+    named = lambda k, end: points.select(F.xxhash64("point").alias(k), F.col("point").alias(end), F.col("tag").alias(f"tag_{end}"))
+    both = common.cut(pairs.join(named("x", "a"), "x").join(named("y", "b"), "y").drop("x", "y"))
+    ends = both.select(F.col("a").alias("point"), F.col("tag_a").alias("tag")).unionByName(both.select(F.col("b").alias("point"), F.col("tag_b").alias("tag"))).distinct()
+    sets = common.cut(_sets(df, text_col, ends, width, words))
+    out = common.cut(alike(both, sets, percent))
+    common.release(pairs, both, sets)
+    return out
 
 
 def _heavy(edges: DataFrame, end: str, count: int) -> DataFrame:
@@ -480,6 +537,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ends = edges.select(F.col("a").alias("point")).unionByName(edges.select(F.col("b").alias("point"))).distinct()
         sets = common.cut(_sets(df, text_col, points.select("point", "tag").join(ends, "point", "left_semi"), width, words))
         found = verified(edges, sets, percent)
+        found = found.unionByName(missed(df, text_col, points, edges, found, width, words, percent))
         common.release(edges, sets)
     roots = connected(found, "a", "b")
     joined = points.join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))

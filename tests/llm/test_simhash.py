@@ -215,3 +215,35 @@ def test_components_of_long_paths_and_stars(spark):
     assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(301))
     none = spark.createDataFrame([], "a long, b long")
     assert components.connected(none, "a", "b").count() == 0
+
+
+def test_no_link_of_eight_tenths_is_lost(spark, monkeypatch):
+    """Texts of five and of four shingles, just 0.8 alike, whose fingerprints often differ in over 80 bits, among texts that share a frequent passage."""
+    monkeypatch.setattr(simhash, "ORDER_TEXTS", 64, raising=False)
+    rows = []
+    for i in range(200):
+        words = [f"w{i}x{k}" for k in range(9)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[1:]))]
+    passage = [f"often{k}" for k in range(12)]
+    rows += [(1000 + i, " ".join([*passage, *[f"own{i}x{k}" for k in range(8)]])) for i in range(100)]
+    got = {x.doc_id: x.component for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(200))
+    assert all(got[1000 + i] == 1000 + i for i in range(100))
+
+
+def test_prefixes_meet():
+    """Of any two sets with 80 percent in common, the prefixes share a shingle, whatever the counts; the order is rare ones first."""
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 9, 40, 300):
+        for _ in range(50):
+            own = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            out = int(rng.integers(0, n // 9 + 1))
+            other = np.unique(np.concatenate([own[rng.permutation(len(own))[out:]], rng.integers(0, 2**64, out, dtype=np.uint64)]))
+            if 100 * len(np.intersect1d(own, other)) < 80 * len(np.union1d(own, other)):
+                continue
+            known = np.unique(rng.choice(own.view(np.int64), max(1, n // 2)))
+            counts = rng.integers(2, 9, len(known))
+            a, b = (simhash.prefix(x, known, counts, 80) for x in (own, other))
+            assert a[0] == len(own) and np.intersect1d(a[1:], b[1:]).size
+            assert len(a) - 1 == len(own) - -(-80 * len(own) // 100) + 1
+    assert len(simhash.prefix(np.empty(0, np.uint64), known, counts, 80)) == 1
