@@ -387,8 +387,8 @@ def _filter_of(tags: DataFrame) -> np.ndarray:
     return out
 
 
-def _of_points(df: DataFrame, text_col: str, points: DataFrame, width: int, words: int, kind: pa.DataType, take) -> DataFrame:
-    """(point, own) of each of ``points`` (point, tag) and of some others, at least once: what ``take`` makes of its set of shingles.
+def _sets(df: DataFrame, text_col: str, points: DataFrame, width: int, words: int) -> DataFrame:
+    """(point, own): the set of shingles of each of ``points`` (point, tag) and of some others, one 64-bit hash after the other.
 
     A pass over the texts. A filter of the tags is sent to the workers; it is of bounded size and lets some others pass.
     """
@@ -406,25 +406,47 @@ def _of_points(df: DataFrame, text_col: str, points: DataFrame, width: int, word
                     if held[place >> 3] >> (place & 7) & 1 and tag not in seen:
                         seen.add(tag)
                         point, own = _marked(text, width, words)
-                        found.append((point, take(own)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], kind)], names=["point", "own"])
+                        found.append((point, own.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["point", "own"])
 
     rows = df.select(F.lit(0).alias(common.ID), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(common.TEXT))
-    return common.bounded(rows).mapInArrow(run, f"point binary, own {'binary' if kind == pa.binary() else 'array<bigint>'}")
+    return common.bounded(rows).mapInArrow(run, "point binary, own binary").groupBy("point").agg(F.first("own").alias("own"))
 
 
-def _sets(df: DataFrame, text_col: str, points: DataFrame, width: int, words: int) -> DataFrame:
-    """(point, own): the set of shingles of each of ``points`` (point, tag) and of some others, one 64-bit hash after the other."""
-    return _of_points(df, text_col, points, width, words, pa.binary(), lambda own: own.tobytes()).groupBy("point").agg(F.first("own").alias("own"))
+def _by_tag(df: DataFrame, text_col: str, points: DataFrame, width: int, take) -> DataFrame:
+    """(tag, own) of each of ``points`` (point, tag) and of some others, at least once: what ``take`` makes of its set of shingles.
 
+    A pass over the texts as in ``_sets``, without fingerprints.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(_filter_of(points.select("tag")))
 
-def _frequent(df: DataFrame, text_col: str, points: DataFrame, width: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches):
+        held, seen = sent.value, set()
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary())
+            for at in common.slices(texts, 1 << 20):
+                tags, found = [], []
+                for text in texts.slice(*at).to_pylist():
+                    tag = _tag(text)
+                    place = tag % (8 * len(held))
+                    if held[place >> 3] >> (place & 7) & 1 and tag not in seen:
+                        seen.add(tag)
+                        tags.append(tag)
+                        found.append(take(np.unique(shingles(text, width)).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(tags, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["tag", "own"])
+
+    return common.bounded(df.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(common.TEXT))).mapInArrow(run, "tag bigint, own array<bigint>")
+
+
+def _frequent(df: DataFrame, text_col: str, points: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, counts): those that a sample of the points holds most often, in order."""
     one_in = max(1, -(-points.count() // ORDER_TEXTS))
     some = points.where(F.pmod(F.xxhash64("point"), F.lit(one_in)) == 0)
-    held = _of_points(df, text_col, some, width, words, pa.list_(pa.int64()), lambda own: own.view(np.int64))
-    often = held.select(F.explode("own").alias("shingle")).groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toArrow()
-    shingles, counts = (often.column(c).to_numpy().astype(np.int64) for c in ("shingle", "count"))
+    held = _by_tag(df, text_col, some, width, lambda own: own)
+    often = common.cut(held.select(F.explode("own").alias("shingle")).groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES))
+    got = often.toArrow()
+    common.release(often)
+    shingles, counts = (got.column(c).to_numpy().astype(np.int64) for c in ("shingle", "count"))
     order = np.argsort(shingles)
     return shingles[order], counts[order]
 
@@ -440,24 +462,55 @@ def prefix(own: np.ndarray, shingles: np.ndarray, counts: np.ndarray, percent: i
     return np.concatenate([[n], own[np.lexsort((own, often))[: n - -(-percent * n // 100) + 1]]])
 
 
+def repeated(df: DataFrame, text_col: str, points: DataFrame, width: int, first) -> np.ndarray:
+    """A bitmap of the shingles (48 bits of each) that more than one text has in its prefix, and of some others.
+
+    Most prefixes are of shingles that no other text has. What is shuffled to know them is a number for each, without its text.
+    """
+    held = _by_tag(df, text_col, points, width, lambda own: first(own)[1:] >> 16)
+    tags = common.cut(held.select(F.explode("own").alias("tag")).groupBy("tag").count().where("count > 1").select("tag"))
+    out = _filter_of(tags)
+    common.release(tags)
+    return out
+
+
+def shared(firsts: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Of a size and a prefix: the size, the places of those shingles that ``held`` has, and those shingles."""
+    own = firsts[1:]
+    place = (own >> 16) % (8 * len(held))
+    at = np.flatnonzero(held[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+    return np.concatenate([firsts[:1], at, own[at]])
+
+
+def meeting(df: DataFrame, text_col: str, points: DataFrame, width: int, percent: int) -> DataFrame:
+    """(tag, size, place, shingle): the prefix of each of ``points`` and of some others, without most shingles of one text only."""
+    spark = df.sparkSession
+    order = spark.sparkContext.broadcast(_frequent(df, text_col, points, width))
+    first = lambda own: prefix(own, *order.value, percent)
+    held = spark.sparkContext.broadcast(repeated(df, text_col, points, width, first))
+    own = _by_tag(df, text_col, points, width, lambda own: shared(first(own), held.value)).where("size(own) > 1")
+    many = "int((size(own) - 1) / 2)"
+    pairs = F.arrays_zip(F.expr(f"slice(own, 2, {many})").alias("place"), F.expr(f"slice(own, 2 + {many}, {many})").alias("shingle"))
+    rows = own.groupBy("tag").agg(F.first("own").alias("own"))
+    return rows.select("tag", F.element_at("own", 1).cast("int").alias("size"), F.explode(pairs).alias("at")).select("tag", "size", F.col("at.place").cast("int").alias("place"), "at.shingle")
+
+
 def missed(df: DataFrame, text_col: str, points: DataFrame, edges: DataFrame, found: DataFrame, width: int, words: int, percent: int) -> DataFrame:
     """(a, b): the links between what ``found`` (a, b) doesn't join, all of them; ``edges`` (a, b) are known.
 
     Every pair with ``percent`` in common shares a shingle of both prefixes. At the first that they share, what follows in
     both must be long enough for that share; so pairs are compared that could have it, and no others.
     """
-    shingles, counts = _frequent(df, text_col, points, width, words)
-    sent = df.sparkSession.sparkContext.broadcast((shingles, counts))
-    firsts = _of_points(df, text_col, points, width, words, pa.list_(pa.int64()), lambda own: prefix(own, *sent.value, percent))
-    firsts = firsts.groupBy("point").agg(F.first("own").alias("own")).join(connected(found, "a", "b").withColumnRenamed("node", "point"), "point", "left")
-    key, size = F.xxhash64("point").alias("key"), F.element_at("own", 1).cast("int").alias("size")
-    rows = firsts.select(key, F.xxhash64(F.coalesce("root", "point")).alias("root"), size, F.posexplode(F.expr("slice(own, 2, size(own) - 1)")).alias("place", "shingle"))
+    of = points.select("point", "tag").join(connected(found, "a", "b").withColumnRenamed("node", "point"), "point", "left")
+    of = common.cut(of.select("tag", F.xxhash64("point").alias("key"), F.xxhash64(F.coalesce("root", "point")).alias("root")))
+    rows = common.cut(meeting(df, text_col, points, width, percent).join(of, "tag").drop("tag"))
     x, y = rows.alias("x"), rows.alias("y")
     left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     could = (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (left * F.lit(100 + percent) >= F.lit(percent) * (F.col("x.size") + F.col("y.size")))
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & could).select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
     known = edges.select(F.xxhash64("a").alias("k"), F.xxhash64("b").alias("l")).select(F.least("k", "l").alias("x"), F.greatest("k", "l").alias("y"))
     pairs = common.cut(pairs.join(known, ["x", "y"], "left_anti"))
+    common.release(of, rows)
     named = lambda k, end: points.select(F.xxhash64("point").alias(k), F.col("point").alias(end), F.col("tag").alias(f"tag_{end}"))
     both = common.cut(pairs.join(named("x", "a"), "x").join(named("y", "b"), "y").drop("x", "y"))
     ends = both.select(F.col("a").alias("point"), F.col("tag_a").alias("tag")).unionByName(both.select(F.col("b").alias("point"), F.col("tag_b").alias("tag"))).distinct()

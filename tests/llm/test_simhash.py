@@ -247,3 +247,24 @@ def test_prefixes_meet():
             assert a[0] == len(own) and np.intersect1d(a[1:], b[1:]).size
             assert len(a) - 1 == len(own) - -(-80 * len(own) // 100) + 1
     assert len(simhash.prefix(np.empty(0, np.uint64), known, counts, 80)) == 1
+
+
+def test_shingles_of_one_text_are_not_joined(spark):
+    """Of the prefixes, almost only what several texts share is left for the join, with its place; no shared shingle goes."""
+    rows = [(i, f"own{i} " + prose(i, 200)) for i in range(100)]
+    rows += [(1000 + i, " ".join([*(f"both{i}x{k}" for k in range(40)), f"end{j}"])) for i in range(10) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    points = simhash.marked(df, "doc_id", "text", 5, 6).select(F.col("fp").alias("point"), "tag")
+    every, by_tag = np.empty(0, np.int64), {}
+    for _, text in rows:
+        own = np.unique(simhash.shingles(text.encode(), 5)).view(np.int64)
+        by_tag[simhash._tag(text.encode())] = own
+        every = np.concatenate([every, own])
+    values, counts = np.unique(every, return_counts=True)
+    order = (values[counts > 1], counts[counts > 1])
+    firsts = {tag: simhash.prefix(own, *order, 80) for tag, own in by_tag.items()}
+    held = Counter(int(x) for first in firsts.values() for x in first[1:])
+    want = {(tag, int(first[0]), at, int(x)) for tag, first in firsts.items() for at, x in enumerate(first[1:]) if held[int(x)] > 1}
+    got = {tuple(r) for r in simhash.meeting(df, "text", points, 5, 80).select("tag", "size", "place", "shingle").collect()}
+    assert want and want <= got <= {(tag, int(first[0]), at, int(x)) for tag, first in firsts.items() for at, x in enumerate(first[1:])}
+    assert len(got) - len(want) < 0.2 * (sum(held.values()) - len(want))

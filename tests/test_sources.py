@@ -1,4 +1,5 @@
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -115,3 +116,15 @@ def test_tables_are_released(spark):
     assert not os.path.exists(path)
     parts = durable(spark.range(6).selectExpr("cast(id % 2 as int) AS list_id", "id"), ["list_id"])
     assert parts.columns == ["list_id", "id"] and sorted(map(tuple, parts.collect())) == sorted((i % 2, i) for i in range(6))
+
+
+def test_durable_leaves_no_shuffle_files(spark):
+    """What was shuffled to make a table goes with its making; the caller's setting stays."""
+    held = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", held()
+    was = spark.conf.get(key, "false")
+    out = durable(spark.range(10_000).repartition(3, "id").groupBy((F.col("id") % 100).alias("k")).count())
+    until = time.time() + 3
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before and out.count() == 100 and spark.conf.get(key, "false") == was
