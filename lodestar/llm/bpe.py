@@ -6,7 +6,7 @@ each symbol, the rank of its pair with the next one, together with its position;
 pairs. After a merge, the pairs on both sides of it get new leaves and their ancestors new values, in logarithmic time,
 until the root holds no rank. A word of n bytes takes n log n steps, however long it is. Up to ``FAN`` pairs are one node.
 
-Each worker keeps the codes of words seen so far, up to a fixed number (``CACHE``), which changes no result. The vocabulary file
+Each worker keeps the codes of words seen so far, up to a fixed number (``CACHE``), until another operator's task; this changes no result. The vocabulary file
 is read by the driver (its path is a parameter) and broadcast: about two megabytes, whatever the size of the input.
 
 The strings of special tokens become their ids wherever they stand in a text, as the vocabulary's own library does it.
@@ -190,6 +190,9 @@ def codec(source: str) -> Codec:
     return Codec(source)
 
 
+common.KEPT.append(codec.cache_clear)
+
+
 def _broadcast(spark: SparkSession, vocabulary: str | None):
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
@@ -218,7 +221,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         return run
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return common.map_texts(df, id_col, text_col, T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids), start)
+    return common.map_texts(df, id_col, text_col, T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids), start, keep=True)
 
 
 def tokenise(df: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -249,7 +252,7 @@ def tokenise(df: DataFrame, text_col: str = "text", vocabulary: str | None = Non
                 columns = [*part.columns[1:], *made]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow)], names=arrow.names)
 
-    return common.bounded(rows).mapInArrow(run, out)
+    return common.bounded(rows).mapInArrow(common.resting(run, keep=True), out)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -264,7 +267,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
             texts = [None if x is None else c.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return own.mapInArrow(run, out)
+    return own.mapInArrow(common.resting(run, keep=True), out)
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:

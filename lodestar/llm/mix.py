@@ -152,7 +152,7 @@ def plan(rows: DataFrame, weights=WEIGHTS, cap: float = 3.0, seed: int = 7, shar
     for s in sources:
         s.blocks = min(_FINE, max(1, round(4 * max(shards, 256) * s.size / max(total, 1))))
     keys = ["null" if s.name is None else "=" + s.name for s in sources]
-    named = spark.createDataFrame([(k, s.blocks, s.size, float(s.target)) for k, s in zip(keys, sources)], "key string, blocks int, source_size long, target double")
+    named = common.own_rows(spark, [(k, s.blocks, s.size, float(s.target)) for k, s in zip(keys, sources)], "key string, blocks int, source_size long, target double")
     blocks = (
         fine.join(F.broadcast(named), "key")
         .groupBy("key", (F.col("fine") % F.col("blocks")).alias("block"))
@@ -178,7 +178,7 @@ def plan(rows: DataFrame, weights=WEIGHTS, cap: float = 3.0, seed: int = 7, shar
                 cut_here = block in s.pool
                 table.append((keys[i], block, places[block], s.rest_words if cut_here else None, last if cut_here else None))
     common.release(fine)
-    return Plan(sources, shards, spark.createDataFrame(table, "key string, block int, shards array<int>, rest double, rest_shard int"), named)
+    return Plan(sources, shards, common.own_rows(spark, table, "key string, block int, shards array<int>, rest double, rest_shard int"), named)
 
 
 def chosen(rows: DataFrame, made: Plan) -> DataFrame:

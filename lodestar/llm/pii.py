@@ -502,7 +502,7 @@ def mask(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars
                     columns[count] = pa.array([None if c is None else len(c) for c in clean], arrow.field(count).type)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], names=arrow.names)
 
-    return common.bounded(df).mapInArrow(run, schema)
+    return common.bounded(df).mapInArrow(common.resting(run), schema)
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:

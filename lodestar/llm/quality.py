@@ -224,7 +224,7 @@ def keep_clean(df: DataFrame, text_col: str = "text", chars_col: str | None = "n
                     columns[count] = pa.array([len(t) for t in clean], arrow.field(count).type)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], names=arrow.names)
 
-    return common.bounded(df).mapInArrow(run, schema)
+    return common.bounded(df).mapInArrow(common.resting(run), schema)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -346,11 +346,11 @@ def links(points: DataFrame, radius: int = 4, words: int = 1, windows: int = 3,
                 for where, at, home in out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), where, np.int32)), pa.array(home), batch.column(0).take(pa.array(at))], names=_VISIT.names)
 
-    seen = points.select("point").mapInArrow(visits, _VISIT)
+    seen = points.select("point").mapInArrow(common.resting(visits), _VISIT)
     size = seen.groupBy("tree", "shard").agg(F.sum(F.col("home").cast("long")).alias("lives"))
     salts = size.select("tree", "shard", F.ceil(F.col("lives") / F.lit(4 * shard)).cast("int").alias("salts")).where("salts > 1").collect()
     # One row for each crowded shard of trees whose size the sample bounds.
-    crowded = spark.createDataFrame([tuple(r) for r in salts], "tree int, shard int, salts int")
+    crowded = common.own_rows(spark, [tuple(r) for r in salts], "tree int, shard int, salts int")
     # Cell (row, column) of a crowded shard's grid holds the homes of one hash class and the seekers of another.
     n_salts = F.coalesce("salts", F.lit(1))
     own, every = F.pmod(F.xxhash64("point"), n_salts).cast("int"), F.sequence(F.lit(0), n_salts - 1)
@@ -360,6 +360,7 @@ def links(points: DataFrame, radius: int = 4, words: int = 1, windows: int = 3,
     dealt = seen.join(F.broadcast(crowded), ["tree", "shard"], "left").select("tree", "shard", "point", F.explode(cells).alias("cell")).select("tree", "shard", "cell.*", "point")
 
     def search(key, group):
+        common.forget()
         column = group.column("point").combine_chunks()
         home, seek = (group.column(c).to_numpy().astype(bool) for c in ("lives", "seeks"))
         points = _points(column, words + marks)
@@ -410,7 +411,7 @@ def _sets(df: DataFrame, text_col: str, points: DataFrame, width: int, words: in
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["point", "own"])
 
     rows = df.select(F.lit(0).alias(common.ID), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(common.TEXT))
-    return common.bounded(rows).mapInArrow(run, "point binary, own binary").groupBy("point").agg(F.first("own").alias("own"))
+    return common.bounded(rows).mapInArrow(common.resting(run), "point binary, own binary").groupBy("point").agg(F.first("own").alias("own"))
 
 
 def _by_tag(df: DataFrame, text_col: str, points: DataFrame, width: int, take) -> DataFrame:
@@ -435,7 +436,7 @@ def _by_tag(df: DataFrame, text_col: str, points: DataFrame, width: int, take) -
                         found.append(take(np.unique(shingles(text, width)).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(tags, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["tag", "own"])
 
-    return common.bounded(df.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(common.TEXT))).mapInArrow(run, "tag bigint, own array<bigint>")
+    return common.bounded(df.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(common.TEXT))).mapInArrow(common.resting(run), "tag bigint, own array<bigint>")
 
 
 def _frequent(df: DataFrame, text_col: str, points: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -551,7 +552,7 @@ def alike(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own, count = edges.select("a", "b"), edges.count()
     heavy = {end: _heavy(own, end, count) for end in ("a", "b")}
     full = _with_set(_with_set(own, sets, heavy["a"], "a", "b"), sets, heavy["b"], "b", "a").select("a", "b", "own_a", "own_b")
-    return common.bounded(full).mapInArrow(run, "a binary, b binary")
+    return common.bounded(full).mapInArrow(common.resting(run), "a binary, b binary")
 
 
 def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
