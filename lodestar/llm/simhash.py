@@ -24,6 +24,9 @@ candidates only: the sets of shingles are compared, and those under 80 percent g
 between two texts that compared links join already needs no comparison. What this search leaves out is found by prefixes
 (``missed``): two sets with 80 percent in common share one of the first shingles, in any one order of all shingles.
 There a point is a fingerprint with a digest of its set, so texts that share a fingerprint alone are compared too.
+Pairs that share a shingle by chance grow with the square of the texts, and a set is long. So bitmaps of the sets bound what
+two can have in common (``bitmap``), a short one where pairs are made and one of the set's size after that, and whole sets
+are fetched only for pairs that the bounds leave. A bound is never less than the truth, so no link is lost by it.
 
 Pairs are compared over all bits, so links are exact: the sample only decides where cuts lie. A shard with more than
 four times ``shard`` fingerprints (a large group of near copies that agree in a part) is dealt over a grid: those that live
@@ -60,6 +63,9 @@ HEAVY_ROWS, HEAVY_KEYS = 1 << 13, 1 << 14
 #: Texts, about, by which frequent shingles are known, and how many of those are kept. They only decide the order of shingles.
 ORDER_TEXTS, ORDER_SHINGLES = 1 << 14, 1 << 17
 
+#: 64-bit words of the bitmap that a shingle takes to the join of prefixes.
+ROW_WORDS = 8
+
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,6 +130,28 @@ def _marked(text: bytes, width: int, words: int) -> tuple[bytes, np.ndarray]:
     return _majority(hashes, words) + xxhash.xxh3_64_digest(own.tobytes()), own
 
 
+def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
+    """A bit for each place of ``bits`` (a power of two, 64 at least): whether an odd number of a set's shingles fall there.
+
+    Bitmaps of two sets differ in no more places than there are shingles in one of the sets only.
+    """
+    return np.packbits(np.bincount((own.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """The size of a set in eight bytes, and its bitmap of about as many bits."""
+    return np.int64(len(own)).tobytes() + bitmap(own, max(64, 1 << (max(1, len(own)) - 1).bit_length())).tobytes()
+
+
+def could_hold(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether the sets of two sketches can have ``percent`` of their union in common. The longer bitmap is folded to the other's bits."""
+    both = int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little")
+    x, y = (np.frombuffer(v, np.uint8, offset=8) for v in (x, y))
+    least = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, least), axis=0) for v in (x, y))
+    return (100 + percent) * (both - int(np.bitwise_count(x ^ y).sum())) >= 2 * percent * both
+
+
 def _tag(text: bytes) -> int:
     import xxhash
 
@@ -389,7 +417,8 @@ def _filter_of(tags: DataFrame) -> np.ndarray:
 
 
 def _sets(df: DataFrame, text_col: str, points: DataFrame, width: int, words: int) -> DataFrame:
-    """(point, own): the set of shingles of each of ``points`` (point, tag) and of some others, one 64-bit hash after the other.
+    """(point, own, sketch): the set of shingles of each of ``points`` (point, tag) and of some others, one 64-bit hash after the
+    other, and its ``sketch``.
 
     A pass over the texts. A filter of the tags is sent to the workers; it is of bounded size and lets some others pass.
     """
@@ -407,11 +436,11 @@ def _sets(df: DataFrame, text_col: str, points: DataFrame, width: int, words: in
                     if held[place >> 3] >> (place & 7) & 1 and tag not in seen:
                         seen.add(tag)
                         point, own = _marked(text, width, words)
-                        found.append((point, own.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["point", "own"])
+                        found.append((point, own.tobytes(), sketch(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in range(3)], names=["point", "own", "sketch"])
 
     rows = df.select(F.lit(0).alias(common.ID), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(common.TEXT))
-    return common.bounded(rows).mapInArrow(common.resting(run), "point binary, own binary").groupBy("point").agg(F.first("own").alias("own"))
+    return common.bounded(rows).mapInArrow(common.resting(run), "point binary, own binary, sketch binary").groupBy("point").agg(F.first("own").alias("own"), F.first("sketch").alias("sketch"))
 
 
 def _by_tag(df: DataFrame, text_col: str, points: DataFrame, width: int, take) -> DataFrame:
@@ -475,49 +504,72 @@ def repeated(df: DataFrame, text_col: str, points: DataFrame, width: int, first)
     return out
 
 
-def shared(firsts: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Of a size and a prefix: the size, the places of those shingles that ``held`` has, and those shingles."""
-    own = firsts[1:]
-    place = (own >> 16) % (8 * len(held))
+def shared(own: np.ndarray, firsts: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Of a set with its size and its prefix: the size, ``ROW_WORDS`` words of its bitmap, the places of those shingles that
+    ``held`` has, and those shingles; of none, the size only."""
+    first = firsts[1:]
+    place = (first >> 16) % (8 * len(held))
     at = np.flatnonzero(held[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-    return np.concatenate([firsts[:1], at, own[at]])
+    return np.concatenate([firsts[:1], bitmap(own, 64 * ROW_WORDS).view(np.int64), at, first[at]]) if len(at) else firsts[:1]
 
 
 def meeting(df: DataFrame, text_col: str, points: DataFrame, width: int, percent: int) -> DataFrame:
-    """(tag, size, place, shingle): the prefix of each of ``points`` and of some others, without most shingles of one text only."""
+    """(tag, size, place, shingle, bits_0...): the prefix of each of ``points`` and of some others, without most shingles of one text
+    only, with the words of the set's bitmap."""
     spark = df.sparkSession
     order = spark.sparkContext.broadcast(_frequent(df, text_col, points, width))
     first = lambda own: prefix(own, *order.value, percent)
     held = spark.sparkContext.broadcast(repeated(df, text_col, points, width, first))
-    own = _by_tag(df, text_col, points, width, lambda own: shared(first(own), held.value)).where("size(own) > 1")
-    many = "int((size(own) - 1) / 2)"
-    pairs = F.arrays_zip(F.expr(f"slice(own, 2, {many})").alias("place"), F.expr(f"slice(own, 2 + {many}, {many})").alias("shingle"))
+    own = _by_tag(df, text_col, points, width, lambda own: shared(own, first(own), held.value)).where("size(own) > 1")
+    head = 1 + ROW_WORDS
+    many = f"int((size(own) - {head}) / 2)"
+    pairs = F.arrays_zip(F.expr(f"slice(own, {head + 1}, {many})").alias("place"), F.expr(f"slice(own, {head + 1} + {many}, {many})").alias("shingle"))
+    bits = [f"bits_{k}" for k in range(ROW_WORDS)]
     rows = own.groupBy("tag").agg(F.first("own").alias("own"))
-    return rows.select("tag", F.element_at("own", 1).cast("int").alias("size"), F.explode(pairs).alias("at")).select("tag", "size", F.col("at.place").cast("int").alias("place"), "at.shingle")
+    rows = rows.select("tag", F.element_at("own", 1).cast("int").alias("size"), *[F.element_at("own", k + 2).alias(name) for k, name in enumerate(bits)], F.explode(pairs).alias("at"))
+    return rows.select("tag", "size", F.col("at.place").cast("int").alias("place"), "at.shingle", *bits)
+
+
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(x, y): the keys of those in ``rows`` that share a shingle, aren't of one root, and could have ``percent`` in common.
+
+    At the first shingle that two share, what follows in both must be long enough. And their bitmaps bound what they share.
+    """
+    x, y = rows.alias("x"), rows.alias("y")
+    left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    apart = sum((F.bit_count(F.col(f"x.bits_{k}").bitwiseXOR(F.col(f"y.bits_{k}"))) for k in range(ROW_WORDS)), F.lit(0))
+    both = F.col("x.size") + F.col("y.size")
+    could = (left * F.lit(100 + percent) >= F.lit(percent) * both) & (F.lit(100 + percent) * (both - apart) >= F.lit(2 * percent) * both)
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & could
+    return x.join(y, on).select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
 
 
 def missed(df: DataFrame, text_col: str, points: DataFrame, edges: DataFrame, found: DataFrame, width: int, words: int, percent: int) -> DataFrame:
     """(a, b): the links between what ``found`` (a, b) doesn't join, all of them; ``edges`` (a, b) are known.
 
-    Every pair with ``percent`` in common shares a shingle of both prefixes. At the first that they share, what follows in
-    both must be long enough for that share; so pairs are compared that could have it, and no others.
+    Every pair with ``percent`` in common shares a shingle of both prefixes. Of these pairs, those that could have it by their
+    bitmaps are compared by larger ones, and those that still could by their sets.
     """
     of = points.select("point", "tag").join(connected(found, "a", "b").withColumnRenamed("node", "point"), "point", "left")
     of = common.cut(of.select("tag", F.xxhash64("point").alias("key"), F.xxhash64(F.coalesce("root", "point")).alias("root")))
     rows = common.cut(meeting(df, text_col, points, width, percent).join(of, "tag").drop("tag"))
-    x, y = rows.alias("x"), rows.alias("y")
-    left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    could = (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (left * F.lit(100 + percent) >= F.lit(percent) * (F.col("x.size") + F.col("y.size")))
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & could).select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
     known = edges.select(F.xxhash64("a").alias("k"), F.xxhash64("b").alias("l")).select(F.least("k", "l").alias("x"), F.greatest("k", "l").alias("y"))
-    pairs = common.cut(pairs.join(known, ["x", "y"], "left_anti"))
+    pairs = common.cut(_pairs(rows, percent).join(known, ["x", "y"], "left_anti"))
     common.release(of, rows)
-    named = lambda k, end: points.select(F.xxhash64("point").alias(k), F.col("point").alias(end), F.col("tag").alias(f"tag_{end}"))
+    named = lambda k, end: points.select(F.xxhash64("point").alias(k), F.col("point").alias(end))
     both = common.cut(pairs.join(named("x", "a"), "x").join(named("y", "b"), "y").drop("x", "y"))
-    ends = both.select(F.col("a").alias("point"), F.col("tag_a").alias("tag")).unionByName(both.select(F.col("b").alias("point"), F.col("tag_b").alias("tag"))).distinct()
-    sets = common.cut(_sets(df, text_col, ends, width, words))
-    out = common.cut(alike(both, sets, percent))
-    common.release(pairs, both, sets)
+    common.release(pairs)
+
+    def own(left: DataFrame, column: str) -> DataFrame:
+        ends = left.select(F.col("a").alias("point")).unionByName(left.select(F.col("b").alias("point"))).distinct()
+        return common.cut(_sets(df, text_col, points.select("point", "tag").join(ends, "point", "left_semi"), width, words).select("point", column))
+
+    sketches = own(both, "sketch")
+    left = common.cut(possible(both, sketches, percent))
+    common.release(both, sketches)
+    sets = own(left, "own")
+    out = common.cut(alike(left, sets, percent))
+    common.release(left, sets)
     return out
 
 
@@ -536,17 +588,12 @@ def _with_set(edges: DataFrame, sets: DataFrame, heavy: DataFrame, end: str, oth
     return left.join(right.withColumnRenamed("own", f"own_{end}"), ["point", "__salt"]).drop("point", "__salt")
 
 
-def alike(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose sets have ``percent`` of their union in common, or more."""
+def _compared(edges: DataFrame, sets: DataFrame, test) -> DataFrame:
+    """The (a, b) that pass ``test`` of what ``sets`` (point, own) has of their ends, as bytes."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
+            keep = [i for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))) if test(x.as_buffer(), y.as_buffer())]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     own, count = edges.select("a", "b"), edges.count()
@@ -555,11 +602,27 @@ def alike(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.bounded(full).mapInArrow(common.resting(run), "a binary, b binary")
 
 
+def possible(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) whose sets can have ``percent`` of their union in common by their sketches (point, sketch)."""
+    return _compared(edges, sets.select("point", F.col("sketch").alias("own")), lambda x, y: could_hold(bytes(x), bytes(y), percent))
+
+
+def alike(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) whose sets (point, own) have ``percent`` of their union in common, or more."""
+
+    def test(x, y):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return _compared(edges, sets.select("point", "own"), test)
+
+
 def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): of candidate links (a, b, bits), as many that hold ``percent`` as it takes to join all that they join.
 
     First each point's nearest candidate of a lower point and of a higher one are compared. What links then join needs no
-    further comparison; all candidates between two components are compared.
+    further comparison; all candidates between two components are compared, by their sketches and, if need be, their sets.
     """
     near = lambda u, v: edges.groupBy(F.col(u).alias("u")).agg(F.min(F.struct("bits", F.col(v).alias("v"))).alias("near"))
     first = near("a", "b").unionByName(near("b", "a"))
@@ -569,8 +632,9 @@ def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     rest = edges.select("a", "b").join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     rest = common.cut(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    out = common.cut(held.unionByName(alike(rest, sets, percent)))
-    common.release(first, held, rest)
+    left = common.cut(possible(rest, sets, percent))
+    out = common.cut(held.unionByName(alike(left, sets, percent)))
+    common.release(first, held, rest, left)
     return out
 
 

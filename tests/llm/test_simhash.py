@@ -268,3 +268,38 @@ def test_shingles_of_one_text_are_not_joined(spark):
     got = {tuple(r) for r in simhash.meeting(df, "text", points, 5, 80).select("tag", "size", "place", "shingle").collect()}
     assert want and want <= got <= {(tag, int(first[0]), at, int(x)) for tag, first in firsts.items() for at, x in enumerate(first[1:])}
     assert len(got) - len(want) < 0.2 * (sum(held.values()) - len(want))
+
+
+def test_bitmaps_bound_what_sets_share():
+    """Sets with 80 percent in common always could have it, whatever their sizes; unrelated ones of any size could not."""
+    rng = np.random.default_rng(11)
+    draw = lambda n: np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    assert simhash.could_hold(simhash.sketch(draw(0)), simhash.sketch(draw(0)), 80)
+    for n in (1, 2, 5, 9, 40, 63, 64, 65, 300, 5000):
+        for _ in range(20):
+            own = draw(n)
+            kept = own[rng.permutation(n)[: n - int(rng.integers(0, n // 5 + 1))]]
+            other = np.unique(np.concatenate([kept, draw(int(rng.integers(0, n // 9 + 1)))]))
+            share = 100 * len(np.intersect1d(own, other)) >= 80 * len(np.union1d(own, other))
+            assert not share or simhash.could_hold(simhash.sketch(own), simhash.sketch(other), 80)
+        if n >= 40:
+            assert not any(simhash.could_hold(simhash.sketch(draw(n)), simhash.sketch(draw(n)), 80) for _ in range(20))
+
+
+def test_sets_are_fetched_only_where_bounds_leave_them(spark, monkeypatch):
+    """Texts that share a passage by chance are not compared in full, of any length; those of 0.8 and more are, and are linked."""
+    monkeypatch.setattr(simhash, "ORDER_TEXTS", 1)
+    rows, fetched = [], []
+    for i in range(60):
+        long = 2500 if i % 6 == 0 else 300
+        passage = [f"both{i}x{k}" for k in range(30)]
+        rows += [(2 * i + j, " ".join([*passage, *(f"own{i}x{j}x{k}" for k in range(long))])) for j in range(2)]
+    for i in range(40):
+        words = [f"near{i}x{k}" for k in range(9)]
+        rows += [(1000 + 2 * i, " ".join(words)), (1001 + 2 * i, " ".join(words[1:]))]
+    compare = simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda edges, sets, percent: fetched.append(edges.count()) or compare(edges, sets, percent))
+    got = {x.doc_id: x.component for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == i for i in range(120))
+    assert all(got[1000 + 2 * i] == got[1001 + 2 * i] == 1000 + 2 * i for i in range(40))
+    assert sum(fetched) <= 45
